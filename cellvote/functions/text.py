@@ -10,8 +10,8 @@ SEPARATORS = "[ \\t\\n\\f\\r]+"
 
 
 def tokens(text: Column) -> Column:
-    """ARRAY<STRING> of the non-empty tokens."""
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+    """ARRAY<STRING> of the tokens; the first and last may be empty."""
+    return F.split(text, SEPARATORS)
 
 
 def format_answer(rank: Column, image_id: Column, votes: Column) -> Column:

@@ -96,6 +96,8 @@ def descend_beam(x: np.ndarray, levels: list[np.ndarray], k: int, n_probe: int)
 
 def cell_sums(cell: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct cells with their row counts and per-dimension sums."""
+    if len(cell) == 0:
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, x.shape[1]), np.int64)
     order = np.argsort(cell, kind="stable")
     ids, starts, counts = np.unique(cell[order], return_index=True, return_counts=True)
     sums = np.add.reduceat(x[order], starts, axis=0, dtype=np.int64)

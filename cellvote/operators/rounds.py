@@ -10,57 +10,54 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellvote.functions.vectors import l1_distance, pack_bytes, unpack_bytes
+from cellvote.functions.vectors import l1_distance, unpack_bytes
 from cellvote.operators.assign import assign_cells, resident_levels
-from cellvote.operators.kernels import bytes_matrix, cell_sums, descend
+from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column
 from cellvote.operators.levels import Level, center_rows
 from cellvote.settings import DEFAULT_LIMITS, Limits
 
 SUMS_SCHEMA = "cell INT, n BIGINT, s ARRAY<BIGINT>"
-HELD_BYTES = 64 << 20  # running sums one task may hold before it emits them
+HELD_BYTES = 64 << 20  # running sums a task may hold before it adds them up or emits them
 
 
 class _RunningSums:
-    """Sums per cell over the batches of one task; emits early when too many cells are held."""
+    """Sums per cell over the batches of one task."""
 
     def __init__(self, dim: int):
         self.dim = dim
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, cell: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(cell) == 0:
-            return
-        self.parts.append(cell_sums(cell, x))
-        self.held += len(self.parts[-1][0])
-        if self.held * self.dim * 8 > HELD_BYTES:
-            self._merge()
-            if self.held * self.dim * 8 > HELD_BYTES // 2:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        ids, counts, sums = (np.concatenate(p) for p in zip(*self.parts))
+    @property
+    def full(self) -> bool:
+        return self.held * self.dim * 8 > HELD_BYTES
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> None:
+        if len(ids):
+            self.parts.append((ids, counts, sums))
+            self.held += len(ids)
+            if self.full:
+                self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, counts, sums = (np.concatenate(part) for part in zip(*self.parts))
         order = np.argsort(ids, kind="stable")
-        unique, starts = np.unique(ids[order], return_index=True)
-        self.parts = [
-            (unique, np.add.reduceat(counts[order], starts), np.add.reduceat(sums[order], starts, axis=0))
-        ]
-        self.held = len(unique)
+        cells, starts = np.unique(ids[order], return_index=True)
+        merged = cells, np.add.reduceat(counts[order], starts), np.add.reduceat(sums[order], starts, axis=0)
+        self.parts, self.held = [merged], len(cells)
+        return merged
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        self._merge()
-        ids, counts, sums = self.parts[0]
-        ends = np.arange(len(ids) + 1, dtype=np.int32) * self.dim
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids.astype(np.int32)),
-                pa.array(counts.astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums.ravel())),
-            ],
-            names=["cell", "n", "s"],
-        )
+        ids, counts, sums = self.merge()
+        ends = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(self.dim)
+        columns = [
+            pa.array(ids, pa.int32()),
+            pa.array(counts, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["cell", "n", "s"])
         self.parts, self.held = [], 0
 
 
@@ -79,7 +76,9 @@ def partial_sums(
             running = _RunningSums(dim)
             for batch in batches:
                 x = bytes_matrix(batch["v"], dim)
-                yield from running.add(descend(x, shipped.value, k), x)
+                running.add(*cell_sums(descend(x, shipped.value, k), x))
+                if running.full:  # too many cells to hold; the merge adds them up again
+                    yield from running.flush()
             yield from running.flush()
 
         return points.select("v").mapInArrow(walk_and_sum, SUMS_SCHEMA)
@@ -87,7 +86,9 @@ def partial_sums(
     def only_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = _RunningSums(dim)
         for batch in batches:
-            yield from running.add(batch["cell"].to_numpy(), bytes_matrix(batch["v"], dim))
+            running.add(*cell_sums(batch["cell"].to_numpy(), bytes_matrix(batch["v"], dim)))
+            if running.full:
+                yield from running.flush()
         yield from running.flush()
 
     assigned = assign_cells(points.select("v"), levels, limits=limits)
@@ -95,12 +96,25 @@ def partial_sums(
 
 
 def mean_centers(sums: DataFrame, dim: int) -> DataFrame:
-    """SUMS_SCHEMA -> center_id, n, center (sums divided with truncation)."""
-    totals = sums.groupBy(F.col("cell").alias("center_id")).agg(
-        F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"_{i}") for i in range(dim)]
-    )
-    means = F.array(*[F.call_function("div", F.col(f"_{i}"), F.col("n")).cast("int") for i in range(dim)])
-    return totals.select("center_id", "n", pack_bytes(means).alias("center"))
+    """SUMS_SCHEMA -> center_id, n, center (sums divided with truncation).
+
+    Each task adds up the partial rows of its own cells as they stream in; it
+    holds one row per cell.
+    """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = _RunningSums(dim)
+        for batch in batches:
+            sums = batch["s"].flatten().to_numpy().reshape(-1, dim)
+            running.add(batch["cell"].to_numpy(), batch["n"].to_numpy(), sums)
+        if running.parts:
+            ids, counts, sums = running.merge()
+            centers = matrix_column((sums // counts[:, None]).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(counts), centers], names=["center_id", "n", "center"]
+            )
+
+    return sums.repartition("cell").mapInArrow(add_up, "center_id INT, n BIGINT, center BINARY")
 
 
 def run_round(

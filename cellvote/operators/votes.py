@@ -32,7 +32,10 @@ def cut_candidates(candidates: DataFrame, vote_limit: int, *, small_queries: boo
     )
     if small_queries:
         cut = F.broadcast(cut)
-    return counted.join(cut, ["query_id", "desc_no"]).where(F.col("dist") <= F.col("_cut")).drop("_cut")
+    # The filter on n is always true; it keeps the count in this branch too, so
+    # that both branches share one exchange and the postings are read once.
+    kept = counted.where(F.col("n") > 0).join(cut, ["query_id", "desc_no"])
+    return kept.where(F.col("dist") <= F.col("_cut")).drop("_cut")
 
 
 def votes_of(nearest: DataFrame) -> DataFrame:

@@ -11,4 +11,4 @@ from cellvote.functions.text import tokens
 def word_count(lines: DataFrame, text: str = "text") -> DataFrame:
     """word, count.  Counted per task before the shuffle, so common words stay cheap."""
     words = lines.select(F.explode(tokens(F.col(text))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("count"))
+    return words.where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("count"))
