@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellvote.functions.vectors import l1_distance, unpack_bytes
-from cellvote.operators.kernels import bytes_matrix, descend, descend_beam
+from cellvote.operators.kernels import bytes_matrix, descend, descend_beam, nearest_own_child
 from cellvote.operators.levels import Level
 from cellvote.settings import DEFAULT_LIMITS, Limits
 
@@ -79,46 +78,60 @@ def _assign_resident(points: DataFrame, levels: list[Level], n_probe: int, colum
     return points.mapInArrow(walk, with_field(points.schema, column))
 
 
-def children_by_parent(level_frame: DataFrame) -> DataFrame:
-    """One row per parent with its k children as an array."""
-    child = F.struct(F.col("center_id").alias("id"), unpack_bytes(F.col("center")).alias("c"))
-    return level_frame.groupBy("parent_id").agg(F.collect_list(child).alias("_children"))
+def with_children(frame: DataFrame, level: Level, column: str) -> DataFrame:
+    """frame + `_parent` and `_children`, the parent's k centers as one BINARY in id order.
 
-
-def nearest_of(values: Column, children: Column) -> Column:
-    """ARRAY<STRUCT<dist, id>>, one entry per child."""
-    return F.transform(
-        children, lambda c: F.struct(l1_distance(values, c["c"]).alias("dist"), c["id"].alias("id"))
+    An equi-join on the parent cell.  A point stays one row and no pairs are
+    emitted; adaptive execution splits a parent that holds many points.
+    """
+    nodes = level.frame(frame.sparkSession).groupBy("parent_id").agg(
+        F.array_sort(F.collect_list(F.struct("center_id", "center"))).alias("_sorted")
     )
+    joined = F.aggregate("_sorted", F.lit(b""), lambda done, child: F.concat(done, child["center"]))
+    nodes = nodes.select(F.col("parent_id").alias("_parent"), joined.alias("_children"))
+    parent = F.col(column) if column in frame.columns else F.lit(0)
+    rest = [c for c in frame.columns if c != column]
+    return frame.select(*rest, parent.alias("_parent")).join(nodes, "_parent")
+
+
+def own_children(batch: pa.RecordBatch, k: int, dim: int, n: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the batch, and cell and distance of the n nearest children per row."""
+    x = bytes_matrix(batch["v"], dim)
+    children = bytes_matrix(batch["_children"], k * dim).reshape(len(x), k, dim)
+    position, dist = nearest_own_child(x, children, n)
+    first = batch["_parent"].to_numpy().astype(np.int32)[:, None] * np.int32(k)
+    return x, (first + position).astype(np.int32), dist
 
 
 def _assign_joined(
     frame: DataFrame, level: Level, n_probe: int, keys: tuple[str, ...], column: str
 ) -> DataFrame:
-    """One level down by an equi-join on the parent cell.
+    """One level down by a join on the parent cell."""
+    k, dim = level.k, level.dim
+    keep = min(n_probe, k)
+    rest = [c for c in frame.columns if c != column]
+    schema = with_field(frame.select(*rest).schema, column)
 
-    A parent's k children come as one array, so a point stays one row and no
-    pairs are emitted; adaptive execution splits a parent that holds many points.
-    """
-    spark = frame.sparkSession
-    given = [c for c in frame.columns if c != column]
-    has_parent = column in frame.columns
-    parent = F.col(column) if has_parent else F.lit(0)
-    nodes = children_by_parent(level.frame(spark))
-    scored = (
-        frame.withColumn("_parent", parent)
-        .join(nodes, F.col("_parent") == F.col("parent_id"))
-        .withColumn("_scored", nearest_of(unpack_bytes(F.col("v")), F.col("_children")))
-    )
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, cells, dist = own_children(batch, k, dim, keep)
+            out = batch.select(rest)
+            if n_probe == 1:
+                yield append_column(out, column, cells[:, 0])
+            else:
+                rows = np.repeat(np.arange(len(cells)), keep)
+                out = append_column(out.take(pa.array(rows)), column, cells.ravel())
+                yield append_column(out, "_dist", dist.ravel())
+
+    joined = with_children(frame, level, column)
     if n_probe == 1:
-        return scored.select(*given, F.array_min("_scored")["id"].alias(column))
-    near = F.slice(F.array_sort("_scored"), 1, n_probe)
-    best = Window.partitionBy(*keys).orderBy("_hit.dist", "_hit.id")
+        return joined.mapInArrow(step, schema)
+    best = Window.partitionBy(*keys).orderBy("_dist", column)
     return (
-        scored.select(*given, F.explode(near).alias("_hit"))
+        joined.mapInArrow(step, with_field(schema, "_dist"))
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= n_probe)
-        .select(*given, F.col("_hit.id").alias(column))
+        .select(*rest, column)
     )
 
 

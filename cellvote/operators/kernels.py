@@ -74,6 +74,23 @@ def descend(x: np.ndarray, levels: list[np.ndarray], k: int, start: np.ndarray |
     return cell
 
 
+def nearest_own_child(x: np.ndarray, children: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position and distance of the n nearest among each row's own children.
+
+    children: uint8 (rows, k, dim).  Both results are (rows, n), nearest first,
+    the lowest position first on ties.
+    """
+    k = children.shape[1]
+    dist = np.empty((len(x), k), np.int32)
+    for start in range(0, len(x), CHUNK):
+        block = x[start : start + CHUNK].astype(np.int16)
+        work = np.empty_like(block)
+        for j in range(k):
+            dist[start : start + CHUNK, j] = _l1(block, children[start : start + CHUNK, j], work)
+    order = np.argsort(dist, axis=1, kind="stable")[:, :n] if n > 1 else dist.argmin(axis=1)[:, None]
+    return order, np.take_along_axis(dist, order, axis=1)
+
+
 def descend_beam(x: np.ndarray, levels: list[np.ndarray], k: int, n_probe: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) pairs when the n_probe nearest cells are kept on every level."""
     rows = np.arange(len(x))

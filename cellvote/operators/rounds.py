@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellvote.functions.vectors import l1_distance, unpack_bytes
-from cellvote.operators.assign import assign_cells, resident_levels
+from cellvote.operators.assign import assign_cells, own_children, resident_levels, with_children
 from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column
 from cellvote.operators.levels import Level, center_rows
 from cellvote.settings import DEFAULT_LIMITS, Limits
@@ -83,16 +83,17 @@ def partial_sums(
 
         return points.select("v").mapInArrow(walk_and_sum, SUMS_SCHEMA)
 
-    def only_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = _RunningSums(dim)
         for batch in batches:
-            running.add(*cell_sums(batch["cell"].to_numpy(), bytes_matrix(batch["v"], dim)))
+            x, cells, _ = own_children(batch, k, dim)
+            running.add(*cell_sums(cells[:, 0], x))
             if running.full:
                 yield from running.flush()
         yield from running.flush()
 
-    assigned = assign_cells(points.select("v"), levels, limits=limits)
-    return assigned.select("cell", "v").mapInArrow(only_sum, SUMS_SCHEMA)
+    parents = assign_cells(points.select("v"), levels[:-1], limits=limits)
+    return with_children(parents, levels[-1], "cell").mapInArrow(step_and_sum, SUMS_SCHEMA)
 
 
 def mean_centers(sums: DataFrame, dim: int) -> DataFrame:

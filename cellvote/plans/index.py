@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +18,7 @@ POSTINGS_SCHEMA = (
 )
 RUNS_SCHEMA = "leaf INT, part BIGINT, first_row BIGINT, n BIGINT, batch BIGINT"
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this many row bits
+RUN_BYTES = 128  # of one row of the runs table in a broadcast
 MAX_RANGES = 64  # leaf ranges pushed to the Parquet scan
 MAX_LISTED = 10_000  # leaves listed one by one in a filter
 
@@ -35,6 +36,7 @@ class Index:
     spark: SparkSession
     path: str
     tree: TreeModel
+    _stored: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, limits: Limits = DEFAULT_LIMITS) -> "Index":
@@ -42,7 +44,9 @@ class Index:
 
     def postings(self, leaves: list[int] | None = None) -> DataFrame:
         """Postings, read only where `leaves` can be when given."""
-        frame = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
+        if self._stored is None:
+            self._stored = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
+        frame = self._stored
         if leaves is None:
             return frame
         below = self.tree.k ** (self.tree.depth - 1)
@@ -52,6 +56,10 @@ class Index:
         # A longer list would bloat the plan; the join drops the rows between the ranges then.
         return frame.where(F.col("leaf").isin(leaves)) if len(leaves) <= MAX_LISTED else frame
 
+    def refresh(self) -> None:
+        """See batches appended since the files were last listed."""
+        self._stored = None
+
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUNS_SCHEMA).parquet(f"{self.path}/runs")
 
@@ -74,6 +82,8 @@ class Index:
         starts = self.runs().select(
             "batch", "leaf", "part", "first_row", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")
         )
+        if self.runs().count() * RUN_BYTES <= self.tree.limits.broadcast_bytes:
+            starts = F.broadcast(starts)
         rows = self.postings().withColumn("part", F.shiftright("row", ROW_BITS))
         return rows.join(starts, ["batch", "leaf", "part"]).select(
             F.col("leaf").alias("cell"),

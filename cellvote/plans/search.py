@@ -23,7 +23,8 @@ def route(queries: DataFrame, index: Index, *, n_probe: int = 1, limits: Limits
 
 def leaves_hit(routed: DataFrame, index: Index) -> DataFrame:
     """Postings per leaf that some query descriptor was routed to."""
-    return index.cell_sizes().withColumnRenamed("cell", "leaf").join(routed.select("leaf"), "leaf", "left_semi")
+    hit = routed.select("leaf").distinct()
+    return index.cell_sizes().withColumnRenamed("cell", "leaf").join(hit, "leaf", "left_semi")
 
 
 def nearest_candidates(

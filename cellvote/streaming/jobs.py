@@ -79,6 +79,7 @@ def stream_ingest(
 
     def file(batch: DataFrame, batch_id: int) -> None:
         append_postings(batch, index.tree, index.path, batch=batch_id + 1, limits=limits)
+        index.refresh()
 
     return (
         points.writeStream.foreachBatch(file)
