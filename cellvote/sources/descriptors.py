@@ -1,4 +1,8 @@
-"""Fixed-length binary descriptor files: 8 id bytes, then one byte per dimension."""
+"""Fixed-length binary descriptor files: 8 id bytes, then one byte per dimension.
+
+Both directions are one Spark data source, `descriptor_files`, that hands Arrow
+batches to Spark.
+"""
 
 from __future__ import annotations
 
@@ -12,71 +16,112 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    InputPartition,
+    WriterCommitMessage,
+)
 
-from cellvote.functions.vectors import image_hex
-from cellvote.operators.kernels import bytes_matrix
+from cellvote.operators.kernels import bytes_matrix, matrix_column
 
 # Fixed values of the file format.
 ID_BYTES = 8
 DEFAULT_DIM = 128
 
-INPUT_FORMAT = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-RECORD_LENGTH = "org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength"
+SPLIT_BYTES = 128 << 20  # of one input partition
+BATCH_RECORDS = 10_000
+SCHEMA = "image_id STRING, desc_no BIGINT, v BINARY"
 
 
-def scan_descriptors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM) -> DataFrame:
+def scan_descriptors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """image_id, desc_no, v; desc_no is the record's position in its file.
 
     Large files are split at record boundaries.  A file that is not a whole
     number of records is an error.
     """
-    length = ID_BYTES + dim
-    listing = spark.read.format("binaryFile").load(path).select("path", "length")
-    broken = listing.where(F.col("length") % length != 0).limit(1).collect()
-    if broken:
-        raise ValueError(f"{broken[0].path}: {broken[0].length} bytes is not a multiple of {length}")
-    records = spark.sparkContext.newAPIHadoopFile(
-        path,
-        INPUT_FORMAT,
-        "org.apache.hadoop.io.LongWritable",
-        "org.apache.hadoop.io.BytesWritable",
-        conf={RECORD_LENGTH: str(length)},
-    )
-    raw = spark.createDataFrame(records.map(lambda kv: (kv[0], bytes(kv[1]))), "desc_no BIGINT, record BINARY")
-    return raw.select(
-        image_hex(F.substring("record", 1, ID_BYTES)).alias("image_id"),
-        "desc_no",
-        F.substring("record", ID_BYTES + 1, dim).alias("v"),
-    )
+    spark.dataSource.register(DescriptorFiles)
+    reader = spark.read.format("descriptor_files").option("dim", str(dim)).option("split_bytes", str(split_bytes))
+    return reader.load(path)
 
 
 def write_descriptors(points: DataFrame, path: str, dim: int = DEFAULT_DIM) -> None:
     """Export points as descriptor files, one per partition."""
     points.sparkSession.dataSource.register(DescriptorFiles)
-    columns = points.select("image_id", "v")
-    columns.write.format("descriptor_files").mode("append").option("dim", str(dim)).save(path)
+    rows = points.select("image_id", F.lit(0).cast("bigint").alias("desc_no"), "v")
+    rows.write.format("descriptor_files").mode("append").option("dim", str(dim)).save(path)
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    staged: str | None
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
 
 
 class DescriptorFiles(DataSource):
-    """Write-only Spark data source for descriptor files."""
-
     @classmethod
     def name(cls) -> str:
         return "descriptor_files"
 
     def schema(self) -> str:
-        return "image_id STRING, v BINARY"
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        split = int(self.options.get("split_bytes", SPLIT_BYTES))
+        return _DescriptorReader(self.options["path"], int(self.options["dim"]), split)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _DescriptorWriter(self.options["path"], int(self.options["dim"]))
 
 
+@dataclass
+class _Split(InputPartition):
+    """Records first .. last-1 of one file."""
+
+    file: str
+    first: int
+    last: int
+
+
+class _DescriptorReader(DataSourceReader):
+    def __init__(self, path: str, dim: int, split_bytes: int):
+        self.path, self.dim = path, dim
+        self.length = ID_BYTES + dim
+        self.step = max(split_bytes // self.length, 1)
+
+    def partitions(self) -> list[InputPartition]:
+        store, root = open_store(self.path)
+        info = store.get_file_info(root)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
+        splits: list[InputPartition] = []
+        for file in sorted((f for f in files if f.type == fs.FileType.File), key=lambda f: f.path):
+            if file.base_name.startswith(("_", ".")):
+                continue
+            if file.size % self.length:
+                raise ValueError(f"{file.path}: {file.size} bytes is not a multiple of {self.length}")
+            records = file.size // self.length
+            splits += [_Split(file.path, at, min(at + self.step, records)) for at in range(0, records, self.step)]
+        return splits or [_Split("", 0, 0)]
+
+    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
+        if split.first == split.last:
+            return
+        store, _ = open_store(self.path)
+        with store.open_input_file(split.file) as source:
+            for first in range(split.first, split.last, BATCH_RECORDS):
+                count = min(BATCH_RECORDS, split.last - first)
+                data = source.read_at(count * self.length, first * self.length)
+                yield decode_records(data, first, self.dim)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    staged: str | None
+
+
 class _DescriptorWriter(DataSourceArrowWriter):
     """Tasks write below _temporary; the commit moves finished files into place.
 
@@ -87,13 +132,8 @@ class _DescriptorWriter(DataSourceArrowWriter):
         self.path, self.dim = path, dim
         self.staging = posixpath.join(path, "_temporary", uuid.uuid4().hex)
 
-    def _open(self, path: str) -> tuple[fs.FileSystem, str]:
-        if "://" in path or path.startswith("file:"):
-            return fs.FileSystem.from_uri(path)
-        return fs.LocalFileSystem(), path
-
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
-        store, folder = self._open(self.staging)
+        store, folder = open_store(self.staging)
         store.create_dir(folder, recursive=True)
         target = posixpath.join(folder, f"part-{uuid.uuid4().hex}.bin")
         rows = 0
@@ -104,7 +144,7 @@ class _DescriptorWriter(DataSourceArrowWriter):
         return _Written(target if rows else None)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        store, folder = self._open(self.path)
+        store, folder = open_store(self.path)
         for message in messages:
             if message is not None and message.staged:
                 store.move(message.staged, posixpath.join(folder, posixpath.basename(message.staged)))
@@ -114,12 +154,12 @@ class _DescriptorWriter(DataSourceArrowWriter):
         self._drop_staging()
 
     def _drop_staging(self) -> None:
-        store, folder = self._open(self.staging)
+        store, folder = open_store(self.staging)
         if store.get_file_info(folder).type != fs.FileType.NotFound:
             store.delete_dir(folder)
         parent = posixpath.dirname(folder)
-        info = store.get_file_info(fs.FileSelector(parent, allow_not_found=True))
-        if not info and store.get_file_info(parent).type != fs.FileType.NotFound:
+        others = store.get_file_info(fs.FileSelector(parent, allow_not_found=True))
+        if not others and store.get_file_info(parent).type != fs.FileType.NotFound:
             store.delete_dir(parent)
 
 
@@ -133,3 +173,15 @@ def encode_records(image_id: pa.Array, v: pa.Array, dim: int) -> bytes:
     records[:, :ID_BYTES] = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(-1, ID_BYTES)[:, ::-1]
     records[:, ID_BYTES:] = x
     return records.tobytes()
+
+
+def decode_records(data: bytes, first: int, dim: int) -> pa.RecordBatch:
+    """Fixed-length records -> image_id, desc_no, v."""
+    records = np.frombuffer(data, np.uint8).reshape(-1, ID_BYTES + dim)
+    count = len(records)
+    digits = np.ascontiguousarray(records[:, ID_BYTES - 1 :: -1]).tobytes().hex().encode()
+    ends = np.arange(count + 1, dtype=np.int32) * np.int32(2 * ID_BYTES)
+    image_id = pa.Array.from_buffers(pa.string(), count, [None, pa.py_buffer(ends), pa.py_buffer(digits)])
+    desc_no = pa.array(np.arange(first, first + count, dtype=np.int64))
+    v = matrix_column(records[:, ID_BYTES:])
+    return pa.RecordBatch.from_arrays([image_id, desc_no, v], names=["image_id", "desc_no", "v"])

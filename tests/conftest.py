@@ -11,7 +11,9 @@ from checks.compare import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    yield session()
+    spark = session()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    yield spark
 
 
 @pytest.fixture
@@ -21,7 +23,7 @@ def make_points(spark):
     def build(rows, partitions=3):
         data = [(f"{image:016x}", desc, bytearray(values)) for image, desc, values in rows]
         frame = spark.createDataFrame(data, "image_id STRING, desc_no BIGINT, v BINARY")
-        return frame.repartition(partitions)
+        return frame.repartition(partitions).cache()
 
     return build
 

@@ -28,8 +28,23 @@ def test_binary_scan_of_hand_made_records(spark, folder):
 def test_short_file_is_an_error(spark, folder):
     with open(f"{folder}/a.bin", "wb") as out:
         out.write(b"\x00" * (2 * 136 + 5))
-    with pytest.raises(ValueError, match="not a multiple of 136"):
-        descriptors.scan_descriptors(spark, folder)
+    with pytest.raises(Exception, match="not a multiple of 136"):
+        descriptors.scan_descriptors(spark, folder).collect()
+
+
+def test_files_are_split_at_records(spark, folder, make_points):
+    rows = clustered(25, 4, seed=3)
+    with open(f"{folder}/all.bin", "wb") as out:
+        for image, _, v in rows:
+            out.write(image.to_bytes(8, "little") + bytes(v))
+    back = descriptors.scan_descriptors(spark, folder, dim=4, split_bytes=100)
+    assert back.rdd.getNumPartitions() == 4
+    got = [(int(r.image_id, 16), list(r.v)) for r in back.orderBy("desc_no").collect()]
+    assert got == [(image, v) for image, _, v in rows]
+
+
+def test_empty_folder_gives_no_rows(spark, folder):
+    assert descriptors.scan_descriptors(spark, folder).count() == 0
 
 
 def test_binary_round_trip(spark, make_points):
