@@ -4,16 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellvote.operators.assign import assign_cells
-from cellvote.operators.kernels import bytes_matrix, first_distinct
+from cellvote.operators.assign import append_column, assign_cells, resident_levels
+from cellvote.operators.kernels import bytes_matrix, descend, first_distinct
 from cellvote.operators.levels import Level, center_rows
 from cellvote.settings import DEFAULT_LIMITS, Limits
 
-BUFFER_ROWS = 65_536
+BUFFER_ROWS = 8_192
+SURVIVOR_SCHEMA = "image_id STRING, desc_no BIGINT, v BINARY, parent INT"
+
+
+class _Survivors:
+    """The first k distinct vectors per parent among the rows of one task."""
+
+    def __init__(self, k: int, dim: int, n_parents: int):
+        self.k, self.dim, self.n_parents = k, dim, n_parents
+        self.held: pa.Table | None = None
+        self.last: pa.Array | None = None  # per parent: image id of its k-th vector, null while it has fewer
+        self.waiting: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if self.last is not None:
+            in_time = pc.less_equal(batch["image_id"], self.last.take(batch["parent"]))
+            batch = batch.filter(pc.fill_null(in_time, True))
+        if batch.num_rows:
+            self.waiting.append(batch)
+            self.rows += batch.num_rows
+        if self.rows >= max(BUFFER_ROWS, self.held.num_rows if self.held else 0):
+            self.reduce()
+
+    def reduce(self) -> None:
+        if not self.waiting:
+            return
+        table = pa.Table.from_batches(self.waiting)
+        if self.held is not None:
+            table = pa.concat_tables([self.held, table])
+        table = table.sort_by([(c, "ascending") for c in ("parent", "image_id", "desc_no")])
+        x = bytes_matrix(table["v"].combine_chunks(), self.dim)
+        parent = table["parent"].to_numpy()
+        kept = first_distinct(parent, x, self.k)
+        self.held = table.take(pa.array(kept))
+        self.waiting, self.rows = [], 0
+
+        owner, first, count = np.unique(parent[kept], return_index=True, return_counts=True)
+        where = np.zeros(self.n_parents, np.int64)
+        open_ = np.ones(self.n_parents, bool)
+        full = count == self.k
+        where[owner[full]] = first[full] + self.k - 1
+        open_[owner[full]] = False
+        self.last = self.held["image_id"].combine_chunks().take(pa.array(where, mask=open_))
 
 
 def find_seeds(points: DataFrame, levels: list[Level], k: int, dim: int, *, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -24,32 +69,25 @@ def find_seeds(points: DataFrame, levels: list[Level], k: int, dim: int, *, limi
     also among the first k of the task that holds its first occurrence, so
     nothing is lost and only the survivors are shuffled.
     """
-    parents = assign_cells(points.select("image_id", "desc_no", "v"), levels, column="parent", limits=limits)
+    rows = points.select("image_id", "desc_no", "v")
+    resident = len(resident_levels(levels, limits)) == len(levels)
+    shipped = points.sparkSession.sparkContext.broadcast([level.array for level in levels] if resident else None)
+    n_parents = k ** len(levels)
+    if not resident:
+        rows = assign_cells(rows, levels, column="parent", limits=limits)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        waiting: list[pa.RecordBatch] = []
-        rows = 0
-
-        def reduce() -> pa.Table:
-            table = pa.Table.from_batches(waiting)
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            table = table.sort_by([(c, "ascending") for c in ("parent", "image_id", "desc_no")]).combine_chunks()
-            x = bytes_matrix(table["v"].combine_chunks(), dim)
-            return table.take(pa.array(first_distinct(table["parent"].to_numpy(), x, k)))
-
+        found = _Survivors(k, dim, n_parents)
         for batch in batches:
-            waiting.append(batch)
-            rows += batch.num_rows
-            if rows >= max(BUFFER_ROWS, held.num_rows if held is not None else 0):
-                held, waiting, rows = reduce(), [], 0
-        if waiting:
-            held = reduce()
-        if held is not None:
-            yield from held.to_batches()
-
-    local = parents.mapInArrow(survivors, parents.schema)
+            if resident:
+                cells = descend(bytes_matrix(batch["v"], dim), shipped.value, k)
+                batch = append_column(batch, "parent", cells)
+            found.add(batch)
+        found.reduce()
+        if found.held is not None:
+            yield from found.held.to_batches()
+
+    local = rows.mapInArrow(survivors, SURVIVOR_SCHEMA)
     distinct = local.groupBy("parent", "v").agg(F.min(F.struct("image_id", "desc_no")).alias("_first"))
     order = Window.partitionBy("parent").orderBy("_first")
     ranked = distinct.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)

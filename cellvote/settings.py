@@ -21,7 +21,7 @@ class Limits:
     """
 
     broadcast_bytes: int = 256 << 20
-    block_rows: int = 16_384
+    block_rows: int = 65_536
     rows_per_file: int = 4_000_000
 
 
