@@ -16,11 +16,11 @@ from cellvote.settings import DEFAULT_LIMITS, Limits
 
 
 def resident_levels(levels: list[Level], limits: Limits) -> list[Level]:
-    """The top levels whose centers together stay within the broadcast bound."""
+    """The top level and those below it that together stay within the broadcast bound."""
     total, kept = 0, []
     for level in levels:
         total += level.size * level.dim
-        if level.array is None or total > limits.broadcast_bytes:
+        if level.array is None or (level.number > 0 and total > limits.broadcast_bytes):
             break
         kept.append(level)
     return kept
@@ -53,9 +53,7 @@ def assign_cells(
     if not levels:
         return points.withColumn(column, F.lit(0))
     resident = resident_levels(levels, limits)
-    frame = points
-    if resident:
-        frame = _assign_resident(points, resident, n_probe, column)
+    frame = _assign_resident(points, resident, n_probe, column)
     for level in levels[len(resident) :]:
         frame = _assign_joined(frame, level, n_probe, keys, column)
     return frame
@@ -89,9 +87,7 @@ def with_children(frame: DataFrame, level: Level, column: str) -> DataFrame:
     )
     joined = F.aggregate("_sorted", F.lit(b""), lambda done, child: F.concat(done, child["center"]))
     nodes = nodes.select(F.col("parent_id").alias("_parent"), joined.alias("_children"))
-    parent = F.col(column) if column in frame.columns else F.lit(0)
-    rest = [c for c in frame.columns if c != column]
-    return frame.select(*rest, parent.alias("_parent")).join(nodes, "_parent")
+    return frame.withColumnRenamed(column, "_parent").join(nodes, "_parent")
 
 
 def own_children(batch: pa.RecordBatch, k: int, dim: int, n: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

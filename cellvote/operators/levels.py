@@ -13,6 +13,7 @@ from cellvote.functions.vectors import ancestor
 from cellvote.operators.kernels import bytes_matrix, matrix_column
 
 CENTERS_SCHEMA = "level INT, center_id INT, parent_id INT, n BIGINT, center BINARY"
+TOP_LEVEL_BYTES = 64 << 20
 
 
 @dataclass
@@ -54,6 +55,14 @@ class Level:
         )
         return spark.createDataFrame(arrow, CENTERS_SCHEMA)
 
+    def on_driver(self, broadcast_bytes: int) -> bool:
+        """Whether the level is kept as an array.  Level 0 is: it has only k rows."""
+        if self.number == 0:
+            if self.driver_bytes > TOP_LEVEL_BYTES:
+                raise ValueError(f"k = {self.k} is too large: the top level must stay below {TOP_LEVEL_BYTES} bytes")
+            return True
+        return self.driver_bytes <= broadcast_bytes
+
     @classmethod
     def collected(cls, number: int, k: int, dim: int, rows: DataFrame) -> "Level":
         """Level from a checked-size frame with center_id, n, center."""

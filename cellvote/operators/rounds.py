@@ -14,7 +14,7 @@ from cellvote.functions.vectors import l1_distance, unpack_bytes
 from cellvote.operators.assign import assign_cells, own_children, resident_levels, with_children
 from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column
 from cellvote.operators.levels import Level, center_rows
-from cellvote.settings import DEFAULT_LIMITS, Limits
+from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
 
 SUMS_SCHEMA = "cell INT, n BIGINT, s ARRAY<BIGINT>"
 HELD_BYTES = 64 << 20  # running sums a task may hold before it adds them up or emits them
@@ -144,6 +144,7 @@ def run_round(
     merged = kept.join(means, "center_id", "left").select(
         "center_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("center", "_old").alias("center")
     )
+    ensure_checkpoint_dir(points.sparkSession)
     table = center_rows(merged, old.number, old.k).checkpoint()
     if empty == "error" and table.where("n = 0").limit(1).count():
         raise ValueError(f"level {old.number}: some centers got no points")

@@ -13,7 +13,7 @@ from cellvote.operators.assign import cells_of_level
 from cellvote.operators.levels import CENTERS_SCHEMA, Level, center_rows, check_count
 from cellvote.operators.rounds import center_shift, run_round
 from cellvote.operators.seeds import find_seeds
-from cellvote.settings import DEFAULT_LIMITS, Limits, shared_dir
+from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
 
 META_SCHEMA = "k INT, dim INT, depth INT, iterations INT"
 
@@ -69,7 +69,7 @@ class TreeModel:
 def read_level(rows: DataFrame, number: int, k: int, dim: int, limits: Limits) -> Level:
     """Level from stored centers, on the driver if its size allows."""
     level = Level(number, k, dim)
-    if level.driver_bytes <= limits.broadcast_bytes:
+    if level.on_driver(limits.broadcast_bytes):
         return Level.collected(number, k, dim, rows)
     check_count(rows.count(), number, k)
     return replace(level, table=center_rows(rows, number, k))
@@ -144,10 +144,10 @@ def _seed_level(points: DataFrame, tree: TreeModel, given: DataFrame | None) ->
     else:
         rows = find_seeds(points, tree.levels, k, dim, limits=tree.limits)
     spark = points.sparkSession
-    if level.driver_bytes <= tree.limits.broadcast_bytes:
+    if level.on_driver(tree.limits.broadcast_bytes):
         rows = spark.createDataFrame(rows.toArrow(), CENTERS_SCHEMA)
     else:
-        _ensure_checkpoint_dir(spark)
+        ensure_checkpoint_dir(spark)
         rows = rows.checkpoint()
     found = rows.count()
     if found < level.size and given is None:
@@ -186,8 +186,3 @@ def _last_snapshot(
         except (AnalysisException, ValueError):
             continue  # absent, or cut off half-way
     return 0, None, None
-
-
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -46,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/cellvote/{app}/{name}-{uuid.uuid4().hex}"
