@@ -15,7 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from cellvote.plans.index import Index, build_index  # noqa: E402
 from cellvote.plans.search import route, search, search_votes  # noqa: E402
-from cellvote.plans.tree import TreeModel, fit_tree  # noqa: E402
+from cellvote.plans.tree import TreeModel, fit_kmeans, fit_tree  # noqa: E402
 from cellvote.settings import Limits  # noqa: E402
 
 __all__ = [
@@ -23,6 +23,7 @@ __all__ = [
     "Limits",
     "TreeModel",
     "build_index",
+    "fit_kmeans",
     "fit_tree",
     "route",
     "search",

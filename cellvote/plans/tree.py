@@ -135,6 +135,11 @@ def fit_tree(
     return tree
 
 
+def fit_kmeans(points: DataFrame, *, k: int, iterations: int, **options) -> DataFrame:
+    """Flat k-means: the centers frame of a tree of one level."""
+    return fit_tree(points, k=k, depth=1, iterations=iterations, **options).centers(points.sparkSession)
+
+
 def _seed_level(points: DataFrame, tree: TreeModel, given: DataFrame | None) -> Level | None:
     """Starting centers of the next level, or None if it cannot be built."""
     number, k, dim = tree.depth, tree.k, tree.dim

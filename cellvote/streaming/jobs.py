@@ -52,8 +52,10 @@ def stream_search(
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # counted, routed and searched
         found = search(batch, index, vote_limit=vote_limit, top=top, n_probe=n_probe, limits=limits)
         found.write.mode("overwrite").parquet(f"{answers_path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         queries.writeStream.foreachBatch(answer)
@@ -78,7 +80,9 @@ def stream_ingest(
     """
 
     def file(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # counted, sampled for the ranges and written
         append_postings(batch, index.tree, index.path, batch=batch_id + 1, limits=limits)
+        batch.unpersist()
         index.refresh()
 
     return (
