@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,10 @@ def resident_levels(levels: list[Level], limits: Limits) -> list[Level]:
     return kept
 
 
+def ship(levels: list[Level], spark: SparkSession) -> list[Broadcast]:
+    return [level.shipped(spark.sparkContext) for level in levels]
+
+
 def with_field(schema: T.StructType, name: str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, T.IntegerType(), False)])
 
@@ -61,10 +66,10 @@ def assign_cells(
 
 def _assign_resident(points: DataFrame, levels: list[Level], n_probe: int, column: str) -> DataFrame:
     k, dim = levels[0].k, levels[0].dim
-    shipped = points.sparkSession.sparkContext.broadcast([level.array for level in levels])
+    shipped = ship(levels, points.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = shipped.value
+        centers = [level.value for level in shipped]
         for batch in batches:
             x = bytes_matrix(batch["v"], dim)
             if n_probe == 1:

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ class Level:
     array: np.ndarray | None = None
     counts: np.ndarray | None = None
     table: DataFrame | None = field(default=None, repr=False)
+    _shipped: Broadcast | None = field(default=None, repr=False)
 
     @property
     def size(self) -> int:
@@ -55,6 +57,18 @@ class Level:
         )
         return spark.createDataFrame(arrow, CENTERS_SCHEMA)
 
+    def shipped(self, context: SparkContext) -> Broadcast:
+        """The array as a broadcast, sent once for as long as the level is in use."""
+        if self._shipped is None or self._shipped._sc is not context:
+            self._shipped = context.broadcast(self.array)
+        return self._shipped
+
+    def release(self) -> None:
+        """Free the broadcast of a level that is not needed on the executors any more."""
+        if self._shipped is not None:
+            self._shipped.destroy()
+            self._shipped = None
+
     def on_driver(self, broadcast_bytes: int) -> bool:
         """Whether the level is kept as an array.  Level 0 is: it has only k rows."""
         if self.number == 0:

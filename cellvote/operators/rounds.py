@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellvote.functions.vectors import l1_distance, unpack_bytes
-from cellvote.operators.assign import assign_cells, own_children, resident_levels, with_children
+from cellvote.operators.assign import assign_cells, own_children, resident_levels, ship, with_children
 from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column
 from cellvote.operators.levels import Level, center_rows
 from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
@@ -61,22 +60,22 @@ class _RunningSums:
         self.parts, self.held = [], 0
 
 
-def partial_sums(
-    points: DataFrame, levels: list[Level], shipped: Broadcast | None = None, *, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
+def partial_sums(points: DataFrame, levels: list[Level], *, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """SUMS_SCHEMA rows, at most a few per cell and task.
 
-    With the centers `shipped` as a broadcast, assignment and summing are one
-    pass over the Arrow batches.
+    Assignment and summing are one pass over the Arrow batches while the
+    centers fit the broadcast bound.
     """
     dim, k = levels[-1].dim, levels[-1].k
-    if shipped is not None:
+    if len(resident_levels(levels, limits)) == len(levels):
+        shipped = ship(levels, points.sparkSession)
 
         def walk_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             running = _RunningSums(dim)
+            centers = [level.value for level in shipped]
             for batch in batches:
                 x = bytes_matrix(batch["v"], dim)
-                running.add(*cell_sums(descend(x, shipped.value, k), x))
+                running.add(*cell_sums(descend(x, centers, k), x))
                 if running.full:  # too many cells to hold; the merge adds them up again
                     yield from running.flush()
             yield from running.flush()
@@ -123,14 +122,10 @@ def run_round(
 ) -> Level:
     """New centers of the last level.  A cell without points keeps its center with n = 0."""
     old = levels[-1]
-    shipped = None
-    if len(resident_levels(levels, limits)) == len(levels):
-        shipped = points.sparkSession.sparkContext.broadcast([level.array for level in levels])
-    means = mean_centers(partial_sums(points, levels, shipped, limits=limits), old.dim)
+    means = mean_centers(partial_sums(points, levels, limits=limits), old.dim)
     if old.array is not None:
         arrow = means.toArrow().combine_chunks()
-        if shipped is not None:
-            shipped.unpersist()
+        old.release()
         if empty == "error" and arrow.num_rows < old.size:
             raise ValueError(f"level {old.number}: {old.size - arrow.num_rows} centers got no points")
         centers, counts = old.array.copy(), np.zeros(old.size, np.int64)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellvote.operators.assign import append_column, assign_cells, resident_levels
+from cellvote.operators.assign import append_column, assign_cells, resident_levels, ship
 from cellvote.operators.kernels import bytes_matrix, descend, first_distinct
 from cellvote.operators.levels import Level, center_rows
 from cellvote.settings import DEFAULT_LIMITS, Limits
@@ -71,16 +71,17 @@ def find_seeds(points: DataFrame, levels: list[Level], k: int, dim: int, *, limi
     """
     rows = points.select("image_id", "desc_no", "v")
     resident = len(resident_levels(levels, limits)) == len(levels)
-    shipped = points.sparkSession.sparkContext.broadcast([level.array for level in levels] if resident else None)
+    shipped = ship(levels, points.sparkSession) if resident else []
     n_parents = k ** len(levels)
     if not resident:
         rows = assign_cells(rows, levels, column="parent", limits=limits)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Survivors(k, dim, n_parents)
+        centers = [level.value for level in shipped]
         for batch in batches:
             if resident:
-                cells = descend(bytes_matrix(batch["v"], dim), shipped.value, k)
+                cells = descend(bytes_matrix(batch["v"], dim), centers, k)
                 batch = append_column(batch, "parent", cells)
             found.add(batch)
         found.reduce()

@@ -132,7 +132,8 @@ def append_postings(
     holds a large share of the rows over many files.
     """
     spark = points.sparkSession
-    rows = points.select("image_id", "desc_no", "v")
+    named = F.coalesce("image_id", F.raise_error(F.lit("null image id"))).alias("image_id")
+    rows = points.select(named, "desc_no", "v")
     count = rows.count()
     least = min(spark.sparkContext.defaultParallelism, ceil(count / 20_000))
     files = max(ceil(count / limits.rows_per_file), least, 1)

@@ -35,8 +35,7 @@ def exchanges(text):
 
 def test_round_reads_one_column_and_shuffles_once(stored):
     points, tree = stored
-    shipped = points.sparkSession.sparkContext.broadcast([level.array for level in tree.levels])
-    text = plan(mean_centers(partial_sums(points, tree.levels, shipped), tree.dim))
+    text = plan(mean_centers(partial_sums(points, tree.levels), tree.dim))
     assert "ReadSchema: struct<v:binary>" in text and exchanges(text) == 1
 
 

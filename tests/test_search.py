@@ -143,6 +143,14 @@ def test_leaf_without_postings_gives_no_candidates(spark, make_points):
     assert [r.desc_no for r in search_votes(queries, index).collect()] == [1]
 
 
+def test_null_ids_and_vectors_are_not_filed(spark, stored):
+    _, _, index = stored
+    for row, reason in (((None, 0, bytearray(4)), "null image id"), (("a" * 16, 0, None), "null descriptor")):
+        points = spark.createDataFrame([row], "image_id STRING, desc_no BIGINT, v BINARY")
+        with pytest.raises(Exception, match=reason):
+            append_postings(points, index.tree, new_table_path(spark, "nulls"), batch=0)
+
+
 def test_string_query_ids(spark, stored):
     rows, _, index = stored
     queries = query_frame(spark, rows[:20]).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
