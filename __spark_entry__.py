@@ -256,11 +256,11 @@ def answer_parse(spark, sf):
     return votes.parsed_answers(answer_string(spark, sf))
 
 
-def recall_at_n(spark, sf):
-    """Votes found by the greedy search among those found when every leaf is probed."""
+def recall_at_n(spark, sf, n_probe=1):
+    """Votes found with n_probe leaves among those found when every leaf is probed."""
     keys = ["query_id", "desc_no", "image_id"]
     exact = votes.votes_of(nearest(K**DEPTH)(spark, sf))
-    found = vote_rows(spark, sf).withColumn("hit", F.lit(1))
+    found = votes.votes_of(nearest(n_probe)(spark, sf)).withColumn("hit", F.lit(1))
     joined = exact.join(found, keys, "left")
     return joined.groupBy("query_id").agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
 

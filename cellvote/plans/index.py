@@ -138,11 +138,12 @@ def append_postings(
     least = min(spark.sparkContext.defaultParallelism, ceil(count / 20_000))
     files = max(ceil(count / limits.rows_per_file), least, 1)
     filed = assign_cells(rows, tree.levels, column="leaf", limits=limits)
-    order = ["cell0", "leaf", "image_id", "desc_no", "v"]
+    # A hash stands in for v, as the keys of the range sample go to the driver.
+    order = ["cell0", "leaf", "image_id", "desc_no", F.xxhash64("v")]
     ordered = (
         filed.withColumn("cell0", ancestor(F.col("leaf"), tree.k, tree.depth - 1))
         .repartitionByRange(files, *order)
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions(*order, "v")
         .select("leaf", F.monotonically_increasing_id().alias("row"), "image_id", "desc_no", "v", "cell0")
     )
     target = f"{path}/postings/batch={batch}"

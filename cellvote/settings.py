@@ -22,7 +22,7 @@ class Limits:
 
     broadcast_bytes: int = 256 << 20
     block_rows: int = 65_536
-    rows_per_file: int = 4_000_000
+    rows_per_file: int = 8_000_000
 
 
 DEFAULT_LIMITS = Limits()
