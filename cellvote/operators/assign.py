@@ -15,6 +15,8 @@ from cellvote.operators.kernels import bytes_matrix, descend, descend_beam, near
 from cellvote.operators.levels import Level
 from cellvote.settings import DEFAULT_LIMITS, Limits
 
+BEAM_CELLS = 262_144  # children compared at a time when several cells are kept per point
+
 
 def resident_levels(levels: list[Level], limits: Limits) -> list[Level]:
     """The top level and those below it that together stay within the broadcast bound."""
@@ -55,6 +57,8 @@ def assign_cells(
     the n nearest cells are kept on every level and a point gives n rows; `keys`
     identify a point in that case.
     """
+    if n_probe < 1:
+        raise ValueError("n_probe must be at least 1")
     if not levels:
         return points.withColumn(column, F.lit(0))
     resident = resident_levels(levels, limits)
@@ -67,16 +71,18 @@ def assign_cells(
 def _assign_resident(points: DataFrame, levels: list[Level], n_probe: int, column: str) -> DataFrame:
     k, dim = levels[0].k, levels[0].dim
     shipped = ship(levels, points.sparkSession)
+    step = max(BEAM_CELLS // (n_probe * k), 1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = [level.value for level in shipped]
         for batch in batches:
-            x = bytes_matrix(batch["v"], dim)
             if n_probe == 1:
-                yield append_column(batch, column, descend(x, centers, k))
-            else:
-                rows, cells = descend_beam(x, centers, k, n_probe)
-                yield append_column(batch.take(pa.array(rows)), column, cells)
+                yield append_column(batch, column, descend(bytes_matrix(batch["v"], dim), centers, k))
+                continue
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                rows, cells = descend_beam(bytes_matrix(part["v"], dim), centers, k, n_probe)
+                yield append_column(part.take(pa.array(rows)), column, cells)
 
     return points.mapInArrow(walk, with_field(points.schema, column))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellvote.operators import ingest
+from cellvote.operators.levels import CENTERS_SCHEMA
 from cellvote.settings import new_table_path
 from cellvote.sources import descriptors, images, text
 from tests.conftest import clustered
@@ -73,11 +74,13 @@ def test_text_forms(spark, folder):
 
 def test_center_and_index_lines(spark):
     path = new_table_path(spark, "lines")
-    centers = spark.createDataFrame([(0, 1, 0, 7, bytearray([1, 2])), (0, 0, 0, 3, bytearray([9, 0]))], "level INT, center_id INT, parent_id INT, n BIGINT, center BINARY")
+    rows = [(0, 1, 0, 7, bytearray([1, 2])), (0, 0, 0, 3, bytearray([9, 0]))]
+    centers = spark.createDataFrame(rows, CENTERS_SCHEMA)
     text.write_centers(centers, f"{path}/c")
     assert [r.value for r in spark.read.text(f"{path}/c").orderBy("value").collect()] == ["0\t3\t9 0", "1\t7\t1 2"]
     assert sorted(text.read_centers(spark, f"{path}/c", 0, 2).collect()) == sorted(centers.collect())
-    postings = spark.createDataFrame([(3, 1, "00000000000000ab", bytearray([5, 6]))], "cell INT, ord BIGINT, image_id STRING, v BINARY")
+    rows = [(3, 1, "00000000000000ab", bytearray([5, 6]))]
+    postings = spark.createDataFrame(rows, "cell INT, ord BIGINT, image_id STRING, v BINARY")
     text.write_index(postings, f"{path}/i")
     assert spark.read.text(f"{path}/i").head().value == "3\t1 00000000000000ab  5 6"
     assert text.read_index(spark, f"{path}/i").collect() == postings.collect()

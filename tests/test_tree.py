@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellvote import Limits, TreeModel, fit_tree
+from cellvote.operators import assign
 from cellvote.operators.assign import assign_cells
 from cellvote.operators.levels import Level
 from cellvote.operators.rounds import run_round
@@ -126,7 +127,8 @@ def test_early_stop_when_centers_rest(spark, make_points):
 
 
 @pytest.mark.parametrize("n_probe", [1, 2, 4])
-def test_joined_descent_equals_the_broadcast_one(spark, make_points, n_probe):
+def test_joined_descent_equals_the_broadcast_one(spark, make_points, n_probe, monkeypatch):
+    monkeypatch.setattr(assign, "BEAM_CELLS", 48)  # several steps per batch
     points = make_points(clustered(70, 4, seed=8))
     tree = fit_tree(points, k=2, depth=3, iterations=1)
     frames = [
@@ -135,6 +137,8 @@ def test_joined_descent_equals_the_broadcast_one(spark, make_points, n_probe):
     ]
     rows = [sorted((r.image_id, r.desc_no, r.cell) for r in f.collect()) for f in frames]
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 70 * n_probe
+    with pytest.raises(ValueError, match="n_probe"):
+        assign_cells(points, tree.levels, n_probe=0)
 
 
 def test_every_point_is_in_its_nearest_cell(make_points):
