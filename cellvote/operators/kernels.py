@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1024  # rows per step, so that the working set stays in cache
 
@@ -121,6 +124,33 @@ def cell_sums(cell: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids, counts, sums
 
 
+# Number types for a sum of n bytes, with the largest n whose sum always fits.
+SUM_TYPES = (("<u2", 257), ("<u4", 16_843_009), ("<i8", np.iinfo(np.int64).max // 255))
+
+
+def pack_sums(counts: np.ndarray, sums: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Row numbers and BINARY sums, each row in the smallest type its count allows."""
+    smallest = 0
+    for name, largest in SUM_TYPES:
+        rows = np.flatnonzero((counts > smallest) & (counts <= largest))
+        smallest = largest
+        if len(rows):
+            packed = np.ascontiguousarray(sums[rows].astype(name))
+            yield rows, matrix_column(packed.view(np.uint8).reshape(len(rows), -1))
+
+
+def unpack_sums(column: pa.Array, dim: int) -> np.ndarray:
+    """Inverse of pack_sums: int64 matrix in the order of the column."""
+    length = pc.binary_length(column).to_numpy()
+    sums = np.empty((len(length), dim), np.int64)
+    for name, _ in SUM_TYPES:
+        width = dim * np.dtype(name).itemsize
+        rows = np.flatnonzero(length == width)
+        if len(rows):
+            sums[rows] = bytes_matrix(column.take(pa.array(rows)), width).view(name)
+    return sums
+
+
 def first_distinct(parent: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     """Row numbers of the first k distinct vectors per parent.
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from cellvote.functions.vectors import l1_distance, unpack_bytes
 from cellvote.operators.assign import assign_cells, own_children, resident_levels, ship, with_children
-from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column
+from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column, pack_sums, unpack_sums
 from cellvote.operators.levels import Level, center_rows
 from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
 
-SUMS_SCHEMA = "cell INT, n BIGINT, s ARRAY<BIGINT>"
+SUMS_SCHEMA = "cell INT, n BIGINT, s BINARY"  # s: one number per dimension, see pack_sums
 HELD_BYTES = 64 << 20  # running sums a task may hold before it adds them up or emits them
 
 
@@ -50,13 +50,9 @@ class _RunningSums:
         if not self.parts:
             return
         ids, counts, sums = self.merge()
-        ends = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(self.dim)
-        columns = [
-            pa.array(ids, pa.int32()),
-            pa.array(counts, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel())),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["cell", "n", "s"])
+        for rows, packed in pack_sums(counts, sums):
+            columns = [pa.array(ids[rows], pa.int32()), pa.array(counts[rows], pa.int64()), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "n", "s"])
         self.parts, self.held = [], 0
 
 
@@ -105,8 +101,7 @@ def mean_centers(sums: DataFrame, dim: int) -> DataFrame:
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = _RunningSums(dim)
         for batch in batches:
-            sums = batch["s"].flatten().to_numpy().reshape(-1, dim)
-            running.add(batch["cell"].to_numpy(), batch["n"].to_numpy(), sums)
+            running.add(batch["cell"].to_numpy(), batch["n"].to_numpy(), unpack_sums(batch["s"], dim))
         if running.parts:
             ids, counts, sums = running.merge()
             centers = matrix_column((sums // counts[:, None]).astype(np.uint8))

@@ -67,6 +67,15 @@ def test_cell_sums():
         assert (s == x[cell == c].astype(int).sum(0)).all()
 
 
+def test_sums_survive_packing_in_every_width():
+    counts = np.array([1, 257, 258, 16_843_009, 16_843_010, 1 << 40])
+    sums = np.stack([counts * 255, counts * 0, counts * 7], axis=1)
+    rows, columns = zip(*kernels.pack_sums(counts, sums))
+    assert [r.tolist() for r in rows] == [[0, 1], [2, 3], [4, 5]]
+    mixed = pa.concat_arrays(columns[::-1])
+    assert (kernels.unpack_sums(mixed, 3) == sums[[4, 5, 2, 3, 0, 1]]).all()
+
+
 def test_first_distinct():
     parent = np.array([0, 0, 0, 1, 1, 1], np.int32)
     x = np.array([[1, 1], [1, 1], [2, 1], [1, 1], [3, 3], [4, 4]], np.uint8)
