@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +46,14 @@ def _within_cut(
         yield q + start, p, dist[q, p]
 
 
-def join_broadcast(routed: pa.Table, postings: DataFrame, *, vote_limit: int, dim: int, query_type: T.DataType) -> DataFrame:
+def join_broadcast(
+    shipped: Broadcast, postings: DataFrame, *, vote_limit: int, dim: int, query_type: T.DataType
+) -> DataFrame:
     """Candidates when all query descriptors fit the broadcast bound.
 
     Map-only over the postings, as a large leaf is already split over files.
-    routed: query_id, desc_no, v, leaf.
+    shipped: Arrow table query_id, desc_no, v, leaf in leaf order.
     """
-    shipped = postings.sparkSession.sparkContext.broadcast(routed.sort_by("leaf"))
     schema = candidate_schema(query_type)
     limit = max(vote_limit, 0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,21 @@ def leaves_hit(routed: DataFrame, index: Index) -> DataFrame:
 
 
 def nearest_candidates(
-    queries: DataFrame, index: Index, *, vote_limit: int = 10, n_probe: int = 1, limits: Limits = DEFAULT_LIMITS
+    queries: DataFrame,
+    index: Index,
+    *,
+    vote_limit: int = 10,
+    n_probe: int = 1,
+    limits: Limits = DEFAULT_LIMITS,
+    broadcasts: list[Broadcast] | None = None,
 ) -> DataFrame:
     """query_id, desc_no, dist, image_id, n: the candidates inside the vote cut.
 
     The number of query descriptors is measured first.  Within the broadcast
     bound the routed descriptors go to every task of a pruned postings scan;
     beyond it both sides are shuffled in blocks.
+    broadcasts: a list that receives what was broadcast for this batch, for a
+        long-running caller to destroy once the result is written.
     """
     spark, tree = index.spark, index.tree
     routed = route(queries, index, n_probe=n_probe, limits=limits)
@@ -43,8 +52,11 @@ def nearest_candidates(
     if small:
         local = routed.toArrow()
         leaves = local["leaf"].unique().to_pylist()
+        shipped = spark.sparkContext.broadcast(local.sort_by("leaf"))
+        if broadcasts is not None:
+            broadcasts.append(shipped)
         candidates = join_broadcast(
-            local,
+            shipped,
             index.postings(leaves),
             vote_limit=vote_limit,
             dim=tree.dim,
@@ -64,29 +76,21 @@ def nearest_candidates(
     return cut_candidates(candidates, vote_limit, small_queries=small)
 
 
-def search_votes(
-    queries: DataFrame, index: Index, *, vote_limit: int = 10, n_probe: int = 1, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
-    """query_id, desc_no, image_id: the images each query descriptor votes for."""
-    return votes_of(nearest_candidates(queries, index, vote_limit=vote_limit, n_probe=n_probe, limits=limits))
+def search_votes(queries: DataFrame, index: Index, **options) -> DataFrame:
+    """query_id, desc_no, image_id: the images each query descriptor votes for.
 
+    options: those of nearest_candidates.
+    """
+    return votes_of(nearest_candidates(queries, index, **options))
 
-def search(
-    queries: DataFrame,
-    index: Index,
-    *,
-    vote_limit: int = 10,
-    top: int = 10,
-    min_votes: int = 2,
-    n_probe: int = 1,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
+
+def search(queries: DataFrame, index: Index, *, top: int = 10, min_votes: int = 2, **options) -> DataFrame:
     """query_id, rank, image_id, votes for every query image of the batch.
 
     queries: query_id, desc_no, v.
-    vote_limit: candidates per descriptor after which no further distance votes.
-    n_probe: leaves searched per descriptor; 1 is the plain greedy descent.
+    top, min_votes: length of the answer and votes an image needs to be in it.
+    options: those of nearest_candidates, namely
+        vote_limit: candidates per descriptor after which no further distance votes;
+        n_probe: leaves searched per descriptor, 1 is the plain greedy descent.
     """
-    votes = search_votes(queries, index, vote_limit=vote_limit, n_probe=n_probe, limits=limits)
-    return top_images(count_votes(votes), top, min_votes)
-
+    return top_images(count_votes(search_votes(queries, index, **options)), top, min_votes)

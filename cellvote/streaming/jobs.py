@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,9 +54,14 @@ def stream_search(
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # counted, routed and searched
-        found = search(batch, index, vote_limit=vote_limit, top=top, n_probe=n_probe, limits=limits)
+        used: list[Broadcast] = []
+        found = search(
+            batch, index, vote_limit=vote_limit, top=top, n_probe=n_probe, limits=limits, broadcasts=used
+        )
         found.write.mode("overwrite").parquet(f"{answers_path}/batch_id={batch_id}")
         batch.unpersist()
+        for table in used:
+            table.destroy()
 
     return (
         queries.writeStream.foreachBatch(answer)
