@@ -29,6 +29,14 @@ from cellvote.streaming import jobs  # noqa: E402
 from checks import oracle  # noqa: E402
 from checks.oracle import BEAM, DEPTH, K, ROUNDS, TOP, VOTE_LIMIT  # noqa: E402
 
+try:  # the operators for training text are an optional part
+    import corpus_pipeline
+    from cellvote.llm import queries as text_queries
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "cellvote.llm"):
+        raise
+    corpus_pipeline = text_queries = None
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -368,6 +376,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if text_queries is None:
+        return own_queries()
+    return own_queries() | text_queries.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "quantize": quantize,
         "image_hex": image_hex,
@@ -415,4 +429,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    if text_queries is None:
+        return oracle.statements()
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracle.statements() | text_queries.oracle_sql() | pipeline
