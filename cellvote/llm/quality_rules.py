@@ -129,7 +129,7 @@ BASE = [
 
 # Thresholds are far outside what plain prose of any language with spaces shows.
 RULES = [
-    Rule("symbols", lambda text, words: n_symbols(text) * 20 > F.size(words) * 10),
+    Rule("symbols", lambda text, words: n_symbols(text) * 4 > F.size(words)),
     Rule("capitals", lambda text, words: chars_in(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 2 > F.length(text)),
     Rule("exclamations", lambda text, words: chars_in(text, "!") * 2 > F.size(words)),
     Rule("long_words", lambda text, words: word_chars(text) > F.size(words) * 25),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellvote.llm import bpe, quality_rules, token_counts, token_files
+from cellvote.llm import bpe, decontamination, html_text, quality_rules, sharding, token_counts, token_files, url_filter
 from cellvote.llm.common import read
 from cellvote.settings import new_table_path
 
@@ -18,22 +18,51 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf, "documents"), path, new_table_path(spark, "token-cache"))
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_table_path(spark, "token-files")
     token_files.write_token_files(read(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE), path, END_ID)
     return token_files.checksums(token_files.read_token_files(spark, path))
 
 
+def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(read(spark, sf, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(read(spark, sf, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled(spark))
+    return url_filter.judge(read(spark, sf, "pages"), model)
+
+
 def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+QUERIES = [
+    op1_token_counts,
+    op2_decontamination,
+    op3_token_files,
+    op4_html_text,
+    op5_quality_rules,
+    op6_sharding,
+    op8_url_filter,
+    op9_bpe,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_token_files, op5_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
