@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellvote.llm import bpe, decontamination, html_text, quality_rules, sharding, token_counts, token_files, url_filter
+from cellvote.llm import (
+    bpe,
+    decontamination,
+    html_text,
+    minhash,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    url_filter,
+)
 from cellvote.llm.common import read
 from cellvote.settings import new_table_path
 
@@ -40,6 +51,10 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign(read(spark, sf, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.span_rows(suffix_dedup.passages(read(spark, sf, "documents")))
+
+
 def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     model = url_filter.train(url_filter.labelled(spark))
     return url_filter.judge(read(spark, sf, "pages"), model)
@@ -49,6 +64,10 @@ def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf, "documents"))
+
+
 QUERIES = [
     op1_token_counts,
     op2_decontamination,
@@ -56,8 +75,10 @@ QUERIES = [
     op4_html_text,
     op5_quality_rules,
     op6_sharding,
+    op7_suffix_dedup,
     op8_url_filter,
     op9_bpe,
+    op10_minhash,
 ]
 
 

@@ -1,11 +1,11 @@
-"""A corpus pipeline: five stages, each a DataFrame of documents to the next."""
+"""A corpus pipeline: five stages over documents, each handing a table of documents to the next."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-from cellvote.llm import bpe, quality_rules
-from cellvote.llm.common import stored
+from cellvote.llm import bpe, decontamination, minhash, quality_rules, suffix_dedup
+from cellvote.llm.common import read, stored
 from cellvote.llm.queries import BYTE_BPE
 
 
@@ -14,19 +14,41 @@ def quality(spark, docs, sf_dir):
     return quality_rules.keep_good(docs)
 
 
-def encode(spark, docs, sf_dir):
-    """Ids of every document that is left, checked by decoding them."""
+def near_duplicates(spark, docs, sf_dir):
+    """The first document of every group of near-duplicates."""
+    return minhash.keep_one(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Documents without the passages that stand in an earlier one; n_chars follows."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def benchmark_free(spark, docs, sf_dir):
+    """Documents in which no window of a benchmark item occurs."""
+    return decontamination.remove_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark, docs, sf_dir):
+    """Every document's ids, as their number and digest, with the digest of what they decode to."""
     return bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE))
 
 
-STAGES = [("quality", quality), ("encode", encode)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_free", benchmark_free),
+    ("encoded", encoded),
+]
 
+# The last stage has no SQL form; tests hold the whole against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages over documents; what each returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
