@@ -133,6 +133,7 @@ def windows(texts: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The rows whose key another row has too, with `first`: it is the least by `order` of those with its key.
+    Without an order `first` means nothing.
 
     Sorts by key and compares neighbours.  rows must be a stored table.
     """
@@ -172,9 +173,13 @@ def repeated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     found = spread.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
     if hot:
         many = rows.where(F.col(key).isin(hot))
-        least = many.groupBy(key).agg(F.min(F.struct(*order)).alias("least"))
-        many = many.join(F.broadcast(least), key)  # a row per hot key
-        found = found.unionByName(many.select(*names, (F.struct(*order) == F.col("least")).alias("first")))
+        if not order:
+            return found.unionByName(many.withColumn("first", F.lit(False)))
+        # one row per hot key, of which there is a bounded number
+        named = F.concat_ws("|", *(F.col(c).cast("string") for c in (key, *order)))
+        least = many.groupBy(key).agg(F.min(F.struct(*order)).alias("least")).select(key, "least.*")
+        firsts = [row[0] for row in least.select(named).collect()]
+        found = found.unionByName(many.withColumn("first", named.isin(firsts)))
     return found
 
 
@@ -219,7 +224,7 @@ def text_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = _keyed(docs, id_col, text_col)
     kept = stored(suffixes(rows.select("text_key", "text")), "suffixes")
-    alike = repeated(kept, "gram", ["text_key", "at"])
+    alike = repeated(kept, "gram", [])
     by_text = alike.groupBy("text_key").agg(F.collect_set("at").alias("kept"))
     texts = rows.groupBy("text_key").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("text").alias("text")
