@@ -4,15 +4,16 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes.
 
 * Sketch.  The top bits of a shingle's hash name one of 256 buckets.  A bucket
   keeps its least hash as a 16-bit register: the number of leading zeros (6 bits)
-  and the 10 bits that follow the first one.  Empty buckets borrow the next full
-  one's register, so that small sets fill all bands too.
+  and the 10 bits that follow the first one.  An empty bucket borrows from
+  the first full one in an order of its own, so that small sets fill all bands, and
+  no band with a single shingle's registers only.
 * Classes.  Documents of equal sets (a 128-bit digest) are one class with one
   representative; copies are never compared.
 * Bands.  The registers form 42 bands of 6.  Two sets of similarity 0.85 agree in
   a band with probability 0.38, and miss all bands with 2 in a thousand million.
 * Candidates.  Inside a bucket of a band not all pairs are made.  In each round a
-  bucket names a few of its classes as centres (one, then up to twice as many each
-  time, by partial aggregation), which are compared with the others of the bucket
+  bucket names a few of its classes as centres (one, then up to 8, 64 and so on, by
+  partial aggregation), which are compared with the others of the bucket
   that are not yet in the same component.  A class that has been a centre is done in that bucket, and a
   bucket whose classes are all in one component is done.  So what is left out is
   implied by links already found; the rounds end when no bucket is open.
@@ -33,6 +34,7 @@ component; a null doc_id never names a component; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
+# Centres of a bucket in a round, as a multiple of those of the round before.
+MORE_CENTRES = 8
 # A pair is verified unless its estimate is this many standard errors below the threshold.
 ERRORS = 6.0
 # Chance that the registers of two unrelated, full buckets agree: about the sum over zeros of 4^-(z+1) * 2^-10.
@@ -79,14 +83,19 @@ def registers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x[low] <<= np.uint64(step)
     mantissa = (x << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
     register = (np.minimum(zeros, 63) << MANTISSA_BITS) | mantissa.astype(np.int64)
-    # an empty bucket takes the register of the next full one, around the end if need be
-    place = np.where(full, np.arange(BUCKETS), 2 * BUCKETS)
-    following = np.minimum.accumulate(place[::-1])[::-1]
-    first = int(np.flatnonzero(full)[0])
-    following[following == 2 * BUCKETS] = first
-    distance = (following - np.arange(BUCKETS)) % BUCKETS
-    # the distance is mixed in: borrowed registers agree only where the same gap is bridged
-    return ((register[following] + distance * 0x9E5) & 0xFFFF).astype(np.uint16), full
+    # an empty bucket takes the register of the first full one in its own order of the buckets
+    source = np.arange(BUCKETS)
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        order = lending_order()[empty]
+        source[empty] = order[np.arange(len(empty)), full[order].argmax(axis=1)]
+    return register[source].astype(np.uint16), full
+
+
+@cache
+def lending_order() -> np.ndarray:
+    """For every bucket all buckets in an order of its own, by hash."""
+    return np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,9 +261,9 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame) -> Dat
         near = stored(likely(with_both(pairs, sketches, ["registers", "full"])), "likely")
         links = stored(verified(with_both(near, sets, ["shingles"])), "links")
         labels = contract(labels, links)
-        tested = pairs if tested is None else stored(tested.union(pairs), "tested")
+        tested = pairs if tested is None else tested.union(pairs)
         open_rows = state.select("band_key", "node").join(centre.select("band_key", "node"), ["band_key", "node"], "left_anti")
-        centres *= 2
+        centres *= MORE_CENTRES
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
