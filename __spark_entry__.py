@@ -22,7 +22,7 @@ from cellvote.operators.rounds import center_shift, run_round  # noqa: E402
 from cellvote.operators.seeds import find_seeds  # noqa: E402
 from cellvote.operators.words import word_count  # noqa: E402
 from cellvote.plans.search import leaves_hit, nearest_candidates  # noqa: E402
-from cellvote.settings import new_table_path  # noqa: E402
+from cellvote.settings import Limits, new_table_path  # noqa: E402
 from cellvote.sources import descriptors as records  # noqa: E402
 from cellvote.sources import text as texts  # noqa: E402
 from cellvote.streaming import jobs  # noqa: E402
@@ -215,8 +215,10 @@ def index_partition_sizes(spark, sf):
 
 
 def leaf_prune(spark, sf):
+    """Leaves that the descriptors with an id divisible by 100 are routed to."""
     fx = fixture(spark, sf)
-    return leaves_hit(route(fx.queries, fx.index), fx.index).select("leaf", "n")
+    asked = fx.queries.where((F.col("query_id") * 10 + F.col("desc_no")) % 100 == 0)
+    return leaves_hit(route(asked, fx.index), fx.index).select("leaf", "n")
 
 
 # --- search -----------------------------------------------------------------
@@ -260,6 +262,19 @@ def answer_string(spark, sf):
     return votes.answers(search_topk(spark, sf))
 
 
+def answer_all(spark, sf):
+    """Queries of one to four descriptors: each gets an answer, though with one no image has two votes."""
+    fx = fixture(spark, sf)
+    asked = fx.queries.where(F.col("desc_no") < F.col("query_id") % 4 + 1)
+    return votes.answers(search(asked, fx.index, vote_limit=VOTE_LIMIT, top=TOP), asked)
+
+
+def search_topk_shuffled(spark, sf):
+    """The search beyond every broadcast bound."""
+    fx = fixture(spark, sf)
+    return search(fx.queries, fx.index, vote_limit=VOTE_LIMIT, top=TOP, limits=Limits(broadcast_bytes=0))
+
+
 def answer_parse(spark, sf):
     return votes.parsed_answers(answer_string(spark, sf))
 
@@ -410,6 +425,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_topk": search_topk,
         "search_beam": search_beam,
         "answer_string": answer_string,
+        "answer_all": answer_all,
+        "search_topk_shuffled": search_topk_shuffled,
         "answer_parse": answer_parse,
         "knn_exact": nearest(K**DEPTH),
         "recall_at_n": recall_at_n,

@@ -120,7 +120,6 @@ def run_round(
     means = mean_centers(partial_sums(points, levels, limits=limits), old.dim)
     if old.array is not None:
         arrow = means.toArrow().combine_chunks()
-        old.release()
         if empty == "error" and arrow.num_rows < old.size:
             raise ValueError(f"level {old.number}: {old.size - arrow.num_rows} centers got no points")
         centers, counts = old.array.copy(), np.zeros(old.size, np.int64)

@@ -45,7 +45,7 @@ class _Survivors:
         table = pa.Table.from_batches(self.waiting)
         if self.held is not None:
             table = pa.concat_tables([self.held, table])
-        table = table.sort_by([(c, "ascending") for c in ("parent", "image_id", "desc_no")])
+        table = table.sort_by([(c, "ascending") for c in ("parent", "image_id", "desc_no", "v")])
         x = bytes_matrix(table["v"].combine_chunks(), self.dim)
         parent = table["parent"].to_numpy()
         kept = first_distinct(parent, x, self.k)
@@ -64,7 +64,7 @@ class _Survivors:
 def find_seeds(points: DataFrame, levels: list[Level], k: int, dim: int, *, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Centers frame of the next level; fewer than k per parent if vectors run out.
 
-    Order is (image_id, desc_no).  Each task first reduces its own rows to the
+    Order is (image_id, desc_no, v).  Each task first reduces its own rows to the
     first k distinct vectors per parent.  A vector among the global first k is
     also among the first k of the task that holds its first occurrence, so
     nothing is lost and only the survivors are shuffled.
@@ -90,7 +90,7 @@ def find_seeds(points: DataFrame, levels: list[Level], k: int, dim: int, *, limi
 
     local = rows.mapInArrow(survivors, SURVIVOR_SCHEMA)
     distinct = local.groupBy("parent", "v").agg(F.min(F.struct("image_id", "desc_no")).alias("_first"))
-    order = Window.partitionBy("parent").orderBy("_first")
+    order = Window.partitionBy("parent").orderBy("_first", "v")
     ranked = distinct.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
     seeds = ranked.select(
         (F.col("parent") * k + F.col("_rank") - 1).alias("center_id"), F.lit(0).alias("n"), F.col("v").alias("center")

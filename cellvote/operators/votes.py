@@ -58,9 +58,19 @@ def top_images(counts: DataFrame, top: int = 10, min_votes: int = 2) -> DataFram
     )
 
 
-def answers(ranked: DataFrame) -> DataFrame:
-    """One 'id:votes id:votes' string per query."""
-    return ranked.groupBy("query_id").agg(format_answer(F.col("rank"), F.col("image_id"), F.col("votes")).alias("answer"))
+def answers(ranked: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One 'id:votes id:votes' string per query.
+
+    queries: the batch that was asked; each of its query_ids gets a row then, with
+        an empty string if no image was found.
+    """
+    found = ranked.groupBy("query_id").agg(
+        format_answer(F.col("rank"), F.col("image_id"), F.col("votes")).alias("answer")
+    )
+    if queries is None:
+        return found
+    asked = queries.select("query_id").distinct().join(found, "query_id", "left")
+    return asked.select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
 def parsed_answers(answered: DataFrame) -> DataFrame:

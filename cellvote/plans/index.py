@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import ceil
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,6 @@ class Index:
     spark: SparkSession
     path: str
     tree: TreeModel
-    _stored: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, limits: Limits = DEFAULT_LIMITS) -> "Index":
@@ -44,9 +44,10 @@ class Index:
 
     def postings(self, leaves: list[int] | None = None) -> DataFrame:
         """Postings, read only where `leaves` can be when given."""
-        if self._stored is None:
-            self._stored = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
-        frame = self._stored
+        # Listed anew each time, so that appended batches are seen; a batch counts once its runs are there.
+        frame = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
+        batches = [row.batch for row in self.runs().select("batch").distinct().collect()]
+        frame = frame.where(F.col("batch").isin(batches))
         if leaves is None:
             return frame
         below = self.tree.k ** (self.tree.depth - 1)
@@ -56,10 +57,6 @@ class Index:
         # A longer list would bloat the plan; the join drops the rows between the ranges then.
         return frame.where(F.col("leaf").isin(leaves)) if len(leaves) <= MAX_LISTED else frame
 
-    def refresh(self) -> None:
-        """See batches appended since the files were last listed."""
-        self._stored = None
-
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUNS_SCHEMA).parquet(f"{self.path}/runs")
 
@@ -113,11 +110,28 @@ def leaf_ranges(leaf: Column, leaves: list[int], most: int = MAX_RANGES) -> Colu
     return condition
 
 
+def has_batches(spark: SparkSession, path: str) -> bool:
+    """Whether a batch has been committed below path."""
+    try:
+        return not spark.read.schema(RUNS_SCHEMA).parquet(f"{path}/runs").isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def build_index(
     points: DataFrame, tree: TreeModel, path: str, *, limits: Limits = DEFAULT_LIMITS
 ) -> Index:
-    """File every point under its leaf and write the clustered index."""
+    """File every point under its leaf and write the clustered index.
+
+    The folder must not hold an index: its other batches were filed by another
+    tree, or are what is read here.  Small batches are merged by building into a
+    new folder, build_index(index.postings(), index.tree, new_path).
+    """
     spark = points.sparkSession
+    if has_batches(spark, path):
+        raise ValueError(f"{path} holds an index; build into another folder")
     tree.save(spark, f"{path}/tree")
     append_postings(points, tree, path, batch=0, limits=limits)
     return Index(spark, path, tree)

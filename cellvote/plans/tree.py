@@ -128,6 +128,7 @@ def fit_tree(
             new = run_round(points, [*tree.levels, level], empty=empty, limits=limits)
             shift = _shift(spark, level, new)
             tree.shifts.append((number, iteration, shift))
+            level.release()  # made here, and nothing lazy is left that reads it
             level = new
             if snapshots:
                 _write_snapshot(spark, snapshots, level, iteration, shift)

@@ -38,19 +38,41 @@ SCHEMA = "image_id STRING, desc_no BIGINT, v BINARY"
 def scan_descriptors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """image_id, desc_no, v; desc_no is the record's position in its file.
 
-    Large files are split at record boundaries.  A file that is not a whole
+    Files in subfolders are read as well.  Large files are split at record boundaries.  A file that is not a whole
     number of records is an error.
     """
     spark.dataSource.register(DescriptorFiles)
     reader = spark.read.format("descriptor_files").option("dim", str(dim)).option("split_bytes", str(split_bytes))
-    return reader.load(path)
+    return reader.load(qualified(path, default_store(spark)))
 
 
 def write_descriptors(points: DataFrame, path: str, dim: int = DEFAULT_DIM) -> None:
     """Export points as descriptor files, one per partition."""
     points.sparkSession.dataSource.register(DescriptorFiles)
     rows = points.select("image_id", F.lit(0).cast("bigint").alias("desc_no"), "v")
-    rows.write.format("descriptor_files").mode("append").option("dim", str(dim)).save(path)
+    target = qualified(path, default_store(points.sparkSession))
+    rows.write.format("descriptor_files").mode("append").option("dim", str(dim)).save(target)
+
+
+def qualified(path: str, default_fs: str | None) -> str:
+    """The path with a scheme: its own, or that of the session's default file system.
+
+    s3a and s3n are the store that the file system library calls s3.
+    """
+    scheme = path.split(":", 1)[0] if ":" in path.split("/", 1)[0] else ""
+    if not scheme:
+        if not default_fs or default_fs.startswith("file:"):
+            return path
+        return qualified(default_fs.rstrip("/") + "/" + path.lstrip("/"), None)
+    if scheme in ("s3a", "s3n"):
+        return "s3" + path[len(scheme) :]
+    if scheme not in ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss"):
+        raise ValueError(f"executors cannot open {scheme} paths: {path}")
+    return path
+
+
+def default_store(spark: SparkSession) -> str | None:
+    return spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -95,10 +117,12 @@ class _DescriptorReader(DataSourceReader):
         info = store.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
+        one = info.type == fs.FileType.File
+        files = [info] if one else store.get_file_info(fs.FileSelector(root, recursive=True))
         splits: list[InputPartition] = []
         for file in sorted((f for f in files if f.type == fs.FileType.File), key=lambda f: f.path):
-            if file.base_name.startswith(("_", ".")):
+            below = file.base_name if one else file.path[len(root.rstrip("/")) :]
+            if any(part.startswith(("_", ".")) for part in below.split("/")):
                 continue
             if file.size % self.length:
                 raise ValueError(f"{file.path}: {file.size} bytes is not a multiple of {self.length}")

@@ -57,9 +57,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_queries(queries: DataFrame, path: str) -> None:
-    """Lines 'desc_no<TAB>0<TAB>v0 v1 ... ' in one folder per query image."""
+    """Lines 'desc_no<TAB>0<TAB>v0 v1 ... ', one folder and one file per query image."""
     line = F.concat(F.col("desc_no").cast("string"), F.lit("\t0\t"), vector_text(F.col("v")), F.lit(" "))
-    queries.select("query_id", line.alias("value")).write.mode("overwrite").partitionBy("query_id").text(path)
+    rows = queries.select("query_id", line.alias("value")).repartition("query_id")
+    rows.write.mode("overwrite").partitionBy("query_id").text(path)
+
+
+def id_of_file() -> Column:
+    """The folder value query_id=... of the file a line is from, else the file name."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/query_id=([^/]*)/[^/]*$", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(F.col("_metadata.file_name"))
 
 
 def query_lines(lines: DataFrame, query_id: Column) -> DataFrame:

@@ -10,10 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 from cellvote.plans.index import Index, append_postings
 from cellvote.plans.search import search
 from cellvote.settings import DEFAULT_LIMITS, Limits
-from cellvote.sources.text import query_lines
+from cellvote.sources.text import id_of_file, query_lines
 
 QUERY_SCHEMA = "query_id BIGINT, desc_no BIGINT, v BINARY"
 POINTS_SCHEMA = "image_id STRING, desc_no BIGINT, v BINARY"
+BATCH_BITS = 30  # of a batch number inside its stream
+
+
+def stream_number(spark: SparkSession, checkpoint: str) -> int:
+    """A positive 32-bit number that belongs to the checkpoint's path, the same after a restart."""
+    path = checkpoint.rstrip("/")
+    return spark.range(1).select(F.crc32(F.lit(path).cast("binary"))).head()[0] + 1
 
 
 def query_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -23,9 +30,13 @@ def query_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def text_query_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Query descriptors from text files, one image per file, named by the file."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return query_lines(lines, F.col("_metadata.file_name"))
+    """Query descriptors from text files, one image per file.
+
+    Named by the folder query_id=... the file is in, as write_queries lays them
+    out, else by the file.  path may be the folder above those folders.
+    """
+    reader = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", files_per_batch)
+    return query_lines(reader.option("recursiveFileLookup", True).text(path), id_of_file())
 
 
 def point_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -48,20 +59,24 @@ def stream_search(
 ) -> StreamingQuery:
     """Answer every arriving query image; one job answers a whole micro-batch.
 
-    Answers go to answers_path/batch_id=N.  A batch that is run again after a
-    failure overwrites its own folder, so no answer is doubled.
+    Answers go to answers_path/stream=S/batch_id=N, where S belongs to the
+    checkpoint, so several streams can share a target.  A batch that is run again
+    after a failure overwrites its own folder, so no answer is doubled.
     """
+    target = f"{answers_path}/stream={stream_number(queries.sparkSession, checkpoint)}"
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # counted, routed and searched
         used: list[Broadcast] = []
-        found = search(
-            batch, index, vote_limit=vote_limit, top=top, n_probe=n_probe, limits=limits, broadcasts=used
-        )
-        found.write.mode("overwrite").parquet(f"{answers_path}/batch_id={batch_id}")
-        batch.unpersist()
-        for table in used:
-            table.destroy()
+        try:
+            found = search(
+                batch, index, vote_limit=vote_limit, top=top, n_probe=n_probe, limits=limits, broadcasts=used
+            )
+            found.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+            for table in used:
+                table.destroy()
 
     return (
         queries.writeStream.foreachBatch(answer)
@@ -81,15 +96,18 @@ def stream_ingest(
 ) -> StreamingQuery:
     """File every arriving point under its leaf of the fixed tree.
 
-    Batch N is written as batch N+1 of the index (0 is the first build), again
-    replacing itself when run twice.
+    Batch N of the stream is a batch of the index whose number also holds one that
+    belongs to the checkpoint: it replaces itself when run twice, and no other
+    stream's (0 is the first build).
     """
+    first = (stream_number(points.sparkSession, checkpoint) << BATCH_BITS) + 1
 
     def file(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # counted, sampled for the ranges and written
-        append_postings(batch, index.tree, index.path, batch=batch_id + 1, limits=limits)
-        batch.unpersist()
-        index.refresh()
+        try:
+            append_postings(batch, index.tree, index.path, batch=first + batch_id, limits=limits)
+        finally:
+            batch.unpersist()
 
     return (
         points.writeStream.foreachBatch(file)

@@ -194,7 +194,7 @@ named AS (
         "leaf_prune": statement(
             filed,
             "SELECT CAST(leaf AS INTEGER) AS leaf, count(*) AS n FROM postings"
-            " WHERE leaf IN (SELECT leaf FROM postings) GROUP BY ALL",
+            " WHERE leaf IN (SELECT leaf FROM postings WHERE (query_id * 10 + desc_no) % 100 = 0) GROUP BY ALL",
         ),
         "route": statement(filed, "SELECT query_id, desc_no, CAST(leaf AS INTEGER) AS leaf FROM postings"),
         "route_beam": statement(
@@ -221,6 +221,18 @@ named AS (
             ranked,
             "SELECT query_id, string_agg(image_id || ':' || votes, ' ' ORDER BY rank) AS answer FROM ranked GROUP BY query_id",
         ),
+        "answer_all": statement(
+            [
+                *near,
+                VOTES,
+                "counts AS (SELECT query_id, image_id, count(*) AS votes FROM votes"
+                " WHERE desc_no < query_id % 4 + 1 GROUP BY query_id, image_id)",
+                RANKED,
+            ],
+            "SELECT q.query_id, coalesce(string_agg(image_id || ':' || votes, ' ' ORDER BY rank), '') AS answer"
+            " FROM (SELECT DISTINCT query_id FROM pts) q LEFT JOIN ranked r ON r.query_id = q.query_id GROUP BY q.query_id",
+        ),
+        "search_topk_shuffled": topk,
         "answer_parse": topk,
         "knn_exact": statement(
             [*filed, candidates("near", EVERY_LEAF)], "SELECT query_id, desc_no, dist, image_id, n FROM near"

@@ -118,3 +118,19 @@ def test_totals(spark, make_points):
     points = make_points(clustered(23, 2, seed=2))
     assert tuple(ingest.ingest_totals(points).head()) == (5, 23)
     assert tuple(ingest.ingest_totals(points.where(F.lit(False))).head()) == (0, 0)
+
+
+def test_subfolders_are_scanned(spark, folder):
+    for day in ("day1", "day2", "_hidden"):
+        os.mkdir(f"{folder}/{day}")
+        with open(f"{folder}/{day}/a.bin", "wb") as out:
+            out.write(bytes(8) + bytes([1, 2]))
+    assert descriptors.scan_descriptors(spark, folder, dim=2).count() == 2
+
+
+def test_paths_are_qualified():
+    assert descriptors.qualified("/a/b", "file:///") == "/a/b"
+    assert descriptors.qualified("/a/b", "hdfs://name:8020") == "hdfs://name:8020/a/b"
+    assert descriptors.qualified("s3a://bucket/a", "hdfs://name:8020") == "s3://bucket/a"
+    with pytest.raises(ValueError, match="cannot open"):
+        descriptors.qualified("dbfs:/a", None)

@@ -61,3 +61,33 @@ def test_ingest_appends_each_file_once(spark, index):
     key = ("leaf", "image_id", "desc_no")
     assert sorted(grown.postings().select(*key).collect()) == sorted(index.postings().select(*key).collect())
     assert sorted(grown.cell_sizes().collect()) == sorted(index.cell_sizes().collect())
+
+
+def test_two_streams_share_a_target(spark, index):
+    points = index.postings().select("image_id", "desc_no", "v")
+    grown = build_index(points.where("desc_no = 0"), index.tree, new_table_path(spark, "index"))
+    for n in (1, 2):
+        source, state = (new_table_path(spark, name) for name in ("in", "state"))
+        points.where(f"desc_no = {n}").write.parquet(source)
+        jobs.stream_ingest(jobs.point_stream(spark, source), grown, state).awaitTermination()
+    assert grown.postings().count() == points.where("desc_no < 3").count()
+    out = new_table_path(spark, "out")
+    for images in ({0}, {1}):
+        source, state = (new_table_path(spark, name) for name in ("in", "state"))
+        queries(spark, images).coalesce(1).write.parquet(source)
+        jobs.stream_search(jobs.query_stream(spark, source), index, out, state).awaitTermination()
+    answered = {r.query_id for r in spark.read.parquet(out).collect()}
+    assert answered == {0, 1}
+
+
+def test_an_index_folder_is_not_built_over(spark, index):
+    with pytest.raises(ValueError, match="holds an index"):
+        build_index(index.postings().select("image_id", "desc_no", "v"), index.tree, index.path)
+
+
+def test_text_queries_from_the_root_folder(spark, index):
+    source, out, state = (new_table_path(spark, name) for name in ("in", "out", "state"))
+    write_queries(queries(spark, {3, 4, 5}).repartition(3), source)
+    jobs.stream_search(jobs.text_query_stream(spark, source), index, out, state).awaitTermination()
+    got = sorted((int(r.query_id), r["rank"], r.image_id, r.votes) for r in spark.read.parquet(out).collect())
+    assert got == sorted(map(tuple, search(queries(spark, {3, 4, 5}), index).collect()))
