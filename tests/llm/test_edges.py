@@ -133,10 +133,16 @@ def test_simple_8b_round_trip():
 
 def test_html_text(spark):
     model = html_text.train(labelled_pages())
-    for page in labelled_pages():
+    right = total = 0
+    labelled = labelled_pages()
+    for i, page in enumerate(labelled):  # each page by a model that has not seen it, nor its twin of shorter texts
+        half = len(labelled) // 2
+        held = html_text.train([p for j, p in enumerate(labelled) if j % half != i % half])
         tree = html_text.parse(page)
-        found = [p > 0.5 for p, t in zip(model.marginals(tree), tree.text) if t is not None]
-        assert found == [bool(label) for label, t in zip(tree.label, tree.text) if t is not None]
+        for p, text, label in zip(held.marginals(tree), tree.text, tree.label):
+            right += text is not None and (p > 0.5) == bool(label)
+            total += text is not None
+    assert right > 0.8 * total, (right, total)
     pages = [
         (1, None, None), (2, "u", ""), (2, "u", "<p"), (3, "u", "<article><p>a &amp; b\n c<p>d < e</article>"),
         (4, "u", "<article><!-- x <p>no</p>"), (5, "u", "<nav>" + "<b>" * 3000 + "x</nav><article><p>" + "y " * 50_000),
