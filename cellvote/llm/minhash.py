@@ -12,8 +12,8 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes.
 * Bands.  The registers form 42 bands of 6.  Two sets of similarity 0.85 agree in
   a band with probability 0.38, and miss all bands with 2 in a thousand million.
 * Candidates.  Inside a bucket of a band not all pairs are made.  In each round a
-  bucket names a few of its classes as centres (one, then up to 8, 64 and so on, by
-  partial aggregation), which are compared with the others of the bucket
+  bucket names a few of its classes as centres (one, then up to 64, 4096 and so on,
+  by partial aggregation), which are compared with the others of the bucket
   that are not yet in the same component.  A class that has been a centre is done in that bucket, and a
   bucket whose classes are all in one component is done.  So what is left out is
   implied by links already found; the rounds end when no bucket is open.
@@ -51,7 +51,7 @@ BUCKETS = 1 << BUCKET_BITS
 BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
 # Centres of a bucket in a round, as a multiple of those of the round before.
-MORE_CENTRES = 8
+MORE_CENTRES = 64
 # A pair is verified unless its estimate is this many standard errors below the threshold.
 ERRORS = 6.0
 # Chance that the registers of two unrelated, full buckets agree: about the sum over zeros of 4^-(z+1) * 2^-10.
@@ -201,31 +201,49 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a BIGINT, b BIGINT")
 
 
-def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, comp) after joining the components that links (a, b) connect.
+def components(links: DataFrame) -> DataFrame:
+    """node, comp: for every node of links (a, b) the least node of its component, as a stored table.
 
-    Components take the least label around until nothing changes; each round also
-    lets every label follow the label of its label, so paths halve.
+    Every node takes the least label around until nothing changes; each round also
+    lets a label follow the label of its label, so paths halve.
     """
-    la, lb = (labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    edges = links.join(la, "a").join(lb, "b").where("ca <> cb").select("ca", "cb")
-    edges = stored(edges.union(edges.select("cb", "ca")).distinct(), "component-edges")
-    if edges.isEmpty():
-        return labels
-    roots = stored(edges.select(F.col("ca").alias("comp"), F.col("ca").alias("root")).distinct(), "roots")
+    edges = stored(links.union(links.select("b", "a")).distinct(), "component-edges")
+    least = edges.groupBy("a").agg(F.min("b").alias("b"))
+    labels = stored(least.select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
     while True:
-        near = edges.join(roots.withColumnRenamed("comp", "cb"), "cb").select(F.col("ca").alias("comp"), "root")
-        least = near.union(roots).groupBy("comp").agg(F.min("root").alias("root"))
+        known = small(labels, 24)
+        near = edges.join(known, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "comp", F.lit(None).alias("old"))
+        best = near.union(labels.select("node", "comp", F.col("comp").alias("old")))
+        best = best.groupBy("node").agg(F.min("comp").alias("comp"), F.min("old").alias("old"))
         # one jump: the label's own label
-        up = least.select(F.col("comp").alias("root"), F.col("root").alias("above"))
-        jumped = least.join(up, "root", "left").select("comp", F.least("root", F.coalesce("above", "root")).alias("root"))
-        new = stored(jumped, "roots")
-        changed = new.join(roots.withColumnRenamed("root", "old"), "comp").where("root <> old")
-        roots = new
-        if changed.isEmpty():
-            break
-    joined = labels.join(roots, "comp", "left")
-    return stored(joined.select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+        up = known.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        jumped = best.join(up, "comp", "left").select("node", F.least("comp", "above").alias("comp"), "old")
+        labels = stored(jumped, "labels")
+        if labels.where("comp <> old").isEmpty():
+            return labels.select("node", "comp")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """labels (node, comp; other nodes are alone) after joining the components that links (a, b) connect."""
+    if labels is None:
+        return None if links.isEmpty() else components(links)
+    known = small(labels, 24)
+    between = with_label(with_label(links, known, "a"), known, "b").where("a <> b")
+    between = stored(between.distinct(), "component-links")
+    if between.isEmpty():
+        return labels
+    found = components(between)
+    above = small(found, 24).withColumnRenamed("comp", "above").withColumnRenamed("node", "comp")
+    old = labels.join(above, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
+    alone = found.join(known.select("node"), "node", "left_anti").select("node", "comp")
+    return stored(old.union(alone), "labels")
+
+
+def with_label(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """rows with the node in `column` replaced by its component."""
+    named = labels.select(F.col("node").alias(column), F.col("comp").alias("__comp"))
+    joined = rows.join(named, column, "left").withColumn(column, F.coalesce("__comp", column))
+    return joined.select(*rows.columns)
 
 
 def with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -236,34 +254,39 @@ def with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFra
     return pairs
 
 
-def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame) -> DataFrame:
-    """node, comp: components of the nodes in buckets (band_key, node), each of several nodes.
+def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame) -> DataFrame | None:
+    """node, comp: components of the nodes in buckets (band_key, node, centre); nodes without a row are alone.
 
     sketches: node, registers, full; sets: node, shingles, of the same nodes.
+    centre: the least node of the bucket.  Every bucket has several nodes.
     """
-    labels = stored(sketches.select("node", F.col("node").alias("comp")), "labels")
-    open_rows, tested, centres = buckets, None, 1
+    sketches = small(sketches, 2 * BUCKETS + BUCKETS // 8 + 32)
+    labels, tested, centres = None, None, 1
+    pairs = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    open_rows = buckets.where("node <> centre").select("band_key", "node")
     while True:
-        state = open_rows.join(labels, "node")
+        pairs = stored(pairs, "pairs")
+        near = stored(likely(with_both(small(pairs, 16), sketches, ["registers", "full"])), "likely")
+        links = stored(verified(with_both(small(near, 16), sets, ["shingles"])), "links")
+        labels = merged(labels, links)
+        tested = pairs if tested is None else tested.union(pairs)
+
+        state = open_rows.withColumn("comp", F.col("node"))
+        if labels is not None:
+            state = with_label(state, small(labels, 24), "comp")
         ends = state.groupBy("band_key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         state = stored(state.join(ends.where("lo < hi").select("band_key"), "band_key"), "open-buckets")
         if state.isEmpty():
             return labels
+        centres *= MORE_CENTRES
         part = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
         centre = state.groupBy("band_key", part.alias("part")).agg(F.min(F.struct("node", "comp")).alias("c"))
         centre = stored(centre.select("band_key", "c.node", "c.comp"), "centres")
         other = state.select("band_key", F.col("node").alias("n2"), F.col("comp").alias("c2"))
         pairs = other.join(small(centre, 48), "band_key").where("node <> n2 and comp <> c2")
         pairs = pairs.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        near = stored(likely(with_both(pairs, sketches, ["registers", "full"])), "likely")
-        links = stored(verified(with_both(near, sets, ["shingles"])), "links")
-        labels = contract(labels, links)
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
         open_rows = state.select("band_key", "node").join(centre.select("band_key", "node"), ["band_key", "node"], "left_anti")
-        centres *= MORE_CENTRES
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +300,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     every = stored(bands(classes), "bands")
-    several = every.groupBy("band_key").agg(F.count("*").alias("n")).where("n > 1").select("band_key")
+    several = every.groupBy("band_key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+    several = several.where("centre < last").select("band_key", "centre")
     buckets = stored(every.join(several, "band_key"), "buckets")
     live = buckets.select("node").distinct()
     live = stored(classes.join(live, "node").select("node", "text_key", "registers", "full"), "live-classes")
@@ -285,8 +309,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = texts.join(small(live.select("node", "text_key"), 48), "text_key").dropDuplicates(["node"])
     sets = stored(shingle_sets(chosen.select("node", "text")), "shingle-sets")
     labels = class_links(live, sets, buckets)
-    named = classes.select("digest", "node", "least_id").join(labels, "node", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "node"))
+    named = classes.select("digest", "node", "least_id").withColumn("comp", F.col("node"))
+    if labels is not None:
+        named = with_label(named, small(labels, 24), "comp")
     ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = stored(named.join(ids, "comp").select("digest", "component_id"), "class-components")
     joined = rows.select("doc_id", "n_shingles", "digest").join(small(named, 64), "digest", "left")
