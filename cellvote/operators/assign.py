@@ -54,18 +54,24 @@ def assign_cells(
 
     The levels within the broadcast bound are walked in one map-only pass over
     Arrow batches; deeper ones by a join on the parent cell.  With n_probe > 1
-    the n nearest cells are kept on every level and a point gives n rows; `keys`
-    identify a point in that case.
+    the n nearest cells are kept on every level and a point gives n rows; rows
+    that are equal in `keys`, or in everything, are points of their own.
     """
     if n_probe < 1:
         raise ValueError("n_probe must be at least 1")
     if not levels:
         return points.withColumn(column, F.lit(0))
     resident = resident_levels(levels, limits)
+    deeper = levels[len(resident) :]
+    if n_probe > 1 and deeper:
+        # joined levels find a point's rows again by its keys, so points with equal keys are numbered
+        keys = (*keys, "v")
+        alike = Window.partitionBy(*keys).orderBy(*keys)
+        points, keys = points.withColumn("_copy", F.row_number().over(alike)), (*keys, "_copy")
     frame = _assign_resident(points, resident, n_probe, column)
-    for level in levels[len(resident) :]:
+    for level in deeper:
         frame = _assign_joined(frame, level, n_probe, keys, column)
-    return frame
+    return frame.drop("_copy")
 
 
 def _assign_resident(points: DataFrame, levels: list[Level], n_probe: int, column: str) -> DataFrame:

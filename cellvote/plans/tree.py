@@ -16,6 +16,7 @@ from cellvote.operators.seeds import find_seeds
 from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
 
 META_SCHEMA = "k INT, dim INT, depth INT, iterations INT"
+IDENTITY_SCHEMA = "fit STRING, points STRING, seeds STRING"
 
 
 @dataclass
@@ -105,7 +106,8 @@ def fit_tree(
     empty: "keep" leaves a center without points in place, "error" raises.
     tol: stop a level early once its centers move by no more than this in total.
     snapshots: folder for the centers of every round; a later call with the
-        same folder continues after the last complete round.
+        same folder continues after the last complete round.  The folder belongs
+        to one fit: other points, seeds, k, rounds or stop rule are an error.
     A level is built only if every parent has k distinct vectors; otherwise the
     tree ends above it.
     """
@@ -116,6 +118,8 @@ def fit_tree(
     spark = points.sparkSession
     dim = point_dim(points)
     tree = TreeModel(k, dim, iterations, [], limits)
+    if snapshots:
+        _claim(snapshots, points, seeds, f"k={k} dim={dim} iterations={iterations} empty={empty} tol={tol}")
     for number in range(depth):
         start, level, shift = _last_snapshot(spark, snapshots, number, k, dim, iterations, limits)
         if level is None:
@@ -169,6 +173,30 @@ def _shift(spark: SparkSession, old: Level, new: Level) -> int:
     return center_shift(old.frame(spark), new.frame(spark)).head().shift
 
 
+def _fingerprint(rows: DataFrame, *columns: str) -> str:
+    """Number of rows and a sum of their hashes: the same for the same rows in any order."""
+    hashed = F.xxhash64(*columns).cast("decimal(20,0)")
+    found = rows.agg(F.count("*").alias("n"), F.sum(hashed).alias("total")).head()
+    return f"{found.n}:{found.total or 0}"
+
+
+def _claim(folder: str, points: DataFrame, seeds: DataFrame | None, fit: str) -> None:
+    """Write into the snapshot folder which fit it belongs to, or check that it is this one."""
+    spark = points.sparkSession
+    of_points = _fingerprint(points, "image_id", "desc_no", "v")
+    of_seeds = "first distinct" if seeds is None else _fingerprint(seeds, "center_id", "center")
+    mine = (fit, of_points, of_seeds)
+    path = f"{folder}/identity"
+    try:
+        known = spark.read.schema(IDENTITY_SCHEMA).parquet(path).head()
+    except AnalysisException:
+        known = None
+    if known is None:
+        spark.createDataFrame([mine], IDENTITY_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    elif tuple(known) != mine:
+        raise ValueError(f"{folder} has the snapshots of another fit: {tuple(known)}, not {mine}")
+
+
 def _snapshot(folder: str, number: int, iteration: int) -> str:
     return f"{folder}/level={number}/iteration={iteration}"
 

@@ -120,6 +120,16 @@ def test_fit_continues_from_snapshots(spark, make_points, monkeypatch):
     assert len(calls) == 2  # level 0 came from the snapshots
 
 
+def test_snapshots_belong_to_one_fit(spark, make_points):
+    points, other = (make_points(clustered(40, 3, seed=s)) for s in (7, 8))
+    folder = new_table_path(spark, "snapshots")
+    fit_tree(points, k=2, depth=1, iterations=2, snapshots=folder)
+    fit_tree(points.repartition(5), k=2, depth=1, iterations=2, snapshots=folder)
+    for rows, k, iterations in ((other, 2, 2), (points, 3, 2), (points, 2, 3)):
+        with pytest.raises(ValueError, match="another fit"):
+            fit_tree(rows, k=k, depth=1, iterations=iterations, snapshots=folder)
+
+
 def test_early_stop_when_centers_rest(spark, make_points):
     points = make_points([(0, 0, [1, 1]), (1, 0, [9, 9])])
     tree = fit_tree(points, k=2, depth=1, iterations=9, tol=0)
@@ -141,6 +151,17 @@ def test_joined_descent_equals_the_broadcast_one(spark, make_points, n_probe, mo
         assign_cells(points, tree.levels, n_probe=0)
 
 
+def test_points_with_equal_keys_keep_their_cells_in_both_forms(spark, make_points):
+    rows = [(i // 4, 0, v) for i, _, v in clustered(24, 3, seed=5)]
+    points = make_points([*rows, rows[0], rows[0]])
+    tree = fit_tree(points, k=2, depth=3, iterations=1)
+    found = [
+        sorted((r.image_id, bytes(r.v), r.cell) for r in assign_cells(points, tree.levels, n_probe=2, limits=x).collect())
+        for x in (Limits(), JOINED)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 26 * 2
+
+
 def test_every_point_is_in_its_nearest_cell(make_points):
     rows = clustered(60, 3, seed=9)
     points = make_points(rows)
