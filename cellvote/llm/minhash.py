@@ -10,7 +10,8 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes.
 * Classes.  Documents of equal sets (a 128-bit digest) are one class with one
   representative; copies are never compared.
 * Bands.  The registers form 42 bands of 6.  Two sets of similarity 0.85 agree in
-  a band with probability 0.38, and miss all bands with 2 in a thousand million.
+  a band with probability 0.38, and miss all bands with 2 in a thousand million; at
+  0.8 it is 0.26, and 3 in a million.
 * Candidates.  Inside a bucket of a band not all pairs are made.  In each round a
   bucket names a few of its classes as centres (one, then up to 64, 4096 and so on,
   by partial aggregation), which are compared with the others of the bucket
@@ -21,7 +22,7 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes.
   corrected for the share that agrees by chance; pairs more than six standard
   errors below the threshold are not verified.  Borrowed registers do not count.
 * Verification.  The full shingle sets of the remaining pairs are intersected and
-  100 * both >= 85 * either is decided in integers.
+  100 * both >= percent * either is decided in integers.
 * Components.  Links are contracted by rounds of label minima with pointer jumps
   in tables; nothing of it is collected on the driver.
 
@@ -45,7 +46,8 @@ from cellvote.llm.common import chunks, small, stored
 from cellvote.llm.words import gram_hashes, mix, word_hashes
 
 SHINGLE = 5
-PERCENT = 85
+PERCENT = 85  # of op10's contract
+STAGE_PERCENT = 80  # where no contract names another
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 BAND_ROWS = 6
@@ -149,7 +151,7 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "registers").mapInArrow(run, "band_key BIGINT, node BIGINT")
 
 
-def likely(pairs: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, with registers and masks of both) whose estimate does not rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def likely(pairs: DataFrame) -> DataFrame:
             )
             either = (fa | fb).sum(1)
             agree = ((a == b) & (fa & fb).astype(bool)).sum(1)
-            threshold = PERCENT / 100
+            threshold = percent / 100
             estimate = (agree / np.maximum(either, 1) - COLLISION) / (1 - COLLISION)
             error = np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
             near = estimate >= threshold - ERRORS * error
@@ -184,7 +186,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node BIGINT, shingles BINARY")
 
 
-def verified(pairs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (with both shingle sets, sa and sb) that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,7 @@ def verified(pairs: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
                 pa.array(keep, pa.bool_())
             )
@@ -254,7 +256,7 @@ def with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFra
     return pairs
 
 
-def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame) -> DataFrame | None:
+def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame | None:
     """node, comp: components of the nodes in buckets (band_key, node, centre); nodes without a row are alone.
 
     sketches: node, registers, full; sets: node, shingles, of the same nodes.
@@ -266,8 +268,8 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame) -> Dat
     open_rows = buckets.where("node <> centre").select("band_key", "node")
     while True:
         pairs = stored(pairs, "pairs")
-        near = stored(likely(with_both(small(pairs, 16), sketches, ["registers", "full"])), "likely")
-        links = stored(verified(with_both(small(near, 16), sets, ["shingles"])), "links")
+        near = stored(likely(with_both(small(pairs, 16), sketches, ["registers", "full"]), percent), "likely")
+        links = stored(verified(with_both(small(near, 16), sets, ["shingles"]), percent), "links")
         labels = merged(labels, links)
         tested = pairs if tested is None else tested.union(pairs)
 
@@ -289,7 +291,7 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame) -> Dat
         open_rows = state.select("band_key", "node").join(centre.select("band_key", "node"), ["band_key", "node"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.  docs is scanned twice: pass a stored table."""
     rows = stored(sketch(docs, id_col, text_col), "sketches")
     classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
@@ -308,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     chosen = texts.join(small(live.select("node", "text_key"), 48), "text_key").dropDuplicates(["node"])
     sets = stored(shingle_sets(chosen.select("node", "text")), "shingle-sets")
-    labels = class_links(live, sets, buckets)
+    labels = class_links(live, sets, buckets, percent)
     named = classes.select("digest", "node", "least_id").withColumn("comp", F.col("node"))
     if labels is not None:
         named = with_label(named, small(labels, 24), "comp")
@@ -324,13 +326,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of docs that are the first of their component, with their columns.
 
     Rows without an id cannot be named as first: they stay.  Of rows with equal id
     and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, percent)
     gone = stored(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
     kept = docs.join(small(gone.withColumnRenamed("doc_id", "__gone"), 24), F.col(id_col) == F.col("__gone"), "left_anti")
     return kept

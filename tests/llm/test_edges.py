@@ -219,7 +219,7 @@ def test_minhash(docs, empty):
     assert rows(minhash.near_duplicates(empty)) == []
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute.near_duplicates(sorted(ids.items())) if r[3]} | {None}
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute.near_duplicates(sorted(ids.items()), 80) if r[3]} | {None}
 
 
 def test_minhash_finds_chains_and_large_groups(spark):

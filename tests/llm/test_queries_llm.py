@@ -130,7 +130,7 @@ def test_pipeline_stages(spark, docs):
         seen.append(frame)
     texts = [dict((r.doc_id, r.text) for r in f.collect()) for f in seen[:4]]
     assert all(f.columns == ["doc_id", "text", "lang", "source", "n_chars"] for f in seen[:4])
-    groups = brute.near_duplicates(sorted(texts[0].items()))
+    groups = brute.near_duplicates(sorted(texts[0].items()), 80)
     assert set(texts[1]) == {r[0] for r in groups if r[3]}
     later = {d: x[1] for d, x in brute.repeats(sorted(texts[1].items())).items()}
     left = {}
