@@ -2,25 +2,26 @@
 
 A document is the set of its distinct 5-word shingles, as 64-bit hashes.
 
-* Sketch.  The top bits of a shingle's hash name one of 256 buckets.  A bucket
+* Sketch.  The top bits of a shingle's hash name one of 512 buckets.  A bucket
   keeps its least hash as a 16-bit register: the number of leading zeros (6 bits)
-  and the 10 bits that follow the first one.  An empty bucket borrows from
-  the first full one in an order of its own, so that small sets fill all bands, and
+  and the 10 bits that follow the first one.  An empty bucket of a band borrows
+  from the first full one in an order of its own, so that small sets fill all bands, and
   no band with a single shingle's registers only.
 * Classes.  Documents of equal sets (a 128-bit digest) are one class with one
   representative; copies are never compared.
-* Bands.  The registers form 42 bands of 6.  Two sets of similarity 0.85 agree in
+* Bands.  The first registers form 42 bands of 6.  Two sets of similarity 0.85 agree in
   a band with probability 0.38, and miss all bands with 2 in a thousand million; at
   0.8 it is 0.26, and 3 in a million.
 * Candidates.  Inside a bucket of a band not all pairs are made.  In each round a
   bucket names a few of its classes as centres (one, then up to 64, 4096 and so on,
   by partial aggregation), which are compared with the others of the bucket
-  that are not yet in the same component.  A class that has been a centre is done in that bucket, and a
+  that are not yet in the same component, in blocks of rows and centres.  A class that has been a centre is done in that bucket, and a
   bucket whose classes are all in one component is done.  So what is left out is
   implied by links already found; the rounds end when no bucket is open.
 * Estimate.  A pair's equal registers give an estimate of its similarity,
   corrected for the share that agrees by chance; pairs more than six standard
-  errors below the threshold are not verified.  Borrowed registers do not count.
+  errors below the threshold are not verified.  Borrowed registers do not count, and
+  the error is that of a sample without replacement, so it vanishes for small sets.
 * Verification.  The full shingle sets of the remaining pairs are intersected and
   100 * both >= percent * either is decided in integers.
 * Components.  Links are contracted by rounds of label minima with pointer jumps
@@ -48,12 +49,15 @@ from cellvote.llm.words import gram_hashes, mix, word_hashes
 SHINGLE = 5
 PERCENT = 85  # of op10's contract
 STAGE_PERCENT = 80  # where no contract names another
-BUCKET_BITS, MANTISSA_BITS = 8, 10
+BUCKET_BITS, MANTISSA_BITS = 9, 10
 BUCKETS = 1 << BUCKET_BITS
 BAND_ROWS = 6
-BANDS = BUCKETS // BAND_ROWS
+BANDS = 42  # over the first registers
+BANDED = BANDS * BAND_ROWS
 # Centres of a bucket in a round, as a multiple of those of the round before.
 MORE_CENTRES = 64
+# Rows of a bucket that are compared together, and centres they are compared with.
+BLOCK = 64
 # A pair is verified unless its estimate is this many standard errors below the threshold.
 ERRORS = 6.0
 # Chance that the registers of two unrelated, full buckets agree: about the sum over zeros of 4^-(z+1) * 2^-10.
@@ -85,12 +89,16 @@ def registers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x[low] <<= np.uint64(step)
     mantissa = (x << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
     register = (np.minimum(zeros, 63) << MANTISSA_BITS) | mantissa.astype(np.int64)
-    # an empty bucket takes the register of the first full one in its own order of the buckets
+    # an empty bucket of a band takes the register of the first full one in its own order of the buckets
     source = np.arange(BUCKETS)
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        order = lending_order()[empty]
-        source[empty] = order[np.arange(len(empty)), full[order].argmax(axis=1)]
+    empty = np.flatnonzero(~full[:BANDED])
+    for width in (16, BUCKETS):  # few need more than the start of the order
+        order = lending_order()[empty, :width]
+        found = full[order]
+        at = found.argmax(axis=1)
+        lent = found[np.arange(len(empty)), at]
+        source[empty[lent]] = order[lent, at[lent]]
+        empty = empty[~lent]
     return register[source].astype(np.uint16), full
 
 
@@ -134,44 +142,90 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """band_key, node: a row per class and band; band_key is a hash of the band's number and registers."""
+    """band_key, band, node: a row per class and band; band_key is a hash of the band's number and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(-1, BUCKETS)
-            values = values[:, : BANDS * BAND_ROWS].reshape(len(values), BANDS, BAND_ROWS).astype(np.uint64)
+            values = values[:, :BANDED].reshape(len(values), BANDS, BAND_ROWS).astype(np.uint64)
             keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(values), 1))
             for k in range(BAND_ROWS):
                 keys = mix(keys * np.uint64(0x10001) + values[:, :, k])
             nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(values)), BANDS)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64), pa.int64()), nodes], ["band_key", "node"]
+                [pa.array(keys.ravel().view(np.int64), pa.int64()), pa.array(np.tile(np.arange(BANDS), len(values)), pa.int32()), nodes],
+                ["band_key", "band", "node"],
             )
 
-    return classes.select("node", "registers").mapInArrow(run, "band_key BIGINT, node BIGINT")
+    return classes.select("node", "registers").mapInArrow(run, "band_key BIGINT, band INT, node BIGINT")
 
 
-def likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, with registers and masks of both) whose estimate does not rule them out."""
+def blocks(rows: DataFrame, sketches: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`by` and a list `name` of the rows (node, comp) there, with their sketches; at most about BLOCK each."""
+    told = F.struct("node", "comp", "n_shingles", "registers", "full")
+    return rows.join(sketches, "node").groupBy(*by).agg(F.collect_list(told).alias(name))
+
+
+def likely(state: DataFrame, centre: DataFrame, sketches: DataFrame, percent: int, once: bool) -> DataFrame:
+    """a, b: pairs of a bucket's rows with one of its centres that their sketches do not rule out.
+
+    state: band_key, band, node, comp; centre: band_key, part, node, comp.  Both go in
+    blocks: a row of the join is a block of rows beside a block of centres, and the
+    kernel emits only what may be similar.  once: a pair is looked at in the first band
+    it agrees in, and in no other.
+    """
+    many = state.groupBy("band_key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = state.join(many, "band_key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = blocks(placed, sketches, ["band_key", "band", "block"], "rows")
+    part = F.floor(F.col("part") / BLOCK).alias("part")
+    centres = blocks(centre.select("band_key", part, "node", "comp"), sketches, ["band_key", "part"], "centres")
+    # a bucket's blocks of rows are dealt out, each with a copy of its centres
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    centres = centres.join(many, "band_key").select("band_key", "centres", copies)
+
+    def columns(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        node, comp, n, registers, full = lists.flatten().flatten()
+        registers = np.frombuffer(b"".join(registers.to_pylist()), "<u2").reshape(-1, BUCKETS)
+        full = np.unpackbits(np.frombuffer(b"".join(full.to_pylist()), np.uint8)).reshape(-1, BUCKETS).astype(bool)
+        return ends, node.to_numpy(), comp.to_numpy(), n.to_numpy(), registers, full
+
+    def near(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+        equal = x[4][i] == y[4][j]
+        either = np.maximum((x[5][i] | y[5][j]).sum(axis=1), 1)
+        agree = (equal & x[5][i] & y[5][j]).sum(axis=1)
+        threshold = percent / 100
+        estimate = (agree / either - COLLISION) / (1 - COLLISION)
+        # the full buckets hold a sample of the union, drawn without putting back; so many are in the union at the threshold
+        union = np.maximum((x[3][i] + y[3][j]) / (1 + threshold), 2)
+        left = np.clip((union - either) / (union - 1), 0, 1)
+        error = np.sqrt(threshold * (1 - threshold) / either * left)
+        keep = estimate >= threshold - ERRORS * error - 1 / either
+        if once:
+            agreed = equal[:, :BANDED].reshape(-1, BANDS, BAND_ROWS).all(axis=2)
+            keep &= agreed.argmax(axis=1) == band
+        return keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS) for c in ("ra", "rb"))
-            fa, fb = (
-                np.unpackbits(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)).reshape(-1, BUCKETS)
-                for c in ("fa", "fb")
-            )
-            either = (fa | fb).sum(1)
-            agree = ((a == b) & (fa & fb).astype(bool)).sum(1)
-            threshold = percent / 100
-            estimate = (agree / np.maximum(either, 1) - COLLISION) / (1 - COLLISION)
-            error = np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
-            near = estimate >= threshold - ERRORS * error
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
-
-    return pairs.mapInArrow(run, "a BIGINT, b BIGINT")
+            x, y = columns(batch.column("centres")), columns(batch.column("rows"))
+            for row, band in enumerate(batch.column("band").to_pylist()):
+                at, to = slice(*x[0][row : row + 2]), slice(*y[0][row : row + 2])
+                n, m = x[3][at][:, None], y[3][to]
+                # sets whose sizes alone rule it out are left
+                open_pairs = (x[2][at][:, None] != y[2][to]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                i, j = np.nonzero(open_pairs)
+                i, j = i + at.start, j + to.start
+                found = [near(x, y, i[k : k + 4096], j[k : k + 4096], band) for k in range(0, len(i), 4096)]
+                if found:
+                    keep = np.concatenate(found)
+                    a, b = x[1][i[keep]], y[1][j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    joined = rows.join(centres, ["band_key", "block"]).select("band", "rows", "centres")
+    return joined.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -257,23 +311,22 @@ def with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFra
 
 
 def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame | None:
-    """node, comp: components of the nodes in buckets (band_key, node, centre); nodes without a row are alone.
+    """node, comp: components of the nodes in buckets (band_key, band, node, centre); nodes without a row are alone.
 
-    sketches: node, registers, full; sets: node, shingles, of the same nodes.
+    sketches: node, n_shingles, registers, full; sets: node, shingles, of the same nodes.
     centre: the least node of the bucket.  Every bucket has several nodes.
     """
     sketches = small(sketches, 2 * BUCKETS + BUCKETS // 8 + 32)
-    labels, tested, centres = None, None, 1
-    pairs = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    open_rows = buckets.where("node <> centre").select("band_key", "node")
+    labels, centres = None, 1
+    state = buckets.select("band_key", "band", "node", F.col("node").alias("comp"))
+    centre = buckets.where("node = centre").select("band_key", F.lit(0).alias("part"), "node", F.col("node").alias("comp"))
     while True:
-        pairs = stored(pairs, "pairs")
-        near = stored(likely(with_both(small(pairs, 16), sketches, ["registers", "full"]), percent), "likely")
+        near = stored(likely(state, centre, sketches, percent, once=centres > 1), "likely")
         links = stored(verified(with_both(small(near, 16), sets, ["shingles"]), percent), "links")
         labels = merged(labels, links)
-        tested = pairs if tested is None else tested.union(pairs)
 
-        state = open_rows.withColumn("comp", F.col("node"))
+        done = centre.select("band_key", "node")
+        state = state.join(done, ["band_key", "node"], "left_anti").select("band_key", "band", "node", F.col("node").alias("comp"))
         if labels is not None:
             state = with_label(state, small(labels, 24), "comp")
         ends = state.groupBy("band_key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -283,12 +336,7 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame, percen
         centres *= MORE_CENTRES
         part = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
         centre = state.groupBy("band_key", part.alias("part")).agg(F.min(F.struct("node", "comp")).alias("c"))
-        centre = stored(centre.select("band_key", "c.node", "c.comp"), "centres")
-        other = state.select("band_key", F.col("node").alias("n2"), F.col("comp").alias("c2"))
-        pairs = other.join(small(centre, 48), "band_key").where("node <> n2 and comp <> c2")
-        pairs = pairs.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        open_rows = state.select("band_key", "node").join(centre.select("band_key", "node"), ["band_key", "node"], "left_anti")
+        centre = stored(centre.select("band_key", "part", "c.node", "c.comp"), "centres")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -297,6 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("least_id"),
         F.min("text_key").alias("text_key"),
+        F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers"),
         F.first("full").alias("full"),
     )
@@ -306,11 +355,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = several.where("centre < last").select("band_key", "centre")
     buckets = stored(every.join(several, "band_key"), "buckets")
     live = buckets.select("node").distinct()
-    live = stored(classes.join(live, "node").select("node", "text_key", "registers", "full"), "live-classes")
+    live = stored(classes.join(live, "node").select("node", "text_key", "n_shingles", "registers", "full"), "live-classes")
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     chosen = texts.join(small(live.select("node", "text_key"), 48), "text_key").dropDuplicates(["node"])
     sets = stored(shingle_sets(chosen.select("node", "text")), "shingle-sets")
-    labels = class_links(live, sets, buckets, percent)
+    labels = class_links(live.drop("text_key"), sets, buckets, percent)
     named = classes.select("digest", "node", "least_id").withColumn("comp", F.col("node"))
     if labels is not None:
         named = with_label(named, small(labels, 24), "comp")
