@@ -40,7 +40,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellvote.llm.common import chunks, small, stored
@@ -108,10 +108,15 @@ def lending_order() -> np.ndarray:
     return np.argsort(mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)).reshape(BUCKETS, BUCKETS), axis=1)
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, n_shingles, digest, registers, full (both null for an empty set) of every row."""
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_cols: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_key, n_shingles, digest, registers, full (both null for an empty set) of every row.
+
+    key_cols: BIGINT columns of docs that are passed on as they are.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), *key_cols]
+    rows = docs.select(*own, text.alias("text"))
+    names = ["doc_id", "text_key", *key_cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -133,12 +138,12 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         masks.append(None)
                 columns = [pa.array(sizes, pa.int64())] + [pa.array(x, pa.binary()) for x in (digests, sketches, masks)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), *columns],
-                    ["doc_id", "text_key", "n_shingles", "digest", "registers", "full"],
+                    [*(part.column(c) for c in names), *columns],
+                    [*names, "n_shingles", "digest", "registers", "full"],
                 )
 
-    schema = "doc_id BIGINT, text_key BIGINT, n_shingles BIGINT, digest BINARY, registers BINARY, full BINARY"
-    return rows.mapInArrow(run, schema)
+    keys = ", ".join(f"{c} BIGINT" for c in names)
+    return rows.mapInArrow(run, f"{keys}, n_shingles BIGINT, digest BINARY, registers BINARY, full BINARY")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -339,11 +344,13 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame, percen
         centre = stored(centre.select("band_key", "part", "c.node", "c.comp"), "centres")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.  docs is scanned twice: pass a stored table."""
-    rows = stored(sketch(docs, id_col, text_col), "sketches")
+def class_firsts(rows: DataFrame, docs: DataFrame, first: Column, text_col: str, percent: int) -> DataFrame:
+    """digest, first: for every class the least `first` among the rows of its component, as a stored table.
+
+    rows: the stored `sketch` of docs; first: of its columns.  docs is scanned once.
+    """
     classes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("least_id"),
+        F.min(first).alias("least"),
         F.min("text_key").alias("text_key"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("registers").alias("registers"),
@@ -360,11 +367,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = texts.join(small(live.select("node", "text_key"), 48), "text_key").dropDuplicates(["node"])
     sets = stored(shingle_sets(chosen.select("node", "text")), "shingle-sets")
     labels = class_links(live.drop("text_key"), sets, buckets, percent)
-    named = classes.select("digest", "node", "least_id").withColumn("comp", F.col("node"))
+    named = classes.select("digest", "node", "least").withColumn("comp", F.col("node"))
     if labels is not None:
         named = with_label(named, small(labels, 24), "comp")
-    ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    named = stored(named.join(ids, "comp").select("digest", "component_id"), "class-components")
+    firsts = named.groupBy("comp").agg(F.min("least").alias("first"))
+    return stored(named.join(firsts, "comp").select("digest", "first"), "class-components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.  docs is scanned twice: pass a stored table."""
+    rows = stored(sketch(docs, id_col, text_col), "sketches")
+    named = class_firsts(rows, docs, F.col("doc_id"), text_col, percent).withColumnRenamed("first", "component_id")
     joined = rows.select("doc_id", "n_shingles", "digest").join(small(named, 64), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
@@ -376,12 +389,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
-    """The rows of docs that are the first of their component, with their columns.
+    """One row of docs for every component, with its columns: the first by id (null last), text hash and row.
 
-    Rows without an id cannot be named as first: they stay.  Of rows with equal id
-    and text one stays.
+    Rows are told apart by a key that is stored with them, so rows of one id are
+    judged by their own texts, of rows with equal id and text one stays, and a row
+    without an id goes where its component has another.  Rows without a word all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, percent)
-    gone = stored(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone.withColumnRenamed("doc_id", "__gone"), 24), F.col(id_col) == F.col("__gone"), "left_anti")
-    return kept
+    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
+    rows = stored(sketch(keyed, id_col, text_col, ("__row",)), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "__row")
+    firsts = class_firsts(rows, keyed, order, text_col, percent).select("digest", F.col("first.__row").alias("first_row"))
+    joined = rows.select("__row", "digest").join(small(firsts, 64), "digest")
+    gone = stored(joined.where(F.col("__row") != F.col("first_row")).select("__row"), "gone")
+    return keyed.join(small(gone, 16), "__row", "left_anti").drop("__row")

@@ -222,6 +222,29 @@ def test_minhash(docs, empty):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute.near_duplicates(sorted(ids.items()), 80) if r[3]} | {None}
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    base, other, third = (" ".join(f"{c}{i}" for i in range(100)) for c in "bxy")
+    alone = " ".join(f"a{i}" for i in range(40))
+    rows_in = [
+        (3, base), (5, alone), (5, base + " tail"),  # one id, two texts
+        (7, other), (7, other), (8, other.upper()), (None, other),  # a row loaded twice, copies of it
+        (None, third), (None, third + " tail"), (None, third),  # no row with an id
+        (9, None), (9, None), (None, ""),  # no words
+    ]
+    path = new_table_path(spark, "rows-not-ids")
+    spark.createDataFrame(rows_in, "doc_id BIGINT, text STRING").repartition(3).write.parquet(path)
+    got = [(d, t) for d, t in rows(minhash.keep_one(spark.read.parquet(path))) if (d, t) not in [(9, None), (None, "")]]
+    assert len(got) == 4 and {(3, base), (5, alone), (7, other)} <= set(got)
+    assert [t in (third, third + " tail") for d, t in got if d is None] == [True]
+    assert minhash.keep_one(spark.read.parquet(path)).count() == 4 + 3
+
+
+def test_keep_one_counts_of_edge_rows(docs):
+    groups = [r for r in brute.near_duplicates(sorted({d: t for d, t in ROWS if d is not None}.items()), 80) if r[3]]
+    # (None, "three four") and (None, None) are near nothing; (4, "one two") stands twice and stays once
+    assert minhash.keep_one(docs).count() == len(groups) + 2
+
+
 def test_minhash_finds_chains_and_large_groups(spark):
     draw, base = random.Random(3), [f"x{i}" for i in range(120)]
     rows_in = []
