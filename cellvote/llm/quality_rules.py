@@ -105,6 +105,11 @@ def n_repeat_words(words: Column, n: int = WINDOW) -> Column:
     return _let(words, count)
 
 
+def n_doubled_words(words: Column) -> Column:
+    """Words that equal the word before them."""
+    return _let(words, lambda a: F.size(F.filter(a, lambda w, i: w == F.get(a, i - 1))).cast("bigint"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """A name, and the condition under which a document is rejected.
@@ -134,6 +139,8 @@ RULES = [
     Rule("exclamations", lambda text, words: chars_in(text, "!") * 2 > F.size(words)),
     Rule("long_words", lambda text, words: word_chars(text) > F.size(words) * 25),
     Rule("duplicate_lines", lambda text, words: n_dup_lines(text) * 10 > (F.size(F.split(text, "\n"))) * 5),
+    # of the good documents of sf0.1 (label 1, ten words or more) the highest share is 1 in 11, their 99.9 % point 4 in 100
+    Rule("doubled_words", lambda text, words: n_doubled_words(words) * 5 > F.size(words)),
     Rule("digits", lambda text, words: chars_in(text, "0123456789") * 2 > F.length(text)),
 ]
 

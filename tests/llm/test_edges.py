@@ -161,6 +161,17 @@ def test_quality_rules(docs, empty):
     assert rows(quality_rules.judge(empty)) == [] and rows(quality_rules.keep_good(empty)) == []
 
 
+def test_quality_rules_see_words_repeated_in_place(spark):
+    draw = random.Random(4)
+    words = ["".join(draw.choices("aehinorst", k=6)) for _ in range(60)]
+    junk = " ".join(w for w in words for _ in range(draw.randint(2, 5)))
+    had = " ".join([*words[:30], "had had that that", *words[30:]])
+    rows_in = [(1, junk), (2, had), (3, " ".join(words))]
+    frame = spark.createDataFrame(rows_in, "doc_id BIGINT, text STRING")
+    assert [(r[0], *r[6:]) for r in rows(quality_rules.judge(frame))] == [(1, False, False), (2, False, True), (3, False, True)]
+    assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == [2, 3]
+
+
 def test_sharding(docs, empty):
     got = sharding.assign(docs, rows_per_range=1).collect()
     assert sorted(r.size for r in got) == sorted(len((t or "").encode()) + 1 for _, t in ROWS)
