@@ -172,6 +172,19 @@ def test_quality_rules_see_words_repeated_in_place(spark):
     assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == [2, 3]
 
 
+def test_quality_rules_keep_text_in_scripts_without_spaces(spark):
+    draw, scripts = random.Random(6), {1: (0x4E00, 0x9FA5), 2: (0x3041, 0x3096), 3: (0x0E01, 0x0E2E), 4: (0x20000, 0x2A6D0)}
+    rows_in = []
+    for doc, (low, high) in scripts.items():
+        lines = ["".join(chr(draw.randint(low, high)) for _ in range(40)) for _ in range(12)]
+        lines[3] += " 50% & 60% & 70%!"
+        rows_in.append((doc, "\n".join([*lines, "https://example.org/" + "a" * 40])))
+    rows_in.append((5, "\n".join("".join(draw.choices("abcdefgh", k=60)) for _ in range(12)) + "\u4e2d\u6587"))
+    frame = spark.createDataFrame(rows_in, "doc_id BIGINT, text STRING")
+    assert [(r[0], *r[6:]) for r in rows(quality_rules.judge(frame))] == [(d, False, d < 5) for d in range(1, 6)]
+    assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == [1, 2, 3, 4]
+
+
 def test_sharding(docs, empty):
     got = sharding.assign(docs, rows_per_range=1).collect()
     assert sorted(r.size for r in got) == sorted(len((t or "").encode()) + 1 for _, t in ROWS)
