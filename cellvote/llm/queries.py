@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellvote.llm import (
     bpe,
+    conversations,
     decontamination,
     html_text,
+    language_id,
+    merkle,
     minhash,
     quality_rules,
     sharding,
@@ -24,9 +26,16 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 
 
+def byte_bpe() -> str:
+    """Path of the vocabulary; the module that knows it is needed by the queries on tokens only."""
+    import public_tokenizers
+
+    return public_tokenizers.path(BYTE_BPE)
+
+
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    return token_counts.token_counts(read(spark, sf, "documents"), path, new_table_path(spark, "token-cache"))
+    cache = new_table_path(spark, "token-cache")
+    return token_counts.token_counts(read(spark, sf, "documents"), byte_bpe(), cache)
 
 
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +44,7 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_table_path(spark, "token-files")
-    token_files.write_token_files(read(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE), path, END_ID)
+    token_files.write_token_files(read(spark, sf, "documents"), byte_bpe(), path, END_ID)
     return token_files.checksums(token_files.read_token_files(spark, path))
 
 
@@ -61,13 +70,25 @@ def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.round_trip(read(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE))
+    return bpe.round_trip(read(spark, sf, "documents"), byte_bpe())
 
 
 def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(read(spark, sf, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damage(read(spark, sf, "conversations")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf, "documents"))
+
+
 QUERIES = [
     op1_token_counts,
     op2_decontamination,
@@ -79,6 +100,9 @@ QUERIES = [
     op8_url_filter,
     op9_bpe,
     op10_minhash,
+    op11_language_id,
+    op12_conversation_repair,
+    op13_merkle_manifest,
 ]
 
 
@@ -87,4 +111,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op12_conversation_repair": conversations.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
+    }
