@@ -90,7 +90,7 @@ def _numbers(words: list[str]) -> np.ndarray:
     pairs = points[:-1] << np.uint64(POINT_BITS) | points[1:]
     triples = pairs[:-1] << np.uint64(POINT_BITS) | points[2:]
     # A blank alone says nothing, and one number never stands for n-grams of two lengths: none holds a null.
-    return pd.unique(np.concatenate([points[1:-1], pairs, triples]))
+    return pd.unique(np.concatenate([points[points != 0x20], pairs, triples]))
 
 
 @dataclass

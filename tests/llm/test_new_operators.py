@@ -263,7 +263,7 @@ def plain_manifest(rows):
 FIELDS = "doc_id BIGINT, source STRING, lang STRING, n_chars BIGINT, text STRING"
 
 
-@pytest.mark.parametrize("slot_bits, run_bits", [(10, 12), (2, 1)])
+@pytest.mark.parametrize("slot_bits, run_bits", [(10, 12), (2, 20)])
 def test_manifest_edges(spark, monkeypatch, slot_bits, run_bits):
     monkeypatch.setattr(merkle, "SLOT_BITS", slot_bits)
     monkeypatch.setattr(merkle, "RUN_BITS", run_bits)
