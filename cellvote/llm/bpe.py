@@ -174,21 +174,21 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
         self.ids: list[bytes] = [np.array([self.table.special_id], "<u4").tobytes()]
         self.pending: list[str] = []
 
     def note(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Entry of every pre-token of the texts and its text; new pre-tokens wait to be encoded."""
         found = split(texts, self.table.special, self.table.pre_tokenizer)
-        numbers, raw = [], found.points.tobytes()
+        numbers = []
         get, new = self.number.get, len(self.ids) + len(self.pending)
-        for i, h in enumerate(found.hashes.tolist()):
-            number = get(h)
+        for piece in found.pieces:
+            number = get(piece)
             if number is None:
-                number = self.number[h] = new
+                number = self.number[piece] = new
                 new += 1
-                self.pending.append(raw[4 * found.first[i] : 4 * found.last[i]].decode("utf-32-le"))
+                self.pending.append(piece.decode("utf-32-le"))
             numbers.append(number)
         entries = np.array([*numbers, 0], np.int32)[found.entries]
         return entries, found.text_of.astype(np.int32)

@@ -34,6 +34,22 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables that `stored` wrote for the frames, once everything made from them is stored itself."""
+    for frame in frames:
+        spark = frame.sparkSession
+        own = new_table_path(spark, "").rpartition("/")[0]
+        for path in {file.rpartition("/")[0] for file in frame.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if own.rpartition(":")[2] in path:  # nothing but this application's tables
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits that name a text; a null one is the empty text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def small(frame: DataFrame, row_bytes: int) -> DataFrame:
     """The frame with a broadcast hint if its counted rows prove it small, as it is otherwise.
 

@@ -174,7 +174,8 @@ def parse(page: str) -> Tree:
             for key, value in MARKS.findall(rest) if rest else ():
                 value = value.strip("\"'")
                 if key.lower() == "data-label":
-                    label = int(value)
+                    # the training pages say 0 or 1; any other page may use the name for what it likes
+                    label = int(value) if value in ("0", "1") else label
                 else:
                     features += [f"word:{w}" for w in WORD.findall(value.lower())]
             stack.append((tag, tree.add(above, features, None, label)))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellvote.llm.common import chunks, small, stored
+from cellvote.llm.common import chunks, discard, small, stored, text_digest
 from cellvote.llm.words import gram_hashes, mix, word_hashes
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_
     key_cols: BIGINT columns of docs that are passed on as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), *key_cols]
+    own = [F.col(id_col).cast("bigint").alias("doc_id"), text_digest(text).alias("text_key"), *key_cols]
     rows = docs.select(*own, text.alias("text"))
     names = ["doc_id", "text_key", *key_cols]
 
@@ -142,7 +142,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_
                     [*names, "n_shingles", "digest", "registers", "full"],
                 )
 
-    keys = ", ".join(f"{c} BIGINT" for c in names)
+    keys = ", ".join(f"{c} {'BINARY' if c == 'text_key' else 'BIGINT'}" for c in names)
     return rows.mapInArrow(run, f"{keys}, n_shingles BIGINT, digest BINARY, registers BINARY, full BINARY")
 
 
@@ -168,7 +168,9 @@ def bands(classes: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame, sketches: DataFrame, by: list[str], name: str) -> DataFrame:
     """`by` and a list `name` of the rows (node, comp) there, with their sketches; at most about BLOCK each."""
     told = F.struct("node", "comp", "n_shingles", "registers", "full")
-    return rows.join(sketches, "node").groupBy(*by).agg(F.collect_list(told).alias(name))
+    # by the block as well: the join may leave the rows where their bucket is
+    spread = rows.join(sketches, "node").repartition("band_key", by[-1])
+    return spread.groupBy(*by).agg(F.collect_list(told).alias(name))
 
 
 def likely(state: DataFrame, centre: DataFrame, sketches: DataFrame, percent: int, once: bool) -> DataFrame:
@@ -180,6 +182,7 @@ def likely(state: DataFrame, centre: DataFrame, sketches: DataFrame, percent: in
     it agrees in, and in no other.
     """
     many = state.groupBy("band_key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    many = small(stored(many, "bucket-sizes"), 24)
     placed = state.join(many, "band_key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = blocks(placed, sketches, ["band_key", "band", "block"], "rows")
     part = F.floor(F.col("part") / BLOCK).alias("part")
@@ -279,8 +282,10 @@ def components(links: DataFrame) -> DataFrame:
         # one jump: the label's own label
         up = known.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
         jumped = best.join(up, "comp", "left").select("node", F.least("comp", "above").alias("comp"), "old")
-        labels = stored(jumped, "labels")
+        last, labels = labels, stored(jumped, "labels")
+        discard(last)
         if labels.where("comp <> old").isEmpty():
+            discard(edges)
             return labels.select("node", "comp")
 
 
@@ -297,7 +302,9 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     above = small(found, 24).withColumnRenamed("comp", "above").withColumnRenamed("node", "comp")
     old = labels.join(above, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
     alone = found.join(known.select("node"), "node", "left_anti").select("node", "comp")
-    return stored(old.union(alone), "labels")
+    whole = stored(old.union(alone), "labels")
+    discard(between, found)
+    return whole
 
 
 def with_label(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -322,13 +329,14 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame, percen
     centre: the least node of the bucket.  Every bucket has several nodes.
     """
     sketches = small(sketches, 2 * BUCKETS + BUCKETS // 8 + 32)
-    labels, centres = None, 1
+    labels, centres, last = None, 1, buckets
     state = buckets.select("band_key", "band", "node", F.col("node").alias("comp"))
     centre = buckets.where("node = centre").select("band_key", F.lit(0).alias("part"), "node", F.col("node").alias("comp"))
     while True:
         near = stored(likely(state, centre, sketches, percent, once=centres > 1), "likely")
         links = stored(verified(with_both(small(near, 16), sets, ["shingles"]), percent), "links")
-        labels = merged(labels, links)
+        before, labels = labels, merged(labels, links)
+        discard(near, links, *([before] if before is not None and before is not labels else []))
 
         done = centre.select("band_key", "node")
         state = state.join(done, ["band_key", "node"], "left_anti").select("band_key", "band", "node", F.col("node").alias("comp"))
@@ -336,6 +344,8 @@ def class_links(sketches: DataFrame, sets: DataFrame, buckets: DataFrame, percen
             state = with_label(state, small(labels, 24), "comp")
         ends = state.groupBy("band_key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         state = stored(state.join(ends.where("lo < hi").select("band_key"), "band_key"), "open-buckets")
+        discard(last)
+        last = state
         if state.isEmpty():
             return labels
         centres *= MORE_CENTRES
@@ -361,12 +371,14 @@ def class_firsts(rows: DataFrame, docs: DataFrame, first: Column, text_col: str,
     several = every.groupBy("band_key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
     several = several.where("centre < last").select("band_key", "centre")
     buckets = stored(every.join(several, "band_key"), "buckets")
+    discard(every)
     live = buckets.select("node").distinct()
     live = stored(classes.join(live, "node").select("node", "text_key", "n_shingles", "registers", "full"), "live-classes")
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
+    texts = docs.select(text_digest(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     chosen = texts.join(small(live.select("node", "text_key"), 48), "text_key").dropDuplicates(["node"])
     sets = stored(shingle_sets(chosen.select("node", "text")), "shingle-sets")
     labels = class_links(live.drop("text_key"), sets, buckets, percent)
+    discard(sets, live)
     named = classes.select("digest", "node", "least").withColumn("comp", F.col("node"))
     if labels is not None:
         named = with_label(named, small(labels, 24), "comp")

@@ -6,8 +6,10 @@ The byte-level pre-tokenizer cuts a text by the pattern
 
 and BPE never merges across the cuts, so a text's ids are those of its
 pre-tokens in order.  Prose repeats its words, so each task encodes only the
-pre-tokens it has not met: their ids are kept by a hash of the pre-token in a
-table of bounded size.  The special string of the vocabulary, which the library
+pre-tokens it has not met: their ids are kept by the pre-token itself in a table
+of bounded size.  Equal pre-tokens of a chunk are found by hash and compared
+character by character; if a hash ever joins two, the chunk is sorted out by the
+pre-tokens themselves.  The special string of the vocabulary, which the library
 looks for before anything else, is a pre-token of its own.
 """
 
@@ -114,27 +116,25 @@ class Codec:
         self.pre_tokenizer, self.special, self.special_id, self.encode_new = (
             pre_tokenizer, special, special_id, encode_new,
         )
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def ids_of(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, points: np.ndarray) -> list[bytes]:
-        """Ids of distinct pre-tokens as little-endian uint32 bytes."""
-        found = list(map(self.known.get, hashes.tolist()))
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pre-tokens (little-endian code points) as little-endian uint32 bytes."""
+        found = list(map(self.known.get, pieces))
         new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            raw = points.tobytes()
-            pieces = [raw[4 * first[i] : 4 * last[i]].decode("utf-32-le") for i in new]
             if len(self.known) + len(new) > KEPT:
                 self.known = {}
-            for i, ids in zip(new, self.encode_new(pieces)):
+            for i, ids in zip(new, self.encode_new([pieces[i].decode("utf-32-le") for i in new])):
                 found[i] = ids
                 if len(self.known) < KEPT:
-                    self.known[int(hashes[i])] = ids
+                    self.known[pieces[i]] = ids
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order (uint32), and the number of ids of each text."""
         found = split(texts, self.special, self.pre_tokenizer)
-        ids = self.ids_of(found.hashes, found.first, found.last, found.points)
+        ids = self.ids_of(found.pieces)
         # one entry more: the id of the special string
         ids.append(np.array([self.special_id], "<u4").tobytes())
         return joined(ids, found.entries, found.text_of, len(texts))
@@ -144,16 +144,13 @@ class Codec:
 class Split:
     """Pre-tokens of some texts: the distinct ones, and which of them stands where.
 
-    hashes, first, last: hash and place in `points` of each distinct pre-token.
+    pieces: each distinct pre-token as little-endian code points.
     entries: for each pre-token of all texts in order its number among the
-        distinct ones; len(hashes) stands for the special string.
+        distinct ones; len(pieces) stands for the special string.
     text_of: the number of the text it is in.
     """
 
-    points: np.ndarray
-    hashes: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
+    pieces: list[bytes]
     entries: np.ndarray
     text_of: np.ndarray
 
@@ -165,14 +162,47 @@ def split(texts: list[str], special: str | None, pre_tokenizer) -> Split:
     value = points[begin]
     text_of = np.cumsum(value == END) - (value == END)
     spans = np.flatnonzero(value < END)
-    distinct, where = _factorize(_spans(points, begin[spans], end[spans]))
-    first = np.empty(len(distinct), np.int64)
-    first[where[::-1]] = spans[::-1]
+    first, where = distinct_spans(points, begin[spans], end[spans])
+    raw = points.tobytes()
+    pieces = [raw[a:b] for a, b in zip((4 * begin[spans][first]).tolist(), (4 * end[spans][first]).tolist())]
     entries = np.full(len(begin), -1, np.int64)
     entries[spans] = where
-    entries[value == SPECIAL] = len(distinct)
+    entries[value == SPECIAL] = len(pieces)
     keep = entries >= 0
-    return Split(points, distinct, begin[first], end[first], entries[keep], text_of[keep])
+    return Split(pieces, entries[keep], text_of[keep])
+
+
+def distinct_spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each content, and for every span the number of its content."""
+    hashes, where = _factorize(_spans(points, begin, end))
+    first = np.empty(len(hashes), np.int64)
+    first[where[::-1]] = np.arange(len(begin))[::-1]
+    if equal_spans(points, begin, end, begin[first][where], end[first][where]):
+        return first, where
+    raw, numbers, firsts = points.tobytes(), {}, []
+    for i, (a, b) in enumerate(zip((4 * begin).tolist(), (4 * end).tolist())):
+        number = numbers.setdefault(raw[a:b], len(firsts))
+        if number == len(firsts):
+            firsts.append(i)
+        where[i] = number
+    return np.array(firsts, np.int64), where
+
+
+def equal_spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> bool:
+    """Whether every span has the characters of its other one."""
+    if ((end - begin) != (other_end - other)).any():
+        return False
+    open_ = begin != other
+    a, b, left = begin[open_], other[open_], (end - begin)[open_]
+    for at in range(64):
+        if (points[a + at] != points[b + at]).any():
+            return False
+        more = left > at + 1
+        if not more.all():
+            a, b, left = a[more], b[more], left[more]
+        if len(a) == 0:
+            return True
+    return all(np.array_equal(points[i : i + n], points[j : j + n]) for i, j, n in zip(a.tolist(), b.tolist(), left.tolist()))
 
 
 def joined(ids: list[bytes], entries: np.ndarray, text_of: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellvote.llm.common import chunks, small, stored
+from cellvote.llm.common import chunks, small, stored, text_digest
 from cellvote.llm.words import gram_hashes, word_hashes, word_spans
 
 LENGTH = 50  # words of a passage
@@ -85,7 +85,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                         ["gram", "text_key", "at"],
                     )
 
-    return docs.mapInArrow(run, "gram BIGINT, text_key BIGINT, at INT")
+    return docs.mapInArrow(run, "gram BIGINT, text_key BINARY, at INT")
 
 
 def windows(texts: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def windows(texts: DataFrame) -> DataFrame:
                     ["hash", "doc_id", "text_key", "at", "copies", "n_words"],
                 )
 
-    return texts.mapInArrow(run, "hash BIGINT, doc_id BIGINT, text_key BIGINT, at INT, copies BIGINT, n_words INT")
+    return texts.mapInArrow(run, "hash BIGINT, doc_id BIGINT, text_key BINARY, at INT, copies BIGINT, n_words INT")
 
 
 def repeated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -176,7 +176,7 @@ def repeated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
         if not order:
             return found.unionByName(many.withColumn("first", F.lit(False)))
         # one row per hot key, of which there is a bounded number
-        named = F.concat_ws("|", *(F.col(c).cast("string") for c in (key, *order)))
+        named = F.concat_ws("|", *(F.hex(c) for c in (key, *order)))
         least = many.groupBy(key).agg(F.min(F.struct(*order)).alias("least")).select(key, "least.*")
         firsts = [row[0] for row in least.select(named).collect()]
         found = found.unionByName(many.withColumn("first", named.isin(firsts)))
@@ -195,7 +195,7 @@ def _spans(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), *columns], ["text_key", "spans", "later"])
 
     kind = "ARRAY<STRUCT<begin: INT, end: INT>>"
-    return rows.mapInArrow(run, f"text_key BIGINT, spans {kind}, later {kind}")
+    return rows.mapInArrow(run, f"text_key BINARY, spans {kind}, later {kind}")
 
 
 def union(places: np.ndarray) -> list[dict]:
@@ -207,7 +207,7 @@ def union(places: np.ndarray) -> list[dict]:
 
 
 def _key(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return text_digest(F.col(text_col))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
