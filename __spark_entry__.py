@@ -21,19 +21,21 @@ from cellvote.operators.levels import Level  # noqa: E402
 from cellvote.operators.rounds import center_shift, run_round  # noqa: E402
 from cellvote.operators.seeds import find_seeds  # noqa: E402
 from cellvote.operators.words import word_count  # noqa: E402
+from cellvote.plans.exact import exact_candidates, visits  # noqa: E402
+from cellvote.plans.index import import_index  # noqa: E402
 from cellvote.plans.search import leaves_hit, nearest_candidates  # noqa: E402
 from cellvote.settings import Limits, new_table_path  # noqa: E402
 from cellvote.sources import descriptors as records  # noqa: E402
 from cellvote.sources import text as texts  # noqa: E402
 from cellvote.streaming import jobs  # noqa: E402
 from checks import oracle  # noqa: E402
-from checks.oracle import BEAM, DEPTH, K, ROUNDS, TOP, VOTE_LIMIT  # noqa: E402
+from checks.oracle import BEAM, DEPTH, K, MANY_VOTES, ROUNDS, TOP, VOTE_LIMIT  # noqa: E402
 
 try:  # the operators for training text are an optional part
     import corpus_pipeline
     from cellvote.llm import queries as text_queries
 except ModuleNotFoundError as error:
-    if error.name not in ("corpus_pipeline", "cellvote.llm"):
+    if error.name not in ("corpus_pipeline", "cellvote.llm", "public_tokenizers"):
         raise
     corpus_pipeline = text_queries = None
 
@@ -80,6 +82,12 @@ class Fixture:
     def index(self) -> Index:
         return build_index(self.points, self.tree, new_table_path(self.spark, "index"))
 
+    @cached_property
+    def deep(self) -> TreeModel:
+        """The same tree fitted beyond the broadcast bound, a level in passes of two parents."""
+        limits = Limits(broadcast_bytes=0, pass_bytes=2 * K * self.tree.dim)
+        return fit_tree(self.points, k=K, depth=DEPTH, iterations=ROUNDS, limits=limits)
+
     def rounds(self, number: int) -> list[Level]:
         """Seeds of a level and its centers after each round."""
         above = self.tree.levels[:number]
@@ -111,6 +119,23 @@ def quantize(spark, sf):
     return points_of(read(spark, sf, "embeddings")).select("image_id", "desc_no", vec.vector_text(F.col("v")).alias("v"))
 
 
+def truncate_floats(spark, sf):
+    """Float components cut to whole numbers, towards zero."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 1000)
+    cut = F.transform(vec.truncate_values(scaled), lambda x: x.cast("string"))
+    return read(spark, sf, "embeddings").select("vec_id", F.array_join(cut, " ").alias("v"))
+
+
+def explode_descriptors(spark, sf):
+    """Images with a matrix of float descriptors each, as one row per descriptor."""
+    image = F.call_function("div", F.col("vec_id"), F.lit(10)).alias("image")
+    floats = F.transform("embedding", lambda x: (x.cast("double") + 1) * 127.5).alias("values")
+    rows = read(spark, sf, "embeddings").select(image, "vec_id", floats)
+    images = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("vec_id", "values"))).alias("rows"))
+    images = images.select("image", F.col("rows.values").alias("matrix"))
+    return ingest.explode_descriptors(images, "image", "matrix").select("image", "desc_no", vec.vector_text(F.col("v")).alias("v"))
+
+
 def image_hex(spark, sf):
     hexed = F.substring(F.md5(F.col("vec_id").cast("string").cast("binary")), 1, 16)
     stored = read(spark, sf, "embeddings").select("vec_id", vec.image_bytes(hexed).alias("stored"))
@@ -174,6 +199,31 @@ def kmeans(number):
     return run
 
 
+def kmeans_l1_shuffled(spark, sf):
+    """Rounds of a level whose centers no task holds whole."""
+    return center_text(fixture(spark, sf).deep.levels[1].frame(spark))
+
+
+def seeds_l2_shuffled(spark, sf):
+    """Seeds below a level whose centers no task holds whole."""
+    fx = fixture(spark, sf)
+    found = find_seeds(fx.points, fx.deep.levels, K, fx.deep.dim, limits=fx.deep.limits)
+    return center_text(found).select("center_id", "center")
+
+
+def tree_from_text(spark, sf):
+    """The fitted tree written as text files and read back as a tree."""
+    return center_text(text_tree(spark, sf).centers(spark))
+
+
+def text_tree(spark, sf):
+    fx, paths = fixture(spark, sf), []
+    for level in fx.tree.levels:
+        paths.append(new_table_path(spark, f"tree-text-{level.number}"))
+        texts.write_centers(level.frame(spark), paths[-1])
+    return TreeModel.from_text(spark, paths, k=K)
+
+
 def tree_centers(spark, sf):
     return center_text(fixture(spark, sf).tree.centers(spark))
 
@@ -240,6 +290,12 @@ def nearest(n_probe):
     return run
 
 
+def route_beam_shuffled(spark, sf):
+    fx = fixture(spark, sf)
+    index = Index(spark, fx.index.path, fx.deep)
+    return route(fx.queries, index, n_probe=BEAM, limits=fx.deep.limits).select("query_id", "desc_no", "leaf")
+
+
 def vote_rows(spark, sf):
     fx = fixture(spark, sf)
     return search_votes(fx.queries, fx.index, vote_limit=VOTE_LIMIT)
@@ -263,10 +319,9 @@ def answer_string(spark, sf):
 
 
 def answer_all(spark, sf):
-    """Queries of one to four descriptors: each gets an answer, though with one no image has two votes."""
+    """Every query gets an answer, though with so many votes asked for many have no image."""
     fx = fixture(spark, sf)
-    asked = fx.queries.where(F.col("desc_no") < F.col("query_id") % 4 + 1)
-    return votes.answers(search(asked, fx.index, vote_limit=VOTE_LIMIT, top=TOP), asked)
+    return votes.answers(search(fx.queries, fx.index, vote_limit=VOTE_LIMIT, top=TOP, min_votes=MANY_VOTES), fx.queries)
 
 
 def search_topk_shuffled(spark, sf):
@@ -275,6 +330,24 @@ def search_topk_shuffled(spark, sf):
     return search(fx.queries, fx.index, vote_limit=VOTE_LIMIT, top=TOP, limits=Limits(broadcast_bytes=0))
 
 
+def knn_exact(spark, sf):
+    """Nearest candidates among all postings, by leaves that the triangle inequality leaves."""
+    fx = fixture(spark, sf)
+    return exact_candidates(fx.queries, fx.index, vote_limit=VOTE_LIMIT)
+
+
+def exact_visits(spark, sf):
+    """Leaves that the exact search visits for each query descriptor."""
+    fx = fixture(spark, sf)
+    found = visits(fx.queries, fx.index, vote_limit=VOTE_LIMIT)
+    return found.groupBy("query_id", "desc_no").agg(F.count("*").alias("leaves"))
+
+
+def search_exact(spark, sf):
+    fx = fixture(spark, sf)
+    return search(fx.queries, fx.index, vote_limit=VOTE_LIMIT, top=TOP, exact=True)
+
+
 def answer_parse(spark, sf):
     return votes.parsed_answers(answer_string(spark, sf))
 
@@ -336,6 +409,15 @@ def index_text_roundtrip(spark, sf):
     return texts.read_index(spark, path).select("cell", "ord", "image_id", vec.vector_text(F.col("v")).alias("v"))
 
 
+def search_from_text_index(spark, sf):
+    """Tree and postings read from text files, and searched without routing the postings again."""
+    path = new_table_path(spark, "index-text")
+    texts.write_index(fixture(spark, sf).index.numbered(), path)
+    tree = text_tree(spark, sf)
+    index = import_index(texts.read_index(spark, path), tree, new_table_path(spark, "imported"))
+    return search(fixture(spark, sf).queries, index, vote_limit=VOTE_LIMIT, top=TOP)
+
+
 def query_text_roundtrip(spark, sf):
     path = new_table_path(spark, "queries-text")
     texts.write_queries(fixture(spark, sf).queries, path)
@@ -372,13 +454,13 @@ def stream_search(spark, sf):
 
 
 def stream_ingest(spark, sf):
-    """Half the points built in one go and the other half streamed in."""
+    """Half the points built in one go, and the others streamed in from two sources."""
     fx = fixture(spark, sf)
-    path, source, checkpoint = (new_table_path(spark, f"ingest-{part}") for part in ("index", "in", "state"))
-    late = F.col("desc_no") >= 5
-    index = build_index(fx.points.where(~late), fx.tree, path)
-    fx.points.where(late).repartition(2).write.parquet(source)
-    jobs.stream_ingest(jobs.point_stream(spark, source, files_per_batch=1), index, checkpoint).awaitTermination()
+    index = build_index(fx.points.where(F.col("desc_no") < 5), fx.tree, new_table_path(spark, "ingest-index"))
+    for late in (F.col("desc_no").between(5, 7), F.col("desc_no") > 7):
+        source, checkpoint = (new_table_path(spark, f"ingest-{part}") for part in ("in", "state"))
+        fx.points.where(late).repartition(2).write.parquet(source)
+        jobs.stream_ingest(jobs.point_stream(spark, source, files_per_batch=1), index, checkpoint).awaitTermination()
     return index.postings().select("leaf", "image_id", "desc_no")
 
 
@@ -399,6 +481,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "quantize": quantize,
+        "truncate_floats": truncate_floats,
+        "explode_descriptors": explode_descriptors,
         "image_hex": image_hex,
         "image_id_parse": image_id_parse,
         "rejected_names": rejected_names,
@@ -406,11 +490,14 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "l1_distance": l1_distance,
         "seeds_l0": seeds(0),
         "seeds_l1": seeds(1),
+        "seeds_l2_shuffled": seeds_l2_shuffled,
         "assign_l0": assign(0),
         "assign_l1": assign(1),
         "kmeans_l0": kmeans(0),
         "kmeans_l1": kmeans(1),
+        "kmeans_l1_shuffled": kmeans_l1_shuffled,
         "tree_centers": tree_centers,
+        "tree_from_text": tree_from_text,
         "tree_stats": tree_stats,
         "center_shift": center_shifts,
         "index_build": index_build,
@@ -419,6 +506,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "leaf_prune": leaf_prune,
         "route": routed(1),
         "route_beam": routed(BEAM),
+        "route_beam_shuffled": route_beam_shuffled,
         "search_candidates": nearest(1),
         "search_votes": vote_rows,
         "vote_count": vote_count,
@@ -428,7 +516,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "answer_all": answer_all,
         "search_topk_shuffled": search_topk_shuffled,
         "answer_parse": answer_parse,
-        "knn_exact": nearest(K**DEPTH),
+        "knn_exact": knn_exact,
+        "exact_visits": exact_visits,
+        "search_exact": search_exact,
         "recall_at_n": recall_at_n,
         "word_count": count_words,
         "ingest_stats": ingest_stats,
@@ -438,6 +528,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_not_loaded": ingest_not_loaded,
         "centers_text_roundtrip": centers_text_roundtrip,
         "index_text_roundtrip": index_text_roundtrip,
+        "search_from_text_index": search_from_text_index,
         "query_text_roundtrip": query_text_roundtrip,
         "descriptor_scan": descriptor_scan,
         "stream_search": stream_search,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellvote.operators.kernels import bytes_matrix, descend, descend_beam, nearest_own_child
+from cellvote.operators.kernels import bytes_matrix, descend, descend_beam, nearest_child, nearest_children
 from cellvote.operators.levels import Level
 from cellvote.settings import DEFAULT_LIMITS, Limits
 
@@ -53,7 +53,8 @@ def assign_cells(
     """points + the cell each one reaches on the last of `levels`.
 
     The levels within the broadcast bound are walked in one map-only pass over
-    Arrow batches; deeper ones by a join on the parent cell.  With n_probe > 1
+    Arrow batches; each deeper one is a table of points clustered by parent cell,
+    walked in passes of neighbouring parents (see passes.py).  With n_probe > 1
     the n nearest cells are kept on every level and a point gives n rows; rows
     that are equal in `keys`, or in everything, are points of their own.
     """
@@ -64,16 +65,53 @@ def assign_cells(
     resident = resident_levels(levels, limits)
     deeper = levels[len(resident) :]
     if n_probe > 1 and deeper:
-        # joined levels find a point's rows again by its keys, so points with equal keys are numbered
+        # deeper levels find a point's rows again by its keys, so points with equal keys are numbered
         keys = (*keys, "v")
         alike = Window.partitionBy(*keys).orderBy(*keys)
         points, keys = points.withColumn("_copy", F.row_number().over(alike)), (*keys, "_copy")
     frame = _assign_resident(points, resident, n_probe, column)
     for level in deeper:
-        frame = _assign_joined(frame, level, n_probe, keys, column)
+        frame = _assign_in_passes(frame, level, n_probe, keys, column, limits)
     return frame.drop("_copy")
 
 
+def _assign_in_passes(
+    frame: DataFrame, level: Level, n_probe: int, keys: tuple[str, ...], column: str, limits: Limits
+) -> DataFrame:
+    """One level down, as a stored table: no join, and no center goes to a task that needs it not."""
+    from cellvote.operators.passes import Clustered
+
+    k, dim, keep = level.k, level.dim, min(n_probe, level.k)
+    rest = [c for c in frame.columns if c != column]
+    schema = with_field(frame.select(*rest).schema, column)
+    if n_probe > 1:
+        schema = with_field(schema, "_dist")
+
+    def step(batches: Iterator[pa.RecordBatch], children: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch[column].to_numpy() - first
+            out = batch.select(rest)
+            if n_probe == 1:
+                cells = nearest_child(bytes_matrix(batch["v"], dim), own, children, k)
+                yield append_column(out, column, cells + np.int32(first * k))
+                continue
+            for start in range(0, batch.num_rows, max(BEAM_CELLS // k, 1)):
+                rows = slice(start, start + max(BEAM_CELLS // k, 1))
+                x = bytes_matrix(batch["v"], dim)[rows]
+                cells, dist = nearest_children(x, own[rows], children, k, keep)
+                part = out.slice(start, len(x)).take(pa.array(np.repeat(np.arange(len(x)), keep)))
+                part = append_column(part, column, (cells + first * k).astype(np.int32).ravel())
+                yield append_column(part, "_dist", dist.ravel())
+
+    clustered = Clustered.of_cells(frame, level, column, limits)
+    walked = clustered.walk(level, step, schema)
+    clustered.drop()
+    if n_probe == 1:
+        return walked
+    best = Window.partitionBy(*keys).orderBy("_dist", column)
+    return walked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= n_probe).select(*rest, column)
+
+
 def _assign_resident(points: DataFrame, levels: list[Level], n_probe: int, column: str) -> DataFrame:
     k, dim = levels[0].k, levels[0].dim
     shipped = ship(levels, points.sparkSession)
@@ -93,61 +131,6 @@ def _assign_resident(points: DataFrame, levels: list[Level], n_probe: int, colum
     return points.mapInArrow(walk, with_field(points.schema, column))
 
 
-def with_children(frame: DataFrame, level: Level, column: str) -> DataFrame:
-    """frame + `_parent` and `_children`, the parent's k centers as one BINARY in id order.
-
-    An equi-join on the parent cell.  A point stays one row and no pairs are
-    emitted; adaptive execution splits a parent that holds many points.
-    """
-    nodes = level.frame(frame.sparkSession).groupBy("parent_id").agg(
-        F.array_sort(F.collect_list(F.struct("center_id", "center"))).alias("_sorted")
-    )
-    joined = F.aggregate("_sorted", F.lit(b""), lambda done, child: F.concat(done, child["center"]))
-    nodes = nodes.select(F.col("parent_id").alias("_parent"), joined.alias("_children"))
-    return frame.withColumnRenamed(column, "_parent").join(nodes, "_parent")
-
-
-def own_children(batch: pa.RecordBatch, k: int, dim: int, n: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the batch, and cell and distance of the n nearest children per row."""
-    x = bytes_matrix(batch["v"], dim)
-    children = bytes_matrix(batch["_children"], k * dim).reshape(len(x), k, dim)
-    position, dist = nearest_own_child(x, children, n)
-    first = batch["_parent"].to_numpy().astype(np.int32)[:, None] * np.int32(k)
-    return x, (first + position).astype(np.int32), dist
-
-
-def _assign_joined(
-    frame: DataFrame, level: Level, n_probe: int, keys: tuple[str, ...], column: str
-) -> DataFrame:
-    """One level down by a join on the parent cell."""
-    k, dim = level.k, level.dim
-    keep = min(n_probe, k)
-    rest = [c for c in frame.columns if c != column]
-    schema = with_field(frame.select(*rest).schema, column)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, cells, dist = own_children(batch, k, dim, keep)
-            out = batch.select(rest)
-            if n_probe == 1:
-                yield append_column(out, column, cells[:, 0])
-            else:
-                rows = np.repeat(np.arange(len(cells)), keep)
-                out = append_column(out.take(pa.array(rows)), column, cells.ravel())
-                yield append_column(out, "_dist", dist.ravel())
-
-    joined = with_children(frame, level, column)
-    if n_probe == 1:
-        return joined.mapInArrow(step, schema)
-    best = Window.partitionBy(*keys).orderBy("_dist", column)
-    return (
-        joined.mapInArrow(step, with_field(schema, "_dist"))
-        .withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") <= n_probe)
-        .select(*rest, column)
-    )
-
-
 def cells_of_level(spark: SparkSession, levels: list[Level]) -> DataFrame:
     """All centers of the given levels in one frame."""
     frames = [level.frame(spark) for level in levels]

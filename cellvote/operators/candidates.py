@@ -25,6 +25,7 @@ def candidate_schema(query_id: T.DataType) -> T.StructType:
             T.StructField("desc_no", T.LongType(), False),
             T.StructField("dist", T.IntegerType(), False),
             T.StructField("image_id", T.StringType(), False),
+            T.StructField("n", T.LongType(), False),
         ]
     )
 
@@ -46,24 +47,31 @@ def _within_cut(
         yield q + start, p, dist[q, p]
 
 
+def shipment(queries: pa.Table, rows: np.ndarray, leaves: np.ndarray, bounds: np.ndarray | None = None) -> tuple:
+    """What join_broadcast ships: each query descriptor once, and the (row, leaf) visits in leaf order."""
+    order = np.argsort(leaves, kind="stable")
+    return queries.combine_chunks(), rows[order], leaves[order], bounds
+
+
 def join_broadcast(
     shipped: Broadcast, postings: DataFrame, *, vote_limit: int, dim: int, query_type: T.DataType
 ) -> DataFrame:
     """Candidates when all query descriptors fit the broadcast bound.
 
     Map-only over the postings, as a large leaf is already split over files.
-    shipped: Arrow table query_id, desc_no, v, leaf in leaf order.
+    shipped: a `shipment`; its bounds, if any, are distances that the cut of each
+        descriptor is known not to exceed.
     """
     schema = candidate_schema(query_type)
     limit = max(vote_limit, 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shipped.value
+        table, asking, leaf_of, known = shipped.value
         vectors = bytes_matrix(table["v"].combine_chunks(), dim)
         keys = query_keys(table)
-        leaves, first, size = np.unique(table["leaf"].to_numpy(), return_index=True, return_counts=True)
-        where = {leaf: slice(at, at + n) for leaf, at, n in zip(leaves.tolist(), first.tolist(), size.tolist())}
-        bounds = np.full(len(vectors), CUT, np.int32)
+        leaves, first, size = np.unique(leaf_of, return_index=True, return_counts=True)
+        where = {leaf: asking[at : at + n] for leaf, at, n in zip(leaves.tolist(), first.tolist(), size.tolist())}
+        bounds = np.full(len(vectors), CUT, np.int32) if known is None else known.copy()
         for batch in batches:
             x = bytes_matrix(batch["v"], dim)
             leaf = batch["leaf"].to_numpy()
@@ -73,9 +81,10 @@ def join_broadcast(
                 mine = where.get(cell)
                 if mine is None:
                     continue
-                rows = order[start:end]
-                for q, p, dist in _within_cut(vectors[mine], x[rows], limit, bounds[mine]):
-                    yield _candidate_batch(keys, q + mine.start, dist, batch["image_id"], rows[p])
+                rows, own = order[start:end], bounds[mine]
+                for q, p, dist in _within_cut(vectors[mine], x[rows], limit, own):
+                    yield _candidate_batch(keys, mine[q], dist, batch["image_id"], rows[p])
+                bounds[mine] = own
 
     return postings.select("leaf", "image_id", "v").mapInArrow(scan, schema)
 
@@ -87,10 +96,19 @@ def query_keys(queries: pa.Table) -> list[pa.Array]:
 def _candidate_batch(
     keys: list[pa.Array], q: np.ndarray, dist: np.ndarray, images: pa.Array, p: np.ndarray
 ) -> pa.RecordBatch:
-    picked = [key.take(pa.array(q)) for key in keys]
+    """Rows of candidate_schema; equal ones are one row with their number, as an image may be there many times."""
+    number = images.dictionary_encode()
+    codes = number.indices.to_numpy()[p].astype(np.int64)
+    order = np.lexsort((codes, dist, q))
+    q, dist, codes, p = q[order], dist[order], codes[order], p[order]
+    first = np.ones(len(q), bool)
+    first[1:] = (q[1:] != q[:-1]) | (dist[1:] != dist[:-1]) | (codes[1:] != codes[:-1])
+    at = np.flatnonzero(first)
+    picked = [key.take(pa.array(q[at])) for key in keys]
+    counts = np.diff(np.append(at, len(q)))
     return pa.RecordBatch.from_arrays(
-        [*picked, pa.array(dist, pa.int32()), images.take(pa.array(p))],
-        names=["query_id", "desc_no", "dist", "image_id"],
+        [*picked, pa.array(dist[at], pa.int32()), images.take(pa.array(p[at])), pa.array(counts, pa.int64())],
+        names=["query_id", "desc_no", "dist", "image_id", "n"],
     )
 
 
@@ -107,8 +125,10 @@ def join_blocks(
     """Candidates for query batches beyond the broadcast bound.
 
     Both sides of a leaf are cut into blocks of about limits.block_rows by a
-    hash, and every query block meets every posting block of its leaf as its
-    own group: memory per group is bounded however large the leaf is.
+    hash, and every query block meets every posting block of its leaf: both are
+    sorted together, the queries of a block first, and a task holds those while
+    the postings stream by.  Memory is bounded however large the leaf is, and
+    however many candidates are equally near.
     leaf_sizes: leaf, n of the postings.
     """
     limit = max(vote_limit, 0)
@@ -139,20 +159,37 @@ def join_blocks(
         "leaf", pick("_pb", "image_id", "desc_no").alias("pb"), every("_qb").alias("qb"), "image_id", "v"
     )
 
-    def meet(queries: pa.Table, stored: pa.Table) -> pa.Table:
-        batches = []
-        if queries.num_rows and stored.num_rows:
-            vectors = bytes_matrix(queries["v"].combine_chunks(), dim)
-            x = bytes_matrix(stored["v"].combine_chunks(), dim)
-            images = stored["image_id"].combine_chunks()
-            bounds = np.full(len(vectors), CUT, np.int32)
-            for q, p, dist in _within_cut(vectors, x, limit, bounds):
-                batches.append(_candidate_batch(query_keys(queries), q, dist, images, p))
-        names = schema.names
-        if not batches:
-            types = [queries.schema.field(n).type for n in names[:2]] + [pa.int32(), pa.string()]
-            return pa.table([pa.array([], t) for t in types], names=names)
-        return pa.Table.from_batches(batches)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, held = None, [], None
+        for batch in batches:
+            keys = np.stack([batch[name].to_numpy() for name in ("leaf", "qb", "pb")], axis=1)
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *ends], [*ends, len(keys)]):
+                if (now := tuple(keys[start])) != block:
+                    block, waiting, held = now, [], None
+                part = batch.slice(start, end - start)
+                asked = int(np.searchsorted(part["side"].to_numpy(), 1))
+                if asked:
+                    waiting.append(part.slice(0, asked))
+                if asked == part.num_rows or not waiting:
+                    continue
+                if held is None:  # all queries of the block are here once its postings come
+                    table = pa.Table.from_batches(waiting)
+                    vectors = bytes_matrix(table["v"].combine_chunks(), dim)
+                    held = vectors, query_keys(table), np.full(len(vectors), CUT, np.int32)
+                vectors, ids, bounds = held
+                stored = part.slice(asked)
+                for q, p, dist in _within_cut(vectors, bytes_matrix(stored["v"], dim), limit, bounds):
+                    yield _candidate_batch(ids, q, dist, stored["image_id"], p)
 
     keys = ("leaf", "qb", "pb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    left = left.withColumns({"image_id": F.lit(None).cast("string"), "side": F.lit(0)})
+    right = right.withColumns(
+        {
+            "query_id": F.lit(None).cast(routed.schema["query_id"].dataType),
+            "desc_no": F.lit(None).cast("bigint"),
+            "side": F.lit(1),
+        }
+    )
+    both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
+    return both.mapInArrow(meet, schema)

@@ -53,6 +53,16 @@ def l1_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def l1_rows(x: np.ndarray, centers: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """int32 distance of each row to the center with its number."""
+    out = np.empty(len(x), np.int32)
+    for start in range(0, len(x), CHUNK):
+        rows = slice(start, start + CHUNK)
+        block = x[rows].astype(np.int16)
+        out[rows] = _l1(block, centers[number[rows]], np.empty_like(block))
+    return out
+
+
 def nearest_child(x: np.ndarray, parent: np.ndarray, centers: np.ndarray, k: int) -> np.ndarray:
     """Nearest of the k children of each row's parent; the lowest id wins ties."""
     cell = np.empty(len(x), np.int32)
@@ -77,21 +87,20 @@ def descend(x: np.ndarray, levels: list[np.ndarray], k: int, start: np.ndarray |
     return cell
 
 
-def nearest_own_child(x: np.ndarray, children: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Position and distance of the n nearest among each row's own children.
-
-    children: uint8 (rows, k, dim).  Both results are (rows, n), nearest first,
-    the lowest position first on ties.
-    """
-    k = children.shape[1]
+def nearest_children(
+    x: np.ndarray, parent: np.ndarray, centers: np.ndarray, k: int, n: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Number and distance of the n nearest children of each row's parent, nearest first, the lowest id on ties."""
     dist = np.empty((len(x), k), np.int32)
+    first = parent.astype(np.int64) * k
     for start in range(0, len(x), CHUNK):
-        block = x[start : start + CHUNK].astype(np.int16)
+        rows = slice(start, start + CHUNK)
+        block = x[rows].astype(np.int16)
         work = np.empty_like(block)
         for j in range(k):
-            dist[start : start + CHUNK, j] = _l1(block, children[start : start + CHUNK, j], work)
-    order = np.argsort(dist, axis=1, kind="stable")[:, :n] if n > 1 else dist.argmin(axis=1)[:, None]
-    return order, np.take_along_axis(dist, order, axis=1)
+            dist[rows, j] = _l1(block, centers[first[rows] + j], work)
+    order = np.argsort(dist, axis=1, kind="stable")[:, :n]
+    return first[:, None] + order, np.take_along_axis(dist, order, axis=1)
 
 
 def descend_beam(x: np.ndarray, levels: list[np.ndarray], k: int, n_probe: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from cellvote.functions.vectors import ancestor
 from cellvote.operators.kernels import bytes_matrix, matrix_column
+from cellvote.settings import Limits
 
 CENTERS_SCHEMA = "level INT, center_id INT, parent_id INT, n BIGINT, center BINARY"
-TOP_LEVEL_BYTES = 64 << 20
 
 
 @dataclass
@@ -69,13 +69,13 @@ class Level:
             self._shipped.destroy()
             self._shipped = None
 
-    def on_driver(self, broadcast_bytes: int) -> bool:
+    def on_driver(self, limits: Limits) -> bool:
         """Whether the level is kept as an array.  Level 0 is: it has only k rows."""
         if self.number == 0:
-            if self.driver_bytes > TOP_LEVEL_BYTES:
-                raise ValueError(f"k = {self.k} is too large: the top level must stay below {TOP_LEVEL_BYTES} bytes")
+            if self.driver_bytes > limits.top_level_bytes:
+                raise ValueError(f"k = {self.k} is too large: the top level must stay below Limits.top_level_bytes")
             return True
-        return self.driver_bytes <= broadcast_bytes
+        return self.driver_bytes <= limits.broadcast_bytes
 
     @classmethod
     def collected(cls, number: int, k: int, dim: int, rows: DataFrame) -> "Level":
@@ -89,6 +89,18 @@ class Level:
         return cls(number, k, dim, bytes_matrix(center, dim).copy(), arrow["n"].to_numpy().copy())
 
 
+def children_of(level: Level, first: int, last: int) -> np.ndarray:
+    """The centers below the parents first..last-1, from the array or by a scan of their range of the table."""
+    low, high = first * level.k, last * level.k
+    if level.array is not None:
+        return level.array[low:high]
+    rows = level.table.where((F.col("center_id") >= low) & (F.col("center_id") < high)).select("center_id", "center")
+    arrow = rows.toArrow().sort_by("center_id").combine_chunks()
+    if arrow.num_rows != high - low:
+        raise ValueError(f"level {level.number} has {arrow.num_rows} centers in {low}..{high - 1}")
+    return bytes_matrix(arrow["center"].combine_chunks(), level.dim).copy()
+
+
 def check_count(found: int, number: int, k: int) -> None:
     expected = k ** (number + 1)
     if found != expected:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellvote.functions.vectors import l1_distance, unpack_bytes
-from cellvote.operators.assign import assign_cells, own_children, resident_levels, ship, with_children
-from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column, pack_sums, unpack_sums
+from cellvote.operators.assign import resident_levels, ship
+from cellvote.operators.kernels import bytes_matrix, cell_sums, descend, matrix_column, nearest_child, pack_sums, unpack_sums
 from cellvote.operators.levels import Level, center_rows
+from cellvote.operators.passes import Clustered
 from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
 
 SUMS_SCHEMA = "cell INT, n BIGINT, s BINARY"  # s: one number per dimension, see pack_sums
@@ -56,11 +57,14 @@ class _RunningSums:
         self.parts, self.held = [], 0
 
 
-def partial_sums(points: DataFrame, levels: list[Level], *, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def partial_sums(
+    points: DataFrame, levels: list[Level], *, limits: Limits = DEFAULT_LIMITS, clustered: Clustered | None = None
+) -> DataFrame:
     """SUMS_SCHEMA rows, at most a few per cell and task.
 
     Assignment and summing are one pass over the Arrow batches while the
-    centers fit the broadcast bound.
+    centers fit the broadcast bound.  Beyond it they run over `clustered`, the
+    points stored for all rounds of this level, which is made here without one.
     """
     dim, k = levels[-1].dim, levels[-1].k
     if len(resident_levels(levels, limits)) == len(levels):
@@ -78,17 +82,19 @@ def partial_sums(points: DataFrame, levels: list[Level], *, limits: Limits = DEF
 
         return points.select("v").mapInArrow(walk_and_sum, SUMS_SCHEMA)
 
-    def step_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    clustered = clustered or Clustered.of(points, levels, limits)
+
+    def step_and_sum(batches, children: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
         running = _RunningSums(dim)
         for batch in batches:
-            x, cells, _ = own_children(batch, k, dim)
-            running.add(*cell_sums(cells[:, 0], x))
+            x = bytes_matrix(batch["v"], dim)
+            cells = nearest_child(x, batch["cell"].to_numpy() - first, children, k)
+            running.add(*cell_sums(cells + np.int32(first * k), x))
             if running.full:
                 yield from running.flush()
         yield from running.flush()
 
-    parents = assign_cells(points.select("v"), levels[:-1], limits=limits)
-    return with_children(parents, levels[-1], "cell").mapInArrow(step_and_sum, SUMS_SCHEMA)
+    return clustered.walk(levels[-1], step_and_sum, SUMS_SCHEMA)
 
 
 def mean_centers(sums: DataFrame, dim: int) -> DataFrame:
@@ -113,11 +119,16 @@ def mean_centers(sums: DataFrame, dim: int) -> DataFrame:
 
 
 def run_round(
-    points: DataFrame, levels: list[Level], *, empty: str = "keep", limits: Limits = DEFAULT_LIMITS
+    points: DataFrame,
+    levels: list[Level],
+    *,
+    empty: str = "keep",
+    limits: Limits = DEFAULT_LIMITS,
+    clustered: Clustered | None = None,
 ) -> Level:
     """New centers of the last level.  A cell without points keeps its center with n = 0."""
     old = levels[-1]
-    means = mean_centers(partial_sums(points, levels, limits=limits), old.dim)
+    means = mean_centers(partial_sums(points, levels, limits=limits, clustered=clustered), old.dim)
     if old.array is not None:
         arrow = means.toArrow().combine_chunks()
         if empty == "error" and arrow.num_rows < old.size:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellvote.functions.vectors import ancestor
-from cellvote.operators.assign import assign_cells
+from cellvote.operators.assign import assign_cells, resident_levels, ship
+from cellvote.operators.kernels import bytes_matrix, l1_rows
 from cellvote.plans.tree import TreeModel
-from cellvote.settings import DEFAULT_LIMITS, Limits
+from cellvote.settings import DEFAULT_LIMITS, Limits, drop_table, new_table_path
 
 POSTINGS_SCHEMA = (
     "leaf INT, row BIGINT, image_id STRING, desc_no BIGINT, v BINARY, batch BIGINT, cell0 INT"
 )
 RUNS_SCHEMA = "leaf INT, part BIGINT, first_row BIGINT, n BIGINT, batch BIGINT"
+RADII_SCHEMA = "level INT, cell INT, radius INT, batch BIGINT"
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this many row bits
 RUN_BYTES = 128  # of one row of the runs table in a broadcast
 MAX_RANGES = 64  # leaf ranges pushed to the Parquet scan
@@ -31,6 +37,7 @@ class Index:
     postings/batch=B/cell0=C: sorted by leaf inside each file, so a scan for a
         few leaves skips directories by cell0 and row groups by leaf.
     runs/batch=B: one row per stretch of a leaf inside one file.
+    radii/batch=B: for each cell the distance of its farthest posting.
     tree: the fitted centers.
     """
 
@@ -44,22 +51,33 @@ class Index:
 
     def postings(self, leaves: list[int] | None = None) -> DataFrame:
         """Postings, read only where `leaves` can be when given."""
-        # Listed anew each time, so that appended batches are seen; a batch counts once its runs are there.
-        frame = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
-        batches = [row.batch for row in self.runs().select("batch").distinct().collect()]
-        frame = frame.where(F.col("batch").isin(batches))
         if leaves is None:
-            return frame
-        below = self.tree.k ** (self.tree.depth - 1)
-        frame = frame.where(
-            F.col("cell0").isin(sorted({leaf // below for leaf in leaves})) & leaf_ranges(F.col("leaf"), leaves)
-        )
+            return self._committed()
+        ordered = sorted(set(leaves))
+        frame = self.postings_between(list(zip(ordered, ordered)))
         # A longer list would bloat the plan; the join drops the rows between the ranges then.
         return frame.where(F.col("leaf").isin(leaves)) if len(leaves) <= MAX_LISTED else frame
 
+    def postings_between(self, ranges: list[tuple[int, int]]) -> DataFrame:
+        """Postings in ranges of leaves (first, last) that do not overlap, or at least all of those."""
+        below = self.tree.k ** (self.tree.depth - 1)
+        cells = sorted({cell for first, last in ranges for cell in range(first // below, last // below + 1)})
+        return self._committed().where(F.col("cell0").isin(cells) & within_ranges(F.col("leaf"), ranges))
+
+    def _committed(self) -> DataFrame:
+        # Listed anew each time, so that appended batches are seen; a batch counts once its runs are there.
+        frame = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
+        batches = [row.batch for row in self.runs().select("batch").distinct().collect()]
+        return frame.where(F.col("batch").isin(batches))
+
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUNS_SCHEMA).parquet(f"{self.path}/runs")
 
+    def radii(self) -> DataFrame:
+        """level, cell, radius: the largest distance of a posting to the center of each cell above it."""
+        rows = self.spark.read.schema(RADII_SCHEMA).parquet(f"{self.path}/radii")
+        return rows.groupBy("level", "cell").agg(F.max("radius").alias("radius"))
+
     def cell_sizes(self, level: int | None = None) -> DataFrame:
         """Filed descriptors per cell of one level (leaves by default), without reading postings."""
         up = 0 if level is None else self.tree.depth - 1 - level
@@ -92,20 +110,26 @@ class Index:
 
 
 def leaf_ranges(leaf: Column, leaves: list[int], most: int = MAX_RANGES) -> Column:
-    """OR of at most `most` ranges covering `leaves`, for row-group statistics.
+    """OR of at most `most` ranges covering `leaves`."""
+    ordered = sorted(set(leaves))
+    return within_ranges(leaf, list(zip(ordered, ordered)), most)
+
+
+def within_ranges(leaf: Column, ranges: list[tuple[int, int]], most: int = MAX_RANGES) -> Column:
+    """OR of at most `most` ranges that cover the given ones, for row-group statistics.
 
     Long IN lists reach Parquet only as one minimum and maximum; splitting them
     at their widest gaps keeps the skipping precise.
     """
-    ordered = sorted(set(leaves))
+    ordered = sorted(ranges)
     if not ordered:
         return F.lit(False)
-    gaps = sorted(range(1, len(ordered)), key=lambda i: ordered[i] - ordered[i - 1], reverse=True)
-    cuts = sorted(i for i in gaps[: most - 1] if ordered[i] - ordered[i - 1] > 1)
-    ranges = zip([0, *cuts], [*cuts, len(ordered)])
+    gap = [ordered[i][0] - ordered[i - 1][1] for i in range(1, len(ordered))]
+    widest = sorted(range(1, len(ordered)), key=lambda i: gap[i - 1], reverse=True)
+    cuts = sorted(i for i in widest[: most - 1] if gap[i - 1] > 1)
     condition = None
-    for start, end in ranges:
-        one = leaf.between(ordered[start], ordered[end - 1])
+    for start, end in zip([0, *cuts], [*cuts, len(ordered)]):
+        one = leaf.between(ordered[start][0], ordered[end - 1][1])
         condition = one if condition is None else condition | one
     return condition
 
@@ -137,33 +161,92 @@ def build_index(
     return Index(spark, path, tree)
 
 
+def import_index(
+    rows: DataFrame, tree: TreeModel, path: str, *, limits: Limits = DEFAULT_LIMITS
+) -> Index:
+    """An index from postings that name their leaf, without routing them again.
+
+    rows: cell (the leaf), image_id, v, and ord or desc_no, which is kept as desc_no;
+        what `read_index` gives.  A cell that the tree does not have is an error.
+    """
+    spark = rows.sparkSession
+    if has_batches(spark, path):
+        raise ValueError(f"{path} holds an index; build into another folder")
+    tree.save(spark, f"{path}/tree")
+    number = "desc_no" if "desc_no" in rows.columns else "ord"
+    known = F.col("cell").between(0, tree.n_leaves - 1)
+    leaf = F.when(known, F.col("cell")).otherwise(F.raise_error(F.lit("a posting names a cell that is no leaf")))
+    filed = rows.select("image_id", F.col(number).cast("bigint").alias("desc_no"), "v", leaf.cast("int").alias("leaf"))
+    write_postings(filed, tree, path, batch=0, limits=limits)
+    return Index(spark, path, tree)
+
+
 def append_postings(
     points: DataFrame, tree: TreeModel, path: str, *, batch: int, limits: Limits = DEFAULT_LIMITS
 ) -> None:
-    """Write one batch of postings; writing the same batch again replaces it.
+    """Route points and write them as one batch of postings; writing the same batch again replaces it."""
+    filed = assign_cells(points.select("image_id", "desc_no", "v"), tree.levels, column="leaf", limits=limits)
+    write_postings(filed, tree, path, batch=batch, limits=limits)
+
 
-    Range partitioning on (leaf, image, descriptor) also splits a leaf that
-    holds a large share of the rows over many files.
+def write_postings(filed: DataFrame, tree: TreeModel, path: str, *, batch: int, limits: Limits = DEFAULT_LIMITS) -> None:
+    """Write image_id, desc_no, v, leaf as one batch.
+
+    The routed rows are written once as they come, so that no later step routes
+    again.  The split points of the files are sampled from four narrow columns of
+    that table, and the distances behind the radii are in it as well.
+    Range partitioning on (leaf, image, descriptor) also splits a leaf that holds
+    a large share of the rows over many files.
     """
-    spark = points.sparkSession
+    spark = filed.sparkSession
     named = F.coalesce("image_id", F.raise_error(F.lit("null image id"))).alias("image_id")
-    rows = points.select(named, "desc_no", "v")
-    count = rows.count()
+    # A hash stands in for v, as the keys of the range sample go to the driver.
+    rows = filed.select("leaf", named, "desc_no", "v", F.xxhash64("v").alias("tie"))
+    routed = new_table_path(spark, "filed")
+    measured = with_distances(rows, tree, limits)
+    measured.write.parquet(routed)
+    stored = spark.read.schema(measured.schema).parquet(routed)
+
+    count = stored.count()
     least = min(spark.sparkContext.defaultParallelism, ceil(count / 20_000))
     files = max(ceil(count / limits.rows_per_file), least, 1)
-    filed = assign_cells(rows, tree.levels, column="leaf", limits=limits)
-    # A hash stands in for v, as the keys of the range sample go to the driver.
-    order = ["cell0", "leaf", "image_id", "desc_no", F.xxhash64("v")]
+    order = ["cell0", "leaf", "image_id", "desc_no", "tie"]
     ordered = (
-        filed.withColumn("cell0", ancestor(F.col("leaf"), tree.k, tree.depth - 1))
+        stored.drop("dists")
+        .withColumn("cell0", ancestor(F.col("leaf"), tree.k, tree.depth - 1))
         .repartitionByRange(files, *order)
         .sortWithinPartitions(*order, "v")
         .select("leaf", F.monotonically_increasing_id().alias("row"), "image_id", "desc_no", "v", "cell0")
     )
     target = f"{path}/postings/batch={batch}"
     ordered.write.mode("overwrite").partitionBy("cell0").parquet(target)
+    farthest = stored.select("leaf", F.posexplode("dists").alias("level", "dist"))
+    widths = F.array(*(F.lit(tree.k ** (tree.depth - 1 - level)) for level in range(tree.depth)))
+    cell = F.call_function("div", F.col("leaf"), F.get(widths, F.col("level"))).cast("int")
+    radii = farthest.groupBy("level", cell.alias("cell")).agg(F.max("dist").alias("radius"))
+    radii.write.mode("overwrite").parquet(f"{path}/radii/batch={batch}")
     written = spark.read.schema("leaf INT, row BIGINT").parquet(target) if count else ordered
     runs = written.groupBy("leaf", F.shiftright("row", ROW_BITS).alias("part")).agg(
         F.min("row").alias("first_row"), F.count("*").alias("n")
     )
     runs.write.mode("overwrite").parquet(f"{path}/runs/batch={batch}")
+    drop_table(spark, routed)
+
+
+def with_distances(rows: DataFrame, tree: TreeModel, limits: Limits) -> DataFrame:
+    """rows + dists: L1 distance to the center of each cell above the row, on the levels within the broadcast bound."""
+    levels = resident_levels(tree.levels, limits)
+    shipped = ship(levels, rows.sparkSession)
+    k, dim, depth = tree.k, tree.dim, tree.depth
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, leaf = bytes_matrix(batch["v"], dim), batch["leaf"].to_numpy()
+            dists = [l1_rows(x, level.value, leaf // k ** (depth - 1 - i)) for i, level in enumerate(shipped)]
+            flat = pa.array(np.stack(dists, axis=1).ravel(), pa.int32())
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(len(dists)))
+            column = pa.ListArray.from_arrays(ends, flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "dists"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("dists", T.ArrayType(T.IntegerType(), False))])
+    return rows.mapInArrow(measure, schema)

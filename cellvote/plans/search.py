@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellvote.functions.vectors import ancestor
 from cellvote.operators.assign import assign_cells
-from cellvote.operators.candidates import join_blocks, join_broadcast
+from cellvote.operators.candidates import join_blocks, join_broadcast, shipment
 from cellvote.operators.votes import count_votes, cut_candidates, top_images, votes_of
 from cellvote.plans.index import Index
-from cellvote.settings import DEFAULT_LIMITS, Limits
+from cellvote.settings import DEFAULT_LIMITS, Limits, new_table_path
 
 QUERY_KEYS = ("query_id", "desc_no")
 ROW_OVERHEAD = 96  # bytes per query descriptor next to its vector
+LEAF_BYTES = 64  # of one leaf in a list on the driver
 
 
 def route(queries: DataFrame, index: Index, *, n_probe: int = 1, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -28,6 +31,11 @@ def leaves_hit(routed: DataFrame, index: Index) -> DataFrame:
     return index.cell_sizes().withColumnRenamed("cell", "leaf").join(hit, "leaf", "left_semi")
 
 
+def small_batch(queries: DataFrame, index: Index, n_probe: int = 1, limits: Limits = DEFAULT_LIMITS) -> bool:
+    """Whether the routed query descriptors, which are counted, fit the broadcast bound."""
+    return queries.count() * n_probe <= limits.broadcast_bytes // (index.tree.dim + ROW_OVERHEAD)
+
+
 def nearest_candidates(
     queries: DataFrame,
     index: Index,
@@ -41,18 +49,43 @@ def nearest_candidates(
 
     The number of query descriptors is measured first.  Within the broadcast
     bound the routed descriptors go to every task of a pruned postings scan;
-    beyond it both sides are shuffled in blocks.
+    beyond it they are written once, and the leaves found in that table prune
+    the scan of the postings that are shuffled against them in blocks.
     broadcasts: a list that receives what was broadcast for this batch, for a
         long-running caller to destroy once the result is written.
     """
-    spark, tree = index.spark, index.tree
+    small = small_batch(queries, index, n_probe, limits)
+    return _nearest(queries, index, small, vote_limit, n_probe, limits, broadcasts)
+
+
+def _nearest(
+    queries: DataFrame,
+    index: Index,
+    small: bool,
+    vote_limit: int = 10,
+    n_probe: int = 1,
+    limits: Limits = DEFAULT_LIMITS,
+    broadcasts: list[Broadcast] | None = None,
+) -> DataFrame:
     routed = route(queries, index, n_probe=n_probe, limits=limits)
-    most = limits.broadcast_bytes // (tree.dim + ROW_OVERHEAD)
-    small = queries.count() * n_probe <= most
+    return candidates_of(routed, index, small, vote_limit, limits, broadcasts)
+
+
+def candidates_of(
+    routed: DataFrame,
+    index: Index,
+    small: bool,
+    vote_limit: int,
+    limits: Limits = DEFAULT_LIMITS,
+    broadcasts: list[Broadcast] | None = None,
+) -> DataFrame:
+    """nearest_candidates of routed descriptors (query_id, desc_no, v, leaf), each of which may have several leaves."""
+    spark, tree = index.spark, index.tree
     if small:
         local = routed.toArrow()
         leaves = local["leaf"].unique().to_pylist()
-        shipped = spark.sparkContext.broadcast(local.sort_by("leaf"))
+        rows = np.arange(local.num_rows)
+        shipped = spark.sparkContext.broadcast(shipment(local.drop(["leaf"]), rows, local["leaf"].to_numpy()))
         if broadcasts is not None:
             broadcasts.append(shipped)
         candidates = join_broadcast(
@@ -60,14 +93,16 @@ def nearest_candidates(
             index.postings(leaves),
             vote_limit=vote_limit,
             dim=tree.dim,
-            query_type=queries.schema["query_id"].dataType,
+            query_type=routed.schema["query_id"].dataType,
         )
     else:
-        sizes = index.cell_sizes().withColumnRenamed("cell", "leaf")
+        path = new_table_path(spark, "routed")
+        routed.write.parquet(path)
+        routed = spark.read.schema(routed.schema).parquet(path)
         candidates = join_blocks(
             routed,
-            index.postings(),
-            sizes,
+            postings_of_routed(routed, index, limits),
+            index.cell_sizes().withColumnRenamed("cell", "leaf"),
             n_leaves=tree.n_leaves,
             vote_limit=vote_limit,
             dim=tree.dim,
@@ -76,6 +111,21 @@ def nearest_candidates(
     return cut_candidates(candidates, vote_limit, small_queries=small)
 
 
+def postings_of_routed(routed: DataFrame, index: Index, limits: Limits) -> DataFrame:
+    """The postings a large batch can need: a scan pruned by the leaves in the stored `routed`.
+
+    The leaves go into the filter one by one while they are few, else as the
+    stretch of leaves asked for in each top cell, of which there are k.  The join
+    that follows drops what the ranges let through.
+    """
+    hit = routed.groupBy("leaf").agg(F.count("*").alias("n"))
+    if index.tree.n_leaves * LEAF_BYTES <= limits.broadcast_bytes:
+        return index.postings([row.leaf for row in hit.select("leaf").collect()])
+    top = ancestor(F.col("leaf"), index.tree.k, index.tree.depth - 1)
+    spans = hit.groupBy(top.alias("cell0")).agg(F.min("leaf").alias("first"), F.max("leaf").alias("last"))
+    return index.postings_between([(row["first"], row["last"]) for row in spans.collect()])
+
+
 def search_votes(queries: DataFrame, index: Index, **options) -> DataFrame:
     """query_id, desc_no, image_id: the images each query descriptor votes for.
 
@@ -84,7 +134,17 @@ def search_votes(queries: DataFrame, index: Index, **options) -> DataFrame:
     return votes_of(nearest_candidates(queries, index, **options))
 
 
-def search(queries: DataFrame, index: Index, *, top: int = 10, min_votes: int = 2, **options) -> DataFrame:
+def search(
+    queries: DataFrame,
+    index: Index,
+    *,
+    top: int = 10,
+    min_votes: int = 2,
+    n_probe: int = 1,
+    exact: bool = False,
+    limits: Limits = DEFAULT_LIMITS,
+    **options,
+) -> DataFrame:
     """query_id, rank, image_id, votes for every query image of the batch.
 
     queries: query_id, desc_no, v.
@@ -92,5 +152,12 @@ def search(queries: DataFrame, index: Index, *, top: int = 10, min_votes: int =
     options: those of nearest_candidates, namely
         vote_limit: candidates per descriptor after which no further distance votes;
         n_probe: leaves searched per descriptor, 1 is the plain greedy descent.
+    exact: candidates are those of a search through all leaves; n_probe is not used then.
     """
-    return top_images(count_votes(search_votes(queries, index, **options)), top, min_votes)
+    if exact:
+        from cellvote.plans.exact import exact_candidates
+
+        return top_images(count_votes(votes_of(exact_candidates(queries, index, limits=limits, **options))), top, min_votes)
+    small = small_batch(queries, index, n_probe, limits)
+    nearest = _nearest(queries, index, small, n_probe=n_probe, limits=limits, **options)
+    return top_images(count_votes(votes_of(nearest), small_queries=small), top, min_votes)

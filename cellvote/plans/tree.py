@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from cellvote.operators.assign import cells_of_level
 from cellvote.operators.levels import CENTERS_SCHEMA, Level, center_rows, check_count
+from cellvote.operators.passes import Clustered, needs_passes
 from cellvote.operators.rounds import center_shift, run_round
 from cellvote.operators.seeds import find_seeds
-from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir
+from cellvote.settings import DEFAULT_LIMITS, Limits, ensure_checkpoint_dir, new_table_path
+from cellvote.sources.text import read_centers
 
 META_SCHEMA = "k INT, dim INT, depth INT, iterations INT"
 IDENTITY_SCHEMA = "fit STRING, points STRING, seeds STRING"
@@ -56,6 +58,30 @@ class TreeModel:
         ).parquet(f"{path}/centers")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
+    @classmethod
+    def from_text(
+        cls, spark: SparkSession, paths: list[str], *, k: int, iterations: int = 0, limits: Limits = DEFAULT_LIMITS
+    ) -> "TreeModel":
+        """The tree whose levels' centers stand in text files, the top level first.
+
+        Every level must be whole: ids 0 .. k**(level+1) - 1, vectors of one length.
+        Levels beyond the broadcast bound are written as a table once and stay one.
+        """
+        frames = [read_centers(spark, path, number, k) for number, path in enumerate(paths)]
+        if not frames:
+            raise ValueError("no center files")
+        first = frames[0].select(F.length("center").alias("dim")).head()
+        if first is None:
+            raise ValueError(f"no centers in {paths[0]}")
+        levels = []
+        for number, rows in enumerate(frames):
+            if not Level(number, k, first.dim).on_driver(limits):
+                path = new_table_path(spark, f"centers-{number}")
+                rows.repartitionByRange("center_id").sortWithinPartitions("center_id").write.parquet(path)
+                rows = spark.read.schema(CENTERS_SCHEMA).parquet(path)
+            levels.append(read_level(rows, number, k, first.dim, limits))
+        return cls(k, first.dim, iterations, levels, limits)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, limits: Limits = DEFAULT_LIMITS) -> "TreeModel":
         meta = spark.read.schema(META_SCHEMA).parquet(f"{path}/meta").head()
@@ -70,7 +96,7 @@ class TreeModel:
 def read_level(rows: DataFrame, number: int, k: int, dim: int, limits: Limits) -> Level:
     """Level from stored centers, on the driver if its size allows."""
     level = Level(number, k, dim)
-    if level.on_driver(limits.broadcast_bytes):
+    if level.on_driver(limits):
         return Level.collected(number, k, dim, rows)
     check_count(rows.count(), number, k)
     return replace(level, table=center_rows(rows, number, k))
@@ -121,6 +147,7 @@ def fit_tree(
     if snapshots:
         _claim(snapshots, points, seeds, f"k={k} dim={dim} iterations={iterations} empty={empty} tol={tol}")
     for number in range(depth):
+        clustered = None
         start, level, shift = _last_snapshot(spark, snapshots, number, k, dim, iterations, limits)
         if level is None:
             level = _seed_level(points, tree, seeds if number == 0 else None)
@@ -129,7 +156,10 @@ def fit_tree(
         for iteration in range(start + 1, iterations + 1):
             if tol is not None and shift is not None and shift <= tol:
                 break
-            new = run_round(points, [*tree.levels, level], empty=empty, limits=limits)
+            levels = [*tree.levels, level]
+            if clustered is None and needs_passes(levels, limits):
+                clustered = Clustered.of(points, levels, limits)
+            new = run_round(points, levels, empty=empty, limits=limits, clustered=clustered)
             shift = _shift(spark, level, new)
             tree.shifts.append((number, iteration, shift))
             level.release()  # made here, and nothing lazy is left that reads it
@@ -137,6 +167,8 @@ def fit_tree(
             if snapshots:
                 _write_snapshot(spark, snapshots, level, iteration, shift)
         tree.levels.append(level)
+        if clustered is not None:
+            clustered.drop()
     return tree
 
 
@@ -154,7 +186,7 @@ def _seed_level(points: DataFrame, tree: TreeModel, given: DataFrame | None) ->
     else:
         rows = find_seeds(points, tree.levels, k, dim, limits=tree.limits)
     spark = points.sparkSession
-    if level.on_driver(tree.limits.broadcast_bytes):
+    if level.on_driver(tree.limits):
         rows = spark.createDataFrame(rows.toArrow(), CENTERS_SCHEMA)
     else:
         ensure_checkpoint_dir(spark)

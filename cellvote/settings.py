@@ -18,9 +18,15 @@ class Limits:
         bound the join-based plan runs instead.
     block_rows: rows per side of one block in the shuffled candidate join.
     rows_per_file: postings per index file.
+    top_level_bytes: largest top level, whose k centers (of dim + 64 bytes) the
+        driver and every task hold; a larger k is an error.
+    pass_bytes: centers that one pass over a level beyond the broadcast bound sends
+        to its tasks.
     """
 
     broadcast_bytes: int = 256 << 20
+    top_level_bytes: int = 256 << 20
+    pass_bytes: int = 128 << 20
     block_rows: int = 65_536
     rows_per_file: int = 8_000_000
 
@@ -51,6 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table of this application; nothing else is ever deleted."""
+    if f"/cellvote/{spark.sparkContext.applicationId}/" not in path:
+        raise ValueError(f"{path} is no intermediate table")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/cellvote/{app}/{name}-{uuid.uuid4().hex}"

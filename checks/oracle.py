@@ -7,7 +7,7 @@ code.  Names: seed_L, center_L_R, cell_L (final assignment to level L).
 
 from __future__ import annotations
 
-K, DEPTH, ROUNDS, VOTE_LIMIT, TOP, BEAM = 4, 2, 2, 5, 10, 2
+K, DEPTH, ROUNDS, VOTE_LIMIT, TOP, BEAM, MANY_VOTES = 4, 2, 2, 5, 10, 2, 3
 
 POINTS = """
 pts AS MATERIALIZED (
@@ -197,6 +197,16 @@ named AS (
             " WHERE leaf IN (SELECT leaf FROM postings WHERE (query_id * 10 + desc_no) % 100 = 0) GROUP BY ALL",
         ),
         "route": statement(filed, "SELECT query_id, desc_no, CAST(leaf AS INTEGER) AS leaf FROM postings"),
+        "seeds_l2_shuffled": statement(
+            tree,
+            f"SELECT CAST(parent * {K} + rn - 1 AS INTEGER) AS center_id, {text('v')} AS center FROM ("
+            "SELECT parent, v, row_number() OVER (PARTITION BY parent ORDER BY min(id)) AS rn"
+            f" FROM cell_1 GROUP BY parent, v) WHERE rn <= {K}",
+        ),
+        "truncate_floats": """
+            SELECT vec_id, array_to_string(list_transform(embedding,
+                   lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000) AS INTEGER)), ' ') AS v FROM embeddings""",
+        "explode_descriptors": statement([POINTS], f"SELECT query_id AS image, desc_no, {text('v')} AS v FROM pts"),
         "route_beam": statement(
             [*tree, *beam(BEAM)],
             f"SELECT query_id, desc_no, CAST(c AS INTEGER) AS leaf FROM frontier_{DEPTH - 1} JOIN pts USING (id)",
@@ -225,9 +235,8 @@ named AS (
             [
                 *near,
                 VOTES,
-                "counts AS (SELECT query_id, image_id, count(*) AS votes FROM votes"
-                " WHERE desc_no < query_id % 4 + 1 GROUP BY query_id, image_id)",
-                RANKED,
+                COUNTS,
+                RANKED.replace("votes > 1", f"votes >= {MANY_VOTES}"),
             ],
             "SELECT q.query_id, coalesce(string_agg(image_id || ':' || votes, ' ' ORDER BY rank), '') AS answer"
             " FROM (SELECT DISTINCT query_id FROM pts) q LEFT JOIN ranked r ON r.query_id = q.query_id GROUP BY q.query_id",
@@ -237,6 +246,27 @@ named AS (
         "knn_exact": statement(
             [*filed, candidates("near", EVERY_LEAF)], "SELECT query_id, desc_no, dist, image_id, n FROM near"
         ),
+        "search_exact": statement(
+            [*filed, candidates("near", EVERY_LEAF), VOTES, COUNTS, RANKED],
+            "SELECT query_id, rank, image_id, votes FROM ranked",
+        ),
+        "exact_visits": statement(
+            [
+                *near,
+                "bounds AS (SELECT query_id, desc_no, CASE WHEN sum(n) > greatest("
+                f"{VOTE_LIMIT}, 0) THEN max(dist) END AS bound FROM near GROUP BY ALL)",
+                *(
+                    f"radius_{level} AS MATERIALIZED (SELECT c.c, any_value(c.v) AS v, max({l1('p.v', 'c.v')}) AS r"
+                    f" FROM postings p JOIN {FINAL[level]} c ON c.c = p.leaf // {K ** (DEPTH - 1 - level)} GROUP BY c.c)"
+                    for level in range(DEPTH)
+                ),
+                f"""visits AS (
+                  SELECT q.id, l1.c FROM pts q JOIN bounds b USING (query_id, desc_no) JOIN radius_1 l1 ON true
+                  JOIN radius_0 l0 ON l0.c = l1.c // {K}
+                  WHERE b.bound IS NULL OR ({l1('q.v', 'l0.v')} - l0.r <= b.bound AND {l1('q.v', 'l1.v')} - l1.r <= b.bound))""",
+            ],
+            "SELECT query_id, desc_no, count(*) AS leaves FROM visits JOIN pts USING (id) GROUP BY query_id, desc_no",
+        ),
         "recall_at_n": statement(
             [
                 *near,
@@ -278,4 +308,10 @@ named AS (
             filed, "SELECT CAST(leaf AS INTEGER) AS leaf, image_id, desc_no FROM postings"
         ),
     }
-    return sql
+    same = {
+        "kmeans_l1_shuffled": "kmeans_l1",
+        "route_beam_shuffled": "route_beam",
+        "tree_from_text": "tree_centers",
+        "search_from_text_index": "search_topk",
+    }
+    return sql | {key: sql[other] for key, other in same.items()}
