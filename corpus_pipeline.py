@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-
 from cellvote.llm import bpe, decontamination, minhash, quality_rules, suffix_dedup
 from cellvote.llm.common import read, stored
-from cellvote.llm.queries import BYTE_BPE
+from cellvote.llm.queries import byte_bpe
 
 
 def quality(spark, docs, sf_dir):
@@ -31,7 +29,7 @@ def benchmark_free(spark, docs, sf_dir):
 
 def encoded(spark, docs, sf_dir):
     """Every document's ids, as their number and digest, with the digest of what they decode to."""
-    return bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE))
+    return bpe.round_trip(docs, byte_bpe())
 
 
 STAGES = [
