@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     add_search("search", "answer the query files in a folder")
     watch = add_search("watch", "answer query files as they arrive, until stopped")
     watch.add_argument("checkpoint", help="folder that remembers which files were answered")
+    watch.add_argument("--replies", help="folder for one row per query, with an empty answer where nothing was found")
     watch.add_argument("--once", action="store_true", help="stop after the files that are there")
 
     words = jobs.add_parser("words", help="count words in text files")
@@ -81,12 +82,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         index = Index.open(spark, args.index)
         limits = {"vote_limit": args.vote_limit, "top": args.top, "n_probe": args.n_probe}
         if args.job == "search":
-            search(read_queries(spark, args.queries), index, **limits).write.mode("overwrite").parquet(args.answers)
-            answers(spark.read.parquet(args.answers)).orderBy("query_id").show(20, truncate=False)
+            asked = read_queries(spark, args.queries)
+            search(asked, index, **limits).write.mode("overwrite").parquet(args.answers)
+            answers(spark.read.parquet(args.answers), asked).orderBy("query_id").show(20, truncate=False)
         else:
             trigger = {"availableNow": True} if args.once else {"processingTime": "1 second"}
             stream = text_query_stream(spark, args.queries)
-            stream_search(stream, index, args.answers, args.checkpoint, trigger=trigger, **limits).awaitTermination()
+            started = stream_search(
+                stream, index, args.answers, args.checkpoint, trigger=trigger, replies_path=args.replies, **limits
+            )
+            started.awaitTermination()
 
 
 if __name__ == "__main__":

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
+
 from pyspark import Broadcast
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cellvote.operators.votes import answers
 from cellvote.plans.index import Index, append_postings
 from cellvote.plans.search import search
 from cellvote.settings import DEFAULT_LIMITS, Limits
@@ -14,13 +19,36 @@ from cellvote.sources.text import id_of_file, query_lines
 
 QUERY_SCHEMA = "query_id BIGINT, desc_no BIGINT, v BINARY"
 POINTS_SCHEMA = "image_id STRING, desc_no BIGINT, v BINARY"
+NUMBER_SCHEMA = "number BIGINT"
 BATCH_BITS = 30  # of a batch number inside its stream
 
 
-def stream_number(spark: SparkSession, checkpoint: str) -> int:
-    """A positive 32-bit number that belongs to the checkpoint's path, the same after a restart."""
-    path = checkpoint.rstrip("/")
-    return spark.range(1).select(F.crc32(F.lit(path).cast("binary"))).head()[0] + 1
+def stream_number(spark: SparkSession, checkpoint: str, taken: Callable[[int], bool]) -> int:
+    """A positive 32-bit number of the stream, drawn once and kept inside its checkpoint folder.
+
+    It goes where the checkpoint goes, however its path is written.  A stream
+    started without its checkpoint draws a new one that is not `taken`, so it
+    never overwrites what another stream, or its own lost state, has written.
+    """
+    path = f"{checkpoint.rstrip('/')}/stream_number"
+    try:
+        known = spark.read.schema(NUMBER_SCHEMA).parquet(path).head()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if known is not None:
+        return known.number
+    number = secrets.randbelow(1 << 32) + 1
+    while taken(number):
+        number = secrets.randbelow(1 << 32) + 1
+    spark.createDataFrame([(number,)], NUMBER_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    return number
+
+
+def has_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def query_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -55,15 +83,21 @@ def stream_search(
     vote_limit: int = 10,
     top: int = 10,
     n_probe: int = 1,
+    replies_path: str | None = None,
     limits: Limits = DEFAULT_LIMITS,
 ) -> StreamingQuery:
     """Answer every arriving query image; one job answers a whole micro-batch.
 
+    replies_path: a second target for one row per query image, query_id and answer
+        (see `answers`), with an empty answer where no image was found.
+
     Answers go to answers_path/stream=S/batch_id=N, where S belongs to the
     checkpoint, so several streams can share a target.  A batch that is run again
     after a failure overwrites its own folder, so no answer is doubled.
     """
-    target = f"{answers_path}/stream={stream_number(queries.sparkSession, checkpoint)}"
+    spark = queries.sparkSession
+    number = stream_number(spark, checkpoint, lambda n: has_folder(spark, f"{answers_path}/stream={n}"))
+    target = f"{answers_path}/stream={number}"
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # counted, routed and searched
@@ -72,7 +106,12 @@ def stream_search(
             found = search(
                 batch, index, vote_limit=vote_limit, top=top, n_probe=n_probe, limits=limits, broadcasts=used
             )
-            found.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            written = f"{target}/batch_id={batch_id}"
+            found.write.mode("overwrite").parquet(written)
+            if replies_path is not None:
+                ranked = spark.read.schema(found.schema).parquet(written)
+                replies = answers(ranked, batch)
+                replies.write.mode("overwrite").parquet(f"{replies_path}/stream={number}/batch_id={batch_id}")
         finally:
             batch.unpersist()
             for table in used:
@@ -100,7 +139,10 @@ def stream_ingest(
     belongs to the checkpoint: it replaces itself when run twice, and no other
     stream's (0 is the first build).
     """
-    first = (stream_number(points.sparkSession, checkpoint) << BATCH_BITS) + 1
+    spark = points.sparkSession
+    written = F.shiftright(F.col("batch"), BATCH_BITS)
+    number = stream_number(spark, checkpoint, lambda n: not index.runs().where(written == n).isEmpty())
+    first = (number << BATCH_BITS) + 1
 
     def file(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # counted, sampled for the ranges and written

@@ -91,3 +91,36 @@ def test_text_queries_from_the_root_folder(spark, index):
     jobs.stream_search(jobs.text_query_stream(spark, source), index, out, state).awaitTermination()
     got = sorted((int(r.query_id), r["rank"], r.image_id, r.votes) for r in spark.read.parquet(out).collect())
     assert got == sorted(map(tuple, search(queries(spark, {3, 4, 5}), index).collect()))
+
+
+def test_every_query_gets_a_reply(spark, index):
+    source, out, state, replies = (new_table_path(spark, name) for name in ("in", "out", "state", "replies"))
+    far = spark.createDataFrame([(77, 0, bytearray([255] * index.tree.dim))], jobs.QUERY_SCHEMA)
+    queries(spark, {0, 1}).unionByName(far).coalesce(1).write.parquet(source)
+    stream = jobs.query_stream(spark, source)
+    jobs.stream_search(stream, index, out, state, vote_limit=0, replies_path=replies).awaitTermination()
+    got = {r.query_id: r.answer for r in spark.read.parquet(replies).collect()}
+    assert got.keys() == {0, 1, 77} and got[77] == ""
+
+
+def test_streams_keep_their_number_when_moved_and_lose_it_with_their_state(spark, tmp_path):
+    here, there = str(tmp_path / "here"), str(tmp_path / "there")
+    number = jobs.stream_number(spark, here, lambda n: False)
+    assert jobs.stream_number(spark, here + "/", lambda n: True) == number
+    assert jobs.stream_number(spark, f"file://{here}", lambda n: True) == number
+    (tmp_path / "here").rename(tmp_path / "there")
+    assert jobs.stream_number(spark, there, lambda n: True) == number
+    tried = []
+    fresh = jobs.stream_number(spark, here, lambda n: tried.append(n) or len(tried) < 3)
+    assert len(tried) == 3 and fresh == tried[-1] != number
+
+
+def test_a_lost_checkpoint_overwrites_nothing(spark, index):
+    points = index.postings().select("image_id", "desc_no", "v")
+    path, one, two = (new_table_path(spark, name) for name in ("index", "in", "in"))
+    grown = build_index(points.where("desc_no = 0"), index.tree, path)
+    for source, number in ((one, 1), (two, 2)):  # two states, each counting from 0
+        points.where(f"desc_no = {number}").coalesce(1).write.parquet(source)
+        state = new_table_path(spark, "state")
+        jobs.stream_ingest(jobs.point_stream(spark, source), grown, state).awaitTermination()
+    assert grown.postings().count() == points.where("desc_no < 3").count()
