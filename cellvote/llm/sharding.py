@@ -170,10 +170,18 @@ def assign(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files_per_shard: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the rows of docs below path in folders shard=N, each by several tasks; ids must be unique."""
-    places = assign(docs, shards, id_col, text_col).select("doc_id", "shard", "slot")
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files_per_shard: int = 8, text_col: str = "text") -> None:
+    """Writes every row of docs once below path in folders shard=N, each by several tasks.
+
+    Rows are told apart by a number stored with them, so ids may be null or repeated;
+    of equal texts the rows stand in the order of that number.  A column `shard` of
+    docs is written as `shard_in`.
+    """
     rows = docs.withColumnRenamed("shard", "shard_in") if "shard" in docs.columns else docs
-    joined = rows.join(places.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id")).drop("__id")
-    spread = F.pmod(F.col("slot"), F.lit(files_per_shard))
-    joined.repartition(shards * files_per_shard, "shard", spread).drop("slot").write.partitionBy("shard").parquet(path)
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    places = assign(rows, shards, "__row", text_col)
+    places = places.select(F.col("doc_id").alias("__row"), "shard", F.col("slot").alias("__slot"))
+    joined = rows.join(places, "__row").drop("__row")
+    spread = F.pmod(F.col("__slot"), F.lit(files_per_shard))
+    dealt = joined.repartition(shards * files_per_shard, "shard", spread).drop("__slot")
+    dealt.write.partitionBy("shard").parquet(path)
