@@ -1,7 +1,8 @@
 """Fixed-length binary descriptor files: 8 id bytes, then one byte per dimension.
 
-Both directions are one Spark data source, `descriptor_files`, that hands Arrow
-batches to Spark.
+Reading goes through Spark's own fixed-length record reader, so every path that
+Spark can open will do, and no row passes a Python worker.  Writing is the Spark
+data source `descriptor_files`, whose tasks get Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,42 +17,63 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    InputPartition,
-    WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from cellvote.operators.kernels import bytes_matrix, matrix_column
+from cellvote.functions.vectors import image_hex
+from cellvote.operators.kernels import bytes_matrix
 
 # Fixed values of the file format.
 ID_BYTES = 8
 DEFAULT_DIM = 128
 
 SPLIT_BYTES = 128 << 20  # of one input partition
-BATCH_RECORDS = 10_000
+ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this many row bits
 SCHEMA = "image_id STRING, desc_no BIGINT, v BINARY"
+MODES = ("error", "append", "overwrite")
 
 
 def scan_descriptors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """image_id, desc_no, v; desc_no is the record's position in its file.
 
-    Files in subfolders are read as well.  Large files are split at record boundaries.  A file that is not a whole
-    number of records is an error.
+    Files in subfolders are read as well; names that start with `_` or `.` are not.  Large files are split at record
+    boundaries.  A file that is not a whole number of records is an error.
     """
-    spark.dataSource.register(DescriptorFiles)
-    reader = spark.read.format("descriptor_files").option("dim", str(dim)).option("split_bytes", str(split_bytes))
-    return reader.load(qualified(path, default_store(spark)))
-
-
-def write_descriptors(points: DataFrame, path: str, dim: int = DEFAULT_DIM) -> None:
-    """Export points as descriptor files, one per partition."""
+    length = ID_BYTES + dim
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    broken = listed.where(F.col("length") % length != 0).head()
+    if broken is not None:
+        raise ValueError(f"{broken.path}: {broken.length} bytes is not a multiple of {length}")
+    hadoop = spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    hadoop.set("mapreduce.input.fileinputformat.input.dir.recursive", "true")
+    hadoop.set("mapreduce.input.fileinputformat.split.maxsize", str(split_bytes))
+    records = spark._jsc.sc().binaryRecords(path, length, hadoop)
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.BINARY()
+    rows = DataFrame(spark._jsparkSession.createDataset(records, encoder).toDF(), spark)
+    # A partition is one split of one file, which starts at a record.
+    before = F.call_function("div", F.input_file_block_start(), F.lit(length))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return rows.select(
+        image_hex(F.substring("value", 1, ID_BYTES)).alias("image_id"),
+        (before + within).alias("desc_no"),
+        F.substring("value", ID_BYTES + 1, dim).alias("v"),
+    )
+
+
+def write_descriptors(points: DataFrame, path: str, dim: int = DEFAULT_DIM, mode: str = "error") -> None:
+    """Export points as descriptor files, one per partition.
+
+    mode: "error" refuses a folder with files in it, "append" adds to them, "overwrite" takes them away once the new
+        ones are in place, so a failed export keeps the old records.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
     points.sparkSession.dataSource.register(DescriptorFiles)
     rows = points.select("image_id", F.lit(0).cast("bigint").alias("desc_no"), "v")
     target = qualified(path, default_store(points.sparkSession))
-    rows.write.format("descriptor_files").mode("append").option("dim", str(dim)).save(target)
+    if mode == "error" and record_files(target):
+        raise ValueError(f"{path} holds files; append to them or overwrite them")
+    save = "overwrite" if mode == "overwrite" else "append"
+    rows.write.format("descriptor_files").mode(save).option("dim", str(dim)).save(target)
 
 
 def qualified(path: str, default_fs: str | None) -> str:
@@ -81,6 +103,15 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def record_files(path: str) -> list[str]:
+    """The files that a scan of path reads."""
+    store, root = open_store(path)
+    found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    files = [file.path for file in found if file.type == fs.FileType.File]
+    below = len(root.rstrip("/"))
+    return [file for file in files if not any(part.startswith(("_", ".")) for part in file[below:].split("/"))]
+
+
 class DescriptorFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -89,56 +120,8 @@ class DescriptorFiles(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        split = int(self.options.get("split_bytes", SPLIT_BYTES))
-        return _DescriptorReader(self.options["path"], int(self.options["dim"]), split)
-
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _DescriptorWriter(self.options["path"], int(self.options["dim"]))
-
-
-@dataclass
-class _Split(InputPartition):
-    """Records first .. last-1 of one file."""
-
-    file: str
-    first: int
-    last: int
-
-
-class _DescriptorReader(DataSourceReader):
-    def __init__(self, path: str, dim: int, split_bytes: int):
-        self.path, self.dim = path, dim
-        self.length = ID_BYTES + dim
-        self.step = max(split_bytes // self.length, 1)
-
-    def partitions(self) -> list[InputPartition]:
-        store, root = open_store(self.path)
-        info = store.get_file_info(root)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        one = info.type == fs.FileType.File
-        files = [info] if one else store.get_file_info(fs.FileSelector(root, recursive=True))
-        splits: list[InputPartition] = []
-        for file in sorted((f for f in files if f.type == fs.FileType.File), key=lambda f: f.path):
-            below = file.base_name if one else file.path[len(root.rstrip("/")) :]
-            if any(part.startswith(("_", ".")) for part in below.split("/")):
-                continue
-            if file.size % self.length:
-                raise ValueError(f"{file.path}: {file.size} bytes is not a multiple of {self.length}")
-            records = file.size // self.length
-            splits += [_Split(file.path, at, min(at + self.step, records)) for at in range(0, records, self.step)]
-        return splits or [_Split("", 0, 0)]
-
-    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
-        if split.first == split.last:
-            return
-        store, _ = open_store(self.path)
-        with store.open_input_file(split.file) as source:
-            for first in range(split.first, split.last, BATCH_RECORDS):
-                count = min(BATCH_RECORDS, split.last - first)
-                data = source.read_at(count * self.length, first * self.length)
-                yield decode_records(data, first, self.dim)
+        return _DescriptorWriter(self.options["path"], int(self.options["dim"]), overwrite)
 
 
 @dataclass
@@ -152,8 +135,8 @@ class _DescriptorWriter(DataSourceArrowWriter):
     So a task that ran twice, or a lost one, leaves no records behind.
     """
 
-    def __init__(self, path: str, dim: int):
-        self.path, self.dim = path, dim
+    def __init__(self, path: str, dim: int, overwrite: bool = False):
+        self.path, self.dim, self.overwrite = path, dim, overwrite
         self.staging = posixpath.join(path, "_temporary", uuid.uuid4().hex)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
@@ -169,9 +152,12 @@ class _DescriptorWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[_Written | None]) -> None:
         store, folder = open_store(self.path)
+        earlier = record_files(self.path) if self.overwrite else []
         for message in messages:
             if message is not None and message.staged:
                 store.move(message.staged, posixpath.join(folder, posixpath.basename(message.staged)))
+        for file in earlier:
+            store.delete_file(file)
         self._drop_staging()
 
     def abort(self, messages: list[_Written | None]) -> None:
@@ -197,15 +183,3 @@ def encode_records(image_id: pa.Array, v: pa.Array, dim: int) -> bytes:
     records[:, :ID_BYTES] = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(-1, ID_BYTES)[:, ::-1]
     records[:, ID_BYTES:] = x
     return records.tobytes()
-
-
-def decode_records(data: bytes, first: int, dim: int) -> pa.RecordBatch:
-    """Fixed-length records -> image_id, desc_no, v."""
-    records = np.frombuffer(data, np.uint8).reshape(-1, ID_BYTES + dim)
-    count = len(records)
-    digits = np.ascontiguousarray(records[:, ID_BYTES - 1 :: -1]).tobytes().hex().encode()
-    ends = np.arange(count + 1, dtype=np.int32) * np.int32(2 * ID_BYTES)
-    image_id = pa.Array.from_buffers(pa.string(), count, [None, pa.py_buffer(ends), pa.py_buffer(digits)])
-    desc_no = pa.array(np.arange(first, first + count, dtype=np.int64))
-    v = matrix_column(records[:, ID_BYTES:])
-    return pa.RecordBatch.from_arrays([image_id, desc_no, v], names=["image_id", "desc_no", "v"])

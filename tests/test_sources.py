@@ -134,3 +134,41 @@ def test_paths_are_qualified():
     assert descriptors.qualified("s3a://bucket/a", "hdfs://name:8020") == "s3://bucket/a"
     with pytest.raises(ValueError, match="cannot open"):
         descriptors.qualified("dbfs:/a", None)
+
+
+def test_exports_refuse_append_or_overwrite(spark, make_points):
+    points = make_points(clustered(10, 2, seed=5))
+    path = new_table_path(spark, "bin")
+
+    def count():
+        return descriptors.scan_descriptors(spark, path, dim=2).count()
+
+    descriptors.write_descriptors(points, path, dim=2)
+    with pytest.raises(ValueError, match="holds files"):
+        descriptors.write_descriptors(points, path, dim=2)
+    assert count() == 10
+    descriptors.write_descriptors(points, path, dim=2, mode="append")
+    assert count() == 20
+    descriptors.write_descriptors(points.where("desc_no = 0"), path, dim=2, mode="overwrite")
+    assert count() == 2
+    with pytest.raises(Exception, match="exactly 3"):
+        descriptors.write_descriptors(points, path, dim=3, mode="overwrite")
+    assert count() == 2
+    with pytest.raises(ValueError, match="mode is one of"):
+        descriptors.write_descriptors(points, path, dim=2, mode="ignore")
+
+
+def test_scans_stay_in_the_jvm(spark, folder):
+    with open(f"{folder}/a.bin", "wb") as out:
+        out.write(bytes(8) + bytes([1, 2]))
+    text = descriptors.scan_descriptors(spark, folder, dim=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "MapInArrow" not in text
+
+
+def test_positions_count_within_each_file(spark, folder):
+    for name, rows in (("a", 7), ("b", 5), ("empty", 0)):
+        with open(f"{folder}/{name}.bin", "wb") as out:
+            out.write(b"".join(i.to_bytes(8, "little") + bytes([i, ord(name[0])]) for i in range(rows)))
+    rows = descriptors.scan_descriptors(spark, folder, dim=2, split_bytes=30)
+    got = sorted((chr(r.v[1]), r.desc_no, r.v[0]) for r in rows.repartition(3).collect())
+    assert got == [("a", i, i) for i in range(7)] + [("b", i, i) for i in range(5)]
