@@ -1,4 +1,4 @@
-"""Command line: python -m cellvote {fit,search,watch,words} ...  (or spark-submit this file)."""
+"""Command line: python -m cellvote {fit,search,watch,ingest,compact,images,words} ...  (or spark-submit this file)."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from cellvote import Index, build_index, fit_tree, search
+from cellvote.operators.ingest import split_names
 from cellvote.operators.votes import answers
 from cellvote.operators.words import word_count
 from cellvote.settings import new_table_path
 from cellvote.sources.descriptors import DEFAULT_DIM, scan_descriptors
+from cellvote.sources.images import list_images
 from cellvote.sources.text import read_centers, read_queries, write_counts
-from cellvote.streaming.jobs import stream_search, text_query_stream
+from cellvote.streaming.jobs import point_stream, stream_ingest, stream_search, text_query_stream
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,6 +47,21 @@ def parser() -> argparse.ArgumentParser:
     watch.add_argument("--replies", help="folder for one row per query, with an empty answer where nothing was found")
     watch.add_argument("--once", action="store_true", help="stop after the files that are there")
 
+    ingest_job = jobs.add_parser("ingest", help="file points as they arrive, until stopped")
+    ingest_job.add_argument("points", help="folder of Parquet points")
+    ingest_job.add_argument("index")
+    ingest_job.add_argument("checkpoint", help="folder that remembers which files were filed")
+    ingest_job.add_argument("--once", action="store_true", help="stop after the files that are there")
+
+    compact = jobs.add_parser("compact", help="merge the index's batches into one")
+    compact.add_argument("index")
+    compact.add_argument("--vacuum", action="store_true", help="delete replaced files; no older search may still run")
+
+    listing = jobs.add_parser("images", help="list the image files to load and those with names that are no ids")
+    listing.add_argument("images")
+    listing.add_argument("listed", help="Parquet folder for image_id and name of the valid files")
+    listing.add_argument("--marker", help="first file name to take, to resume a listing")
+
     words = jobs.add_parser("words", help="count words in text files")
     words.add_argument("lines")
     words.add_argument("counts")
@@ -60,6 +77,10 @@ def stored_points(spark: SparkSession, path: str, dim: int | None) -> DataFrame:
     return spark.read.parquet(copy)
 
 
+def trigger_of(args: argparse.Namespace) -> dict:
+    return {"availableNow": True} if args.once else {"processingTime": "1 second"}
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     if args.job == "fit":
@@ -75,6 +96,18 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         )
         build_index(points, tree, args.index)
         tree.stats(spark).orderBy("level").show()
+    elif args.job == "ingest":
+        arriving = point_stream(spark, args.points)
+        stream_ingest(arriving, Index.open(spark, args.index), args.checkpoint, trigger=trigger_of(args)).awaitTermination()
+    elif args.job == "compact":
+        index = Index.open(spark, args.index)
+        index.compact()
+        if args.vacuum:
+            index.vacuum()
+    elif args.job == "images":
+        valid, rejected = split_names(list_images(spark, args.images, marker=args.marker))
+        valid.write.mode("overwrite").parquet(args.listed)
+        print(f"{spark.read.parquet(args.listed).count()} listed, {rejected.count()} rejected")
     elif args.job == "words":
         counts = word_count(spark.read.text(args.lines), "value")
         write_counts(counts, args.counts)
@@ -86,10 +119,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             search(asked, index, **limits).write.mode("overwrite").parquet(args.answers)
             answers(spark.read.parquet(args.answers), asked).orderBy("query_id").show(20, truncate=False)
         else:
-            trigger = {"availableNow": True} if args.once else {"processingTime": "1 second"}
             stream = text_query_stream(spark, args.queries)
             started = stream_search(
-                stream, index, args.answers, args.checkpoint, trigger=trigger, replies_path=args.replies, **limits
+                stream, index, args.answers, args.checkpoint, trigger=trigger_of(args), replies_path=args.replies, **limits
             )
             started.awaitTermination()
 

@@ -24,6 +24,7 @@ POSTINGS_SCHEMA = (
 )
 RUNS_SCHEMA = "leaf INT, part BIGINT, first_row BIGINT, n BIGINT, batch BIGINT"
 RADII_SCHEMA = "level INT, cell INT, radius INT, batch BIGINT"
+MERGES_SCHEMA = "first BIGINT, last BIGINT, batch BIGINT"
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this many row bits
 RUN_BYTES = 128  # of one row of the runs table in a broadcast
 MAX_RANGES = 64  # leaf ranges pushed to the Parquet scan
@@ -38,7 +39,13 @@ class Index:
         few leaves skips directories by cell0 and row groups by leaf.
     runs/batch=B: one row per stretch of a leaf inside one file.
     radii/batch=B: for each cell the distance of its farthest posting.
+    merges/batch=B: one generation: the ranges of batches that the merged batch B, a
+        negative number, and those before it stand for.
     tree: the fitted centers.
+
+    A batch counts once its runs are there, a merged one once its generation is;
+    batches in a generation's ranges do not count any more.  So every listing
+    sees a posting once, whatever is being written meanwhile.
     """
 
     spark: SparkSession
@@ -65,14 +72,74 @@ class Index:
         return self._committed().where(F.col("cell0").isin(cells) & within_ranges(F.col("leaf"), ranges))
 
     def _committed(self) -> DataFrame:
-        # Listed anew each time, so that appended batches are seen; a batch counts once its runs are there.
+        # Listed anew each time, so that appended batches are seen.
         frame = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
-        batches = [row.batch for row in self.runs().select("batch").distinct().collect()]
-        return frame.where(F.col("batch").isin(batches))
+        return frame.where(within_exactly(F.col("batch"), stretches(self.batches())))
+
+    def _generations(self) -> list:
+        return read_merges(self.spark, self.path)
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that count now."""
+        merges = self._generations()  # before the runs: a merge that ends in between is not seen at all
+        written = [row.batch for row in self._all_runs().select("batch").distinct().collect()]
+        merged = {row.batch for row in merges}
+        gone = [(row.first, row.last) for row in merges]
+        return sorted(
+            n for n in written if (n >= 0 or n in merged) and not any(first <= n <= last for first, last in gone)
+        )
 
-    def runs(self) -> DataFrame:
+    def _all_runs(self) -> DataFrame:
         return self.spark.read.schema(RUNS_SCHEMA).parquet(f"{self.path}/runs")
 
+    def runs(self) -> DataFrame:
+        return self._all_runs().where(within_exactly(F.col("batch"), stretches(self.batches())))
+
+    def known(self, first: int, last: int) -> bool:
+        """Whether a batch with a number in first..last was ever written, replaced ones included."""
+        if any(row.first <= last and first <= row.last for row in self._generations()):
+            return True
+        return not self._all_runs().where(F.col("batch").between(first, last)).isEmpty()
+
+    def compact(self, *, limits: Limits = DEFAULT_LIMITS) -> int | None:
+        """Merges all batches that count now into one, while searches and ingest go on; its number.
+
+        Nothing is routed again.  The merged batch takes effect with its generation,
+        which is one small file; a compaction that dies before has no effect, and the
+        next one takes its place.  Batches that arrive meanwhile stay as they are, and
+        a replaced one that its stream writes again stays replaced.  Only one
+        compaction may run at a time.  The old files stay, for searches that read
+        them, until `vacuum`.
+        """
+        merges, old = self._generations(), self.batches()
+        if len(old) < 2:
+            return None
+        number = min([0, *(row.batch for row in merges)]) - 1
+        rows = self.spark.read.schema(POSTINGS_SCHEMA).parquet(f"{self.path}/postings")
+        rows = rows.where(within_exactly(F.col("batch"), stretches(old))).select("image_id", "desc_no", "v", "leaf")
+        write_postings(rows, self.tree, self.path, batch=number, limits=limits)
+        # Complete, so that earlier generations need not be kept.
+        replaced = joined([*stretches(old), *((row.first, row.last) for row in merges)])
+        generation = self.spark.createDataFrame(replaced, "first BIGINT, last BIGINT").coalesce(1)
+        generation.write.mode("overwrite").parquet(f"{self.path}/merges/batch={number}")
+        return number
+
+    def vacuum(self) -> list[int]:
+        """Deletes the files of replaced batches; their numbers.
+
+        To be called when no search that began before the last compaction still runs.
+        """
+        gone = [(row.first, row.last) for row in self._generations()]
+        written = [row.batch for row in self._all_runs().select("batch").distinct().collect()]
+        dropped = sorted(n for n in written if any(first <= n <= last for first, last in gone))
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for number in dropped:
+            # the runs first: without them a batch does not count
+            for part in ("runs", "radii", "postings"):
+                folder = hadoop.Path(f"{self.path}/{part}/batch={number}")
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return dropped
+
     def radii(self) -> DataFrame:
         """level, cell, radius: the largest distance of a posting to the center of each cell above it."""
         rows = self.spark.read.schema(RADII_SCHEMA).parquet(f"{self.path}/radii")
@@ -134,6 +201,42 @@ def within_ranges(leaf: Column, ranges: list[tuple[int, int]], most: int = MAX_R
     return condition
 
 
+def stretches(numbers: list[int]) -> list[tuple[int, int]]:
+    """Sorted numbers as ranges of consecutive ones; a stream's batches are one, however many."""
+    return joined([(n, n) for n in numbers])
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same numbers in as few ranges as there can be."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
+    return out
+
+
+def within_exactly(number: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Single numbers as one list and longer ranges as bounds."""
+    single = [first for first, last in ranges if first == last]
+    condition = number.isin(single) if single else F.lit(False)
+    for first, last in ranges:
+        if first < last:
+            condition = condition | number.between(first, last)
+    return condition
+
+
+def read_merges(spark: SparkSession, path: str) -> list:
+    """first, last, batch of all generations below path."""
+    try:
+        return spark.read.schema(MERGES_SCHEMA).parquet(f"{path}/merges").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def has_batches(spark: SparkSession, path: str) -> bool:
     """Whether a batch has been committed below path."""
     try:
@@ -150,8 +253,7 @@ def build_index(
     """File every point under its leaf and write the clustered index.
 
     The folder must not hold an index: its other batches were filed by another
-    tree, or are what is read here.  Small batches are merged by building into a
-    new folder, build_index(index.postings(), index.tree, new_path).
+    tree, or are what is read here.  Small batches are merged by `Index.compact`.
     """
     spark = points.sparkSession
     if has_batches(spark, path):

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellvote.operators.votes import answers
@@ -140,8 +139,7 @@ def stream_ingest(
     stream's (0 is the first build).
     """
     spark = points.sparkSession
-    written = F.shiftright(F.col("batch"), BATCH_BITS)
-    number = stream_number(spark, checkpoint, lambda n: not index.runs().where(written == n).isEmpty())
+    number = stream_number(spark, checkpoint, lambda n: index.known(n << BATCH_BITS, (n + 1) << BATCH_BITS))
     first = (number << BATCH_BITS) + 1
 
     def file(batch: DataFrame, batch_id: int) -> None:
