@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
@@ -90,7 +91,9 @@ def parse(page: str) -> Tree:
     """The tree of block elements and texts of a page."""
     tree = Tree()
     root = tree.add(-1, ["tag:root"], None, 0)
-    stack: list[tuple[str, int]] = [("", root)]  # open elements: tag and, for blocks, node
+    # open elements: tag, node of the nearest block and its tag
+    stack: list[tuple[str, int, str]] = [("", root, "")]
+    opened: dict[str, list[int]] = {}  # depths of the open elements of a tag, so that no walk up the stack is needed
     held: list[str] = []
     links = linked = 0
     at, n = 0, len(page)
@@ -103,27 +106,26 @@ def parse(page: str) -> Tree:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            above = node()
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
+            _, above, tag = stack[-1]
             tree.add(above, text_features(text, linked, tag), text, tree.label[above])
         linked = 0
 
     def pop_to(depth: int) -> None:
         nonlocal links
-        if any(tag in BLOCK for tag, _ in stack[depth:]):
+        ended = [tag for tag, _, _ in stack[depth:]]
+        if not BLOCK.isdisjoint(ended):
             flush()
-        links -= sum(tag == "a" for tag, _ in stack[depth:])
+        links -= ended.count("a")
+        for tag in ended:
+            opened[tag].pop()
         del stack[depth:]
 
     def close(kinds: set[str], scope: set[str]) -> None:
-        found = None
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in kinds:
-                found = depth
-            elif stack[depth][0] in scope:
-                break
-        if found is not None:
-            pop_to(found)
+        """Ends the outermost open element of these kinds inside the innermost open one of the scope."""
+        inside = max((opened[tag][-1] for tag in scope - kinds if opened.get(tag)), default=0)
+        found = [depths[bisect_right(depths, inside)] for tag in kinds if (depths := opened.get(tag)) and depths[-1] > inside]
+        if found:
+            pop_to(min(found))
 
     while at < n:
         mark = page.find("<", at)
@@ -147,14 +149,12 @@ def parse(page: str) -> Tree:
             continue
         tag = name.lower()
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
+            if opened.get(tag):
+                pop_to(opened[tag][-1])
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             if not rest.endswith("/") or tag != "svg":
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else n
             held.append(" ")
             continue
@@ -178,10 +178,12 @@ def parse(page: str) -> Tree:
                     label = int(value) if value in ("0", "1") else label
                 else:
                     features += [f"word:{w}" for w in WORD.findall(value.lower())]
-            stack.append((tag, tree.add(above, features, None, label)))
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, tree.add(above, features, None, label), tag))
         else:
             links += tag == "a"
-            stack.append((tag, node()))
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, *stack[-1][1:]))
     flush()
     return tree
 

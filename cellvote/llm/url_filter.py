@@ -17,46 +17,40 @@ an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellvote.llm.common import lower_ascii
 
-BUCKETS = 4096
+BUCKETS = 16_384
 SIZES = (3, 4, 5)
 
-# Labelled hosts and paths: 1 is blocked, 0 allowed.
-BLOCKED = """
-casino-win.example.com/en/1 casino-win.example.org/de/2 www.casino-win.example.com/fr/3.html m.casino-bonus.test/play
-online-casino.test/slots/7 best-casino.example/roulette royal-casino.test/en/ casino-slots.example.org/jackpot
-free-bets.example.com/en/5 free-bets.example.org/es/6 www.free-bets.example.net/de/ sport-bets.test/odds bets-online.test/live
-betting-tips.example/en/9 m.free-bets.example.com/fr/11 blog.free-bets.test/bonus poker-win.test/en/ poker-room.example/play
-cheap-pills.example.com/de/6 www.cheap-pills.example.org/en/4 m.cheap-pills.example.net/fr/2 buy-pills.test/order
-pills-online.example/en/ cheap-meds.test/shop diet-pills.example.org/de/ cheap-viagra.test/en/3
-ads-track.example.com/en/9 m.ads-track.example.org/es/8 www.ads-track.example.net/en/7.html track-ads.test/click
-ads-server.example/banner click-track.test/ads/5 pop-ads.example.org/x adserver.test/track
-spam-farm.example.com/en/2 www.spam-farm.example.org/fr/1 blog.spam-farm.example.net/de/4 link-farm.test/en/ seo-spam.example/links
-content-farm.test/en/4 spam-links.example.org/es/
-adult-x.example.com/en/3 m.adult-x.example.org/de/5 www.adult-x.example.net/es/6 adult-video.test/x xxx-adult.example/en/
-free-porn.test/video porn-x.example.org/en/ sex-cams.test/live hot-xxx.example/en/1
-fast-loans.test/apply payday-loans.example/en/ win-prize.test/claim free-money.example.org/en/
-"""
-ALLOWED = """
-tionsh.example.com/en/1 blog.tionsh.example.com/fr/2 m.thther.example.org/en/3 www.ththst.example.com/de/4
-ththan.example.com/es/5.html blog.ththre.example.org/en/ tionble.example.org/en/482/ therst.example.com/fr/4163
-m.ththha.example.org/en/6 www.thering.example.org/en/7/ blog.theror.example.com/de/8 therhe.example.org/en/9
-ththon.example.com/en/10 www.therth.example.org/es/11 m.tiontion.example.com/fr/12.html ththly.example.org/en/13
-en.wikipedia.test/wiki/Apache news.example.org/world/2020/ blog.example.com/2019/03/post docs.python.test/3/library
-www.university.example.org/research/papers library.example.com/catalog/12 weather.test/forecast/today
-shop.example.com/books/history museum.example.org/en/visit recipes.test/bread/sourdough garden.example.com/roses
-forum.example.org/thread/77 github.test/project/readme travel.example.com/guides/rome science.example.org/articles/3
-health.example.org/guides/sleep school.test/math/algebra music.example.com/albums/9 sports.example.org/results
-city.example.org/council/minutes law.test/cases/12 bank.example.com/branches film.example.org/reviews/8
-art.example.com/gallery radio.test/shows/5 maps.example.org/europe archive.example.org/details/old-books
-open-data.example.org/sets how-to.example.com/fix/door long-reads.test/essay/1 well-known.example.org/en/
-car-repair.example.com/en/ bird-watch.example.org/de/ self-help.test/en/2 day-trips.example.com/fr/
-"""
+# The labelled table is made by a rule from words.  Both labels get the same wrappers, partners, ends and paths, so
+# that only the words tell them apart.
+SPAM_WORDS = """
+casino slots poker roulette jackpot blackjack bingo lottery bet bets betting odds gamble gambling pills viagra cialis meds
+pharma pharmacy weightloss steroids porn porno xxx sex sexy adult nude cams escort hookup ads advert adserver adclick banner
+popup popunder clicks clicktrack tracker pixel spam spammy linkfarm backlinks payday loans quickcash lotto prize winner
+replica counterfeit crack keygen warez torrent malware phish verify-login free-gift
+""".split()
+PLAIN_WORDS = """
+news weather history science museum library garden kitchen recipes bread travel hotel maps city council school university
+research math physics music albums concert film cinema theatre sports football tennis chess cycling hiking mountain river
+forest birds animals dogs horses farm farmers field track tracks trail road train station harbour bank branch market shop
+store books reading poetry essay letters archive records photo gallery art design house home family children health doctor
+hospital sleep yoga law court justice tax office work jobs career code software python linux project docs manual guide help
+forum blog wiki data open energy solar water winter window free cheap flights tickets freedom address head heads roads badge
+bread-house open-data car-repair self-help long-reads day-trips how-to well-known sussex essex middlesex analysis pillar
+pillow beta better alphabet abbey camera campus crackers documents pixels spanish classic passage title shuttle
+""".split()
+PARTNERS = "best online top club zone live shop now room world hub star royal mega direct plus".split()
+ENDS = "com org net test info io example.com example.org example.net".split()
+WRAPS = ("", "www.", "m.", "blog.")
+PATHS = ("/", "/en/1", "/de/2", "/fr/3.html", "/es/4", "/index.html", "/page/5", "/a/b/6")
+SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ing ion ly ble".split()
+MADE_UP = 240  # allowed names without meaning
 
 
 @dataclass(frozen=True)
@@ -127,24 +121,60 @@ class Model:
         return total / F.sqrt(F.greatest(F.size(buckets), F.lit(1))) + F.lit(self.intercept)
 
 
+def _drawn(key: str, choices):
+    """One of the choices, the same for a key wherever it is asked."""
+    return choices[crc32(key.encode()) % len(choices)]
+
+
+def _hosts(word: str) -> list[str]:
+    """A word alone and with neutral partners, before and after, with and without a hyphen."""
+    names = [word]
+    for i, pattern in enumerate(("{w}-{p}", "{p}-{w}", "{w}{p}", "{p}{w}")):
+        names.append(pattern.format(w=word, p=_drawn(f"{word} {i}", PARTNERS)))
+    return names
+
+
+def _mixed(word: str) -> list[str]:
+    """A word to block beside plain ones: it decides for the whole name."""
+    drawn = [_drawn(f"{word} plain {i}", PLAIN_WORDS) for i in range(6)]
+    return [f"{word}-{plain}" if i % 2 else f"{plain}-{word}" for i, plain in enumerate(drawn)]
+
+
+def labelled_urls() -> list[tuple[str, float]]:
+    """url, label: 1 is to be blocked, 0 allowed."""
+    made_up = ["".join(_drawn(f"made up {i} {j}", SYLLABLES) for j in range(2 + i % 3)) for i in range(MADE_UP)]
+    names = [(name, 1.0) for word in SPAM_WORDS for name in _hosts(word) + _mixed(word)]
+    names += [(name, 0.0) for word in PLAIN_WORDS for name in _hosts(word)] + [(name, 0.0) for name in made_up]
+    urls = []
+    for name, label in names:
+        wrap, end, path = (_drawn(f"{kind} {name}", choices) for kind, choices in enumerate((WRAPS, ENDS, PATHS)))
+        urls.append((f"http://{wrap}{name}.{end}{path}", label))
+    # words of either kind as a directory, below a name without meaning
+    for i, (word, label) in enumerate([(w, 1.0) for w in SPAM_WORDS] + [(w, 0.0) for w in PLAIN_WORDS]):
+        urls.append((f"http://{made_up[i % MADE_UP]}.{ENDS[i % len(ENDS)]}/{word}/{i}", label))
+    return sorted(set(urls))
+
+
 def labelled(spark: SparkSession) -> DataFrame:
     """url, label of the small table above."""
-    rows = [("http://" + u, 1.0) for u in BLOCKED.split()] + [("http://" + u, 0.0) for u in ALLOWED.split()]
-    return spark.createDataFrame(rows, "url STRING, label DOUBLE")
+    return spark.createDataFrame(labelled_urls(), "url STRING, label DOUBLE")
 
 
-def train(table: DataFrame, penalty: float = 0.003) -> Model:
-    """Fits the weights on a small labelled table (url, label)."""
+def train(table: DataFrame, penalty: float = 0.00001) -> Model:
+    """Fits the weights on a small labelled table (url, label); both labels weigh the same as a whole."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
 
     rows = with_grams(table.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    scale = F.lit(1.0) / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
-    zeros = F.array_repeat(F.lit(0.0), BUCKETS)
-    dense = F.transform(zeros, lambda z, i: F.when(F.array_contains("grams", i.cast("int")), scale).otherwise(z))
-    fit = LogisticRegression(regParam=penalty, maxIter=60, standardization=False).fit(
-        rows.coalesce(1).select("label", array_to_vector(dense).alias("features"))
-    )
+    rows = rows.select("label", F.transform("grams", lambda b: b.cast("string")).alias("names")).coalesce(1)
+    counts = {row.label: row["count"] for row in rows.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, 0.5 / counts.get(1.0, 1)).otherwise(0.5 / counts.get(0.0, 1))
+    weighed = rows.withColumn("share", share * sum(counts.values()))
+    names = [str(b) for b in range(BUCKETS)]
+    ones = CountVectorizerModel.from_vocabulary(names, inputCol="names", outputCol="ones", minTF=1.0).setBinary(True)
+    unit = Normalizer(inputCol="ones", outputCol="features").transform(ones.transform(weighed))
+    regression = LogisticRegression(regParam=penalty, maxIter=100, standardization=False, weightCol="share")
+    fit = regression.fit(unit.select("label", "share", "features"))
     return Model([round(float(w), 6) for w in fit.coefficients.toArray()], round(float(fit.intercept), 6))
 
 
