@@ -80,7 +80,8 @@ def strong_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.
     sums = np.zeros(n, np.uint64)
     np.cumsum(_reduced((values.astype(np.uint64) + np.uint64(1)) * up[:-1]), out=sums[1:])
     own = (_reduced(sums[end] - sums[begin]) * down[begin]) % np.uint64(PRIME)
-    return mix(span_hashes(values, begin, end) ^ mix(own + np.uint64(1)))
+    # not a plain XOR of the two, which are alike for a single value
+    return mix(span_hashes(values, begin, end) * GRAM + mix(own + np.uint64(1)))
 
 
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,18 @@ def test_the_words_are_the_case_looked_for():
     assert len(set(words.strong_hashes(points, begin, end).tolist())) == 2
 
 
+def test_short_words_are_told_apart():
+    raw = [bytes([i]) for i in range(33, 256)] + [bytes([i, j]) for i in range(33, 256) for j in range(33, 256)]
+    assert len(np.unique(words.word_hashes(b" ".join(raw)))) == len(raw)
+
+
+def test_documents_of_one_letter_words(spark):
+    texts = ["a b c d e f g h i j", "k l m n o p q r s t", "a a a a a a a", "1 2 3", "4 5 6"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").coalesce(1)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame).collect())
+    assert found == [(0, 6, 0), (1, 6, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4)]
+
+
 def test_spans_are_told_apart_by_content():
     points = np.frombuffer((ONE + OTHER + ONE).encode("utf-32-le"), "<u4")
     begin = np.array([0, 1024, 2048])
