@@ -6,25 +6,29 @@ k + w - 1 = 50 every run of 50 words holds a minimiser, and two equal runs hold
 the same one at the same place; so every repeated passage of 50 words or more
 shows up as two kept suffixes that begin alike.
 
-1. The kept suffixes (about one word in twenty) are sorted by their first k
-   words, as a hash, and compared to their neighbours.  One whose neighbours both
-   begin otherwise is in no repeated passage.
-2. Around the others the match is extended to the left and to the right: of the
-   (up to w) windows of 50 words that have this minimiser, each is hashed, the
-   windows are sorted, and each is compared to its neighbours.  Equal neighbours
-   are repeats; the first of a run of equals, by (doc_id, text, position), is the
-   occurrence to keep.
+1. The kept suffixes (about one word in twenty) are put in order of their first k
+   words, by a hash of these, and compared to their neighbours.  One whose
+   neighbours both begin otherwise is in no repeated passage.
+2. The others are brought together by that beginning, each with as many words to the
+   left and right as a passage around its minimiser can have, and sorted word by
+   word.  Comparing each to its neighbour gives the number of words they share (the
+   LCP array); so all suffixes that share their first r words stand in one run of
+   it.  The words before them, read leftwards, are sorted and compared the same way.
+   A match is extended by l words to the left and r to the right, l + r = 50,
+   where two suffixes are in one run of both arrays: that window is a repeat, and
+   the first of those with it, by (doc_id, text, position), is the one to keep.
 3. Windows are merged into spans of words per document.
 
 Copies of a whole text are put together before step 2 and get their spans at the
-end, so they do not take part in it.  In both sorts a key that very many rows share
-is found on a sample; such rows are repeats by that alone, stay where they are, and
-only their minimum is looked for, by partial aggregation.  All other keys are dealt
-out by hash and sorted in their task.  Every row takes part.
+end, so they do not take part in it.  A beginning that very many suffixes share
+(`GROUP_ROWS`, counted) is no group for one task: its windows of 50 words are dealt
+out one by one, by their hash.  A key that very many rows share even so is found
+on a sample; such rows are repeats by that alone, stay where they are, and only
+their minimum is looked for, by partial aggregation.  Every row takes part.
 
-Words are runs of characters other than ASCII white space.  Hashes have 64 bits;
-a window is a false repeat only if a suffix has the same hash as well as the
-window, which 10^12 windows meet about once in a million times.
+Words are runs of characters other than ASCII white space, compared by 64-bit
+hashes of each; a window is a false repeat only if unlike words at every unlike place
+have equal hashes.  Windows dealt out by their hash are told apart by 64 bits.
 
 Defined results: null texts and texts under 50 words have no passages; of the
 copies of a text the one with the least doc_id comes first (null last), and rows
@@ -48,7 +52,14 @@ LENGTH = 50  # words of a passage
 GRAM = 12  # words that kept suffixes are sorted by
 # A key with more than this share of the rows is hot; there are at most 1 / share of them.
 HOT_SHARE = 1 / 500
+# Nor may a task be dealt many more rows of one key than this, however small their share.
+KEY_ROWS = 2_000_000
 SAMPLE_ROWS = 200_000
+# Suffixes with one beginning that are sorted in one task, at most; each has up to 700 bytes of words.
+GROUP_ROWS = 50_000
+# Suffixes that are sorted at a time, or one group.
+BLOCK_ROWS = 20_000
+LEFT = LENGTH - GRAM  # words before a minimiser that a passage can have
 
 
 def all_minimisers(grams: np.ndarray, w: int) -> np.ndarray:
@@ -88,47 +99,162 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gram BIGINT, text_key BINARY, at INT")
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """The windows of LENGTH words that have one of the minimisers `kept`: hash, doc_id, text_key, at.
+CONTEXT = "key BIGINT, doc_id BIGINT, text_key BINARY, at INT, low INT, high INT, words BINARY, copies BIGINT, n_words INT"
 
-    A row with at = -1 stands for each text and has its copies and its number of words.
+
+def contexts(texts: DataFrame) -> DataFrame:
+    """The kept suffixes of each text with the words around them; CONTEXT.
+
+    key: the hash of the beginning; at: its word; low, high: how many words a passage
+        with this minimiser can have before it; words: the hashes of those from
+        at - high up to at - low + LENGTH.
+    For a suffix in `many` there is a row per window instead: key is the hash of the
+    window, at its first word, words null.  A row with at = -1 stands for each text
+    and has its copies and its number of words.
     """
     w = LENGTH - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
-                found, places, rows, sizes = [], [], [], []
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                for i, (text, kept) in enumerate(zip(texts, part.column("kept"))):
-                    words = word_hashes(text)
-                    hashes = gram_hashes(words, GRAM)
-                    sizes.append(len(words))
-                    if len(hashes) < w:
-                        continue
-                    live = np.zeros(len(hashes), bool)
-                    at = np.asarray(kept.values)
-                    live[at[at < len(hashes)]] = True
-                    at = np.flatnonzero(live[all_minimisers(hashes, w)])
-                    found.append(gram_hashes(words, LENGTH)[at])
-                    places.append(at)
-                    rows.append(np.full(len(at), i))
-                n = part.num_rows
-                whole = [np.zeros(n, np.uint64), np.full(n, -1), np.arange(n)]
-                hashes, at, rows = (np.concatenate([*x, y]) for x, y in zip((found, places, rows), whole))
-                blank = len(at) - n
-                rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(hashes), part.column("doc_id").take(rows), part.column("text_key").take(rows),
-                        pa.array(at, pa.int32()),
-                        pa.concat_arrays([pa.nulls(blank, pa.int64()), part.column("copies")]),
-                        pa.concat_arrays([pa.nulls(blank, pa.int32()), pa.array(sizes, pa.int32())]),
-                    ],
-                    ["hash", "doc_id", "text_key", "at", "copies", "n_words"],
-                )
-
-    return texts.mapInArrow(run, "hash BIGINT, doc_id BIGINT, text_key BINARY, at INT, copies BIGINT, n_words INT")
+                yield of_part(part)
+
+    def of_part(part: pa.RecordBatch) -> pa.RecordBatch:
+        keys, rows, places, low, high, around, many_keys, many_rows, many_places, sizes = ([] for _ in range(10))
+        texts = part.column("text").cast(pa.binary()).to_pylist()
+        for i, (text, kept, many) in enumerate(zip(texts, part.column("kept"), part.column("many"))):
+            words = word_hashes(text)
+            sizes.append(len(words))
+            hashes = gram_hashes(words, GRAM)
+            least = all_minimisers(hashes, w)  # never falls from one window to the next
+            at = np.sort(np.asarray(kept.values, np.int64))
+            first = np.searchsorted(least, at, "left")
+            last = np.searchsorted(least, at, "right") - 1
+            keys.append(hashes[at])
+            rows.append(np.full(len(at), i))
+            places.append(at)
+            low.append(at - last)
+            high.append(at - first)
+            around += [words[a : b + LENGTH] for a, b in zip(first, last)]
+            if len(many.values):
+                at = np.flatnonzero(np.isin(least, np.asarray(many.values, np.int64)))
+                many_keys.append(gram_hashes(words, LENGTH)[at])
+                many_rows.append(np.full(len(at), i))
+                many_places.append(at)
+        n, suffixes_, windows_ = part.num_rows, sum(map(len, keys)), sum(map(len, many_keys))
+        row = pa.array(np.concatenate([*rows, *many_rows, np.arange(n)]).astype(np.int64))
+        ends = np.cumsum([0, *(8 * len(x) for x in around)]).astype(np.int32)
+        held = np.concatenate([*around, np.empty(0, np.uint64)])
+        data = [None, pa.py_buffer(ends), pa.py_buffer(held)]
+        numbers = [pa.array(np.concatenate([*x, np.empty(0)]).astype(np.int32)) for x in (low, high)]
+        none, alone = windows_ + n, suffixes_ + windows_
+        return pa.RecordBatch.from_arrays(
+            [
+                _signed(np.concatenate([*keys, *many_keys, np.zeros(n, np.uint64)])),
+                part.column("doc_id").take(row),
+                part.column("text_key").take(row),
+                pa.array(np.concatenate([*places, *many_places, np.full(n, -1)]).astype(np.int32)),
+                *(pa.concat_arrays([x, pa.nulls(none, pa.int32())]) for x in numbers),
+                pa.concat_arrays([pa.Array.from_buffers(pa.binary(), suffixes_, data), pa.nulls(none, pa.binary())]),
+                pa.concat_arrays([pa.nulls(alone, pa.int64()), part.column("copies")]),
+                pa.concat_arrays([pa.nulls(alone, pa.int32()), pa.array(sizes, pa.int32())]),
+            ],
+            ["key", "doc_id", "text_key", "at", "low", "high", "words", "copies", "n_words"],
+        )
+
+    return texts.mapInArrow(run, CONTEXT)
+
+
+def in_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by the columns, and how many columns each shares with the one before it in that order."""
+    order = np.lexsort(columns[::-1])
+    shared = np.zeros(len(order), np.int64)
+    alike = np.ones(max(0, len(order) - 1), bool)
+    for column in columns:
+        placed = column[order]
+        alike &= placed[1:] == placed[:-1]
+        if not alike.any():
+            break
+        shared[1:] += alike
+    return order, shared
+
+
+def runs_sharing(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each row the number of its run of rows that share `least` columns or more."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < least)
+    return out
+
+
+def repeated_around(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """text_key, at, first: the windows of suffixes that another suffix of the batch has too.
+
+    batch: rows of `contexts` that name a suffix; those with one key are all in it.
+    """
+    key = batch.column("key").to_numpy()
+    at, low, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("at", "low", "high"))
+    held = batch.column("words")
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1] // 8
+    words = np.frombuffer(held.buffers()[2], np.uint64, ends[-1])
+    middle = ends[:-1] + high  # of the minimiser's own word
+
+    def beside(step: int, there: np.ndarray) -> np.ndarray:
+        return np.where(there, words[np.where(there, middle + step, 0)], 0)
+
+    # a row that has no word at a place has 0 there; it is not asked about runs that long
+    right = in_runs([key, *(beside(j, j < LENGTH - low) for j in range(LENGTH))])
+    left = in_runs([key, *(beside(-j, j <= high) for j in range(1, LEFT + 1))])
+    names = np.array(batch.column("text_key").to_pylist(), "S16")
+    by_rank = np.lexsort((at, names, batch.column("doc_id").to_numpy()))
+    rows, places, firsts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    for before in range(LEFT + 1):
+        asked = by_rank[((low <= before) & (before <= high))[by_rank]]
+        if len(asked) < 2:
+            continue
+        run = runs_sharing(*left, 1 + before) * (len(key) + 1) + runs_sharing(*right, 1 + LENGTH - before)
+        asked = asked[np.argsort(run[asked], kind="stable")]
+        like_before = np.append(False, run[asked][1:] == run[asked][:-1])
+        found = like_before | np.append(like_before[1:], False)
+        rows.append(asked[found])
+        places.append(at[asked[found]] - before)
+        firsts.append(~like_before[found])
+    taken = pa.array(np.concatenate(rows))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("text_key").take(taken),
+            pa.array(np.concatenate(places), pa.int32()),
+            pa.array(np.concatenate(firsts)),
+        ],
+        ["text_key", "at", "first"],
+    )
+
+
+def suffix_array(rows: DataFrame) -> DataFrame:
+    """text_key, at, first: the repeated windows around the suffixes of `contexts`, which share keys in groups of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < BLOCK_ROWS:
+                continue
+            block = whole(waiting)
+            key = block.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))  # the last group may go on
+            if cut:
+                yield repeated_around(block.slice(0, cut))
+            waiting, n = [block.slice(cut)], len(key) - cut
+        if n:
+            yield repeated_around(whole(waiting))
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    dealt = rows.select("key", "doc_id", "text_key", "at", "low", "high", "words").repartition("key")
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "text_key BINARY, at INT, first BOOLEAN")
 
 
 def repeated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -138,10 +264,10 @@ def repeated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     Sorts by key and compares neighbours.  rows must be a stored table.
     """
     total = rows.count()
-    sample = rows.select(key).sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=11)
-    counted = sample.groupBy(key).count()
-    # a sampled share of twice the bound and four sampled rows: surely more than one row
-    bound = max(4, 2 * HOT_SHARE * min(total, SAMPLE_ROWS))
+    rate = min(1.0, max(SAMPLE_ROWS / max(1, total), 40 / KEY_ROWS))
+    counted = rows.select(key).sample(rate, seed=11).groupBy(key).count()
+    # twice the bound, and four sampled rows: surely more than one row
+    bound = max(4, rate * min(2 * HOT_SHARE * total, KEY_ROWS))
     hot = [r[key] for r in counted.where(F.col("count") > bound).collect()]
     names = rows.columns
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", first BOOLEAN"
@@ -215,7 +341,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _key(text_col).alias("text_key"), text)
 
 
-def text_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """One row per distinct text that repeats something, or has copies: a stored table.
 
     text_key; first_id: the least doc_id that has the text; copies; n_words;
@@ -224,18 +352,28 @@ def text_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = _keyed(docs, id_col, text_col)
     kept = stored(suffixes(rows.select("text_key", "text")), "suffixes")
-    alike = repeated(kept, "gram", [])
-    by_text = alike.groupBy("text_key").agg(F.collect_set("at").alias("kept"))
+    # copies of a text share their places, which are named once
+    alike = stored(repeated(kept, "gram", []).select("gram", "text_key", "at").distinct(), "alike-suffixes")
+    large = alike.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
+    large = stored(large, "large-groups")
+    alike = alike.join(small(large, 16), "gram", "left")
+    by_text = alike.groupBy("text_key").agg(
+        F.collect_set(F.when(F.col("n").isNull(), F.col("at"))).alias("kept"),
+        F.collect_set(F.when(F.col("n").isNotNull(), F.col("at"))).alias("many"),
+    )
     texts = rows.groupBy("text_key").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("text").alias("text")
     )
     near = texts.join(by_text, "text_key")
-    found = stored(windows(near.select("doc_id", "text_key", "text", "copies", "kept")), "windows")
+    found = stored(contexts(near.select("doc_id", "text_key", "text", "copies", "kept", "many")), "contexts")
     info = found.where(F.col("at") < 0).select("text_key", F.col("doc_id").alias("first_id"), "copies", "n_words")
     # a null doc_id sorts after the others
-    last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("doc_id")
-    places = found.where(F.col("at") >= 0).select("hash", last, "text_key", "at")
-    places = repeated(places, "hash", ["doc_id", "text_key", "at"])
+    ranked = found.where(F.col("at") >= 0).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    places = suffix_array(ranked.where(F.col("words").isNotNull()))
+    if not large.isEmpty():
+        dealt = ranked.where(F.col("words").isNull()).select("key", "doc_id", "text_key", "at")
+        dealt = repeated(dealt, "key", ["doc_id", "text_key", "at"])
+        places = places.unionByName(dealt.select("text_key", "at", "first"))
     places = places.groupBy("text_key").agg(
         F.collect_list("at").alias("places"), F.collect_list(F.when(~F.col("first"), F.col("at"))).alias("later_places")
     )
@@ -243,7 +381,9 @@ def text_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(joined.where(F.col("spans").isNotNull() | (F.col("copies") > 1)), "text-spans")
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """One row per document with repeated passages: doc_id, text_key, n_words, spans, later.
 
     spans are all its passages of LENGTH words or more that stand elsewhere as
@@ -251,7 +391,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     deduplication takes out.  A text with copies is one passage from end to end,
     later in every document but the first.
     """
-    found = text_spans(docs, id_col, text_col)
+    found = text_spans(docs, id_col, text_col, group_rows)
     keys = _keyed(docs, id_col, text_col).select("doc_id", "text_key")
     joined = keys.join(small(found, 400), "text_key")
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end")))
