@@ -27,6 +27,38 @@ from cellvote.llm.common import BROADCAST_BYTES, lower_ascii, stored
 WINDOW = 10
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
+# The rows of `contamination` as DuckDB has them.
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+starts AS (
+  SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS words FROM starts),
+places AS (
+  SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n),
+hits AS (
+  SELECT k, i, n, item
+  FROM (SELECT k, i, n, array_to_string(w[i : i + n - 1], ' ') AS words FROM places) JOIN wanted USING (n, words)),
+marked AS (
+  SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT k, i, n FROM hits))
+  GROUP BY k),
+listed AS (
+  SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT k, item FROM hits WHERE item IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN marked USING (k) LEFT JOIN listed USING (k)
+"""
+
 
 def words_of(text: Column) -> Column:
     """ARRAY<STRING> of the lower-cased words."""

@@ -112,6 +112,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": decontamination.ORACLE_SQL,
+        "op6_sharding": sharding.ORACLE_SQL,
         "op12_conversation_repair": conversations.ORACLE_SQL,
         "op13_merkle_manifest": merkle.ORACLE_SQL,
     }

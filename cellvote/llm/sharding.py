@@ -33,6 +33,31 @@ LEAST_RANGES = 64
 OVERSAMPLING = 32
 KEY = ["digest", "doc_id", "salt"]
 
+# The rows of `assign` as DuckDB has them; it has no crc32, which is taken byte by byte with the usual table.
+ORACLE_SQL = """
+WITH RECURSIVE bits(n, v, round) AS (
+  SELECT n, n, 0 FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, round + 1 FROM bits WHERE round < 8),
+coding AS (SELECT list(v ORDER BY n) AS codes FROM bits WHERE round = 8),
+texts AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+         hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+summed AS (
+  SELECT doc_id, digest, size, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, codes[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM texts, coding),
+placed AS (
+  SELECT *, row_number() OVER o AS place, sum(size) OVER o - size AS before, sum(size) OVER () AS total
+  FROM summed WINDOW o AS (ORDER BY digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+dealt AS (SELECT *, (2 * before + size) * 16 // (2 * total) AS shard FROM placed)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, size, text_crc32 and the key of every row, without the text."""
