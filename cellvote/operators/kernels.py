@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1024  # rows per step, so that the working set stays in cache
+BLOCK = 2048  # the same for a step that holds a value per dimension and row
+DIRECTIONS = 5  # numbers that stand for a byte in a lower bound
 
 
 def bytes_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -41,18 +43,77 @@ def _l1(x: np.ndarray, ref: np.ndarray, work: np.ndarray) -> np.ndarray:
 
 
 def l1_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """int32 distances (len(a), len(b)) of two uint8 matrices."""
+    """int32 distances (len(a), len(b)) of two uint8 matrices.
+
+    |x - y| is 2 max(x, y) - x - y, so only the larger values are summed, for many rows of b at once.
+    """
     if len(b) < len(a):
         return l1_matrix(b, a).T
-    out = np.empty((len(a), len(b)), np.int32)
-    for start in range(0, len(b), CHUNK):
-        x = b[start : start + CHUNK].astype(np.int16)
+    kind = np.uint16 if a.shape[1] <= 257 else np.uint32  # holds 255 per dimension
+    query = a.astype(kind)[:, :, None]
+    larger = np.empty((len(a), len(b)), kind)
+    for start in range(0, len(b), BLOCK):
+        x = np.ascontiguousarray(b[start : start + BLOCK].T).astype(kind)
         work = np.empty_like(x)
         for i in range(len(a)):
-            out[i, start : start + CHUNK] = _l1(x, a[i], work)
+            np.maximum(x, query[i], out=work)
+            np.add.reduce(work, axis=0, out=larger[i, start : start + BLOCK])
+    out = larger.astype(np.int32)
+    out *= 2
+    out -= a.sum(axis=1, dtype=np.int32)[:, None]
+    out -= b.sum(axis=1, dtype=np.int32)
+    return out
+
+
+def l1_pairs(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """int32 distances of the rows i of a to the rows j of b, two uint8 matrices."""
+    # whole numbers below 2**24 add up exactly in float32
+    ones = np.ones(a.shape[1], np.float32 if a.shape[1] <= 1 << 16 else np.float64)
+    out = np.empty(len(i), np.int32)
+    for start in range(0, len(i), CHUNK):
+        part = slice(start, start + CHUNK)
+        x, y = np.take(a, i[part], axis=0), np.take(b, j[part], axis=0)
+        gap = np.maximum(x, y)
+        np.subtract(gap, np.minimum(x, y, out=x), out=gap)
+        out[part] = gap.astype(ones.dtype) @ ones
     return out
 
 
+class LowerBound:
+    """Lower bounds of L1 distances that are one matrix product.
+
+    A byte x is the vector of the 255 answers to x > t.  Of two bytes these vectors
+    are |x - y| apart when squared, and any orthogonal projection brings them nearer.
+    Kept are the few directions in which the bytes of `sample` vary most, for
+    every dimension, so the squared distance of what is left never exceeds the L1 distance.
+    """
+
+    def __init__(self, sample: np.ndarray):
+        share = np.bincount(sample.ravel(), minlength=256) / max(sample.size, 1)
+        steps = (np.arange(256)[:, None] > np.arange(255)).astype(np.float64)
+        steps -= share @ steps
+        _, axes = np.linalg.eigh((steps * share[:, None]).T @ steps)
+        self.table = (steps @ axes[:, ::-1][:, :DIRECTIONS]).astype(np.float32)
+
+    def left(self, x: np.ndarray) -> np.ndarray:
+        """x for the left side of the product, with its squared length and a one."""
+        y, square = self._mapped(x)
+        return np.column_stack([y, square, np.ones_like(square)])
+
+    def right(self, x: np.ndarray) -> np.ndarray:
+        y, square = self._mapped(x)
+        return np.column_stack([-2 * y, np.ones_like(square), square])
+
+    def _mapped(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = self.table[x].reshape(len(x), -1)
+        return y, np.einsum("ij,ij->i", y, y)
+
+    def slack(self, dim: int) -> float:
+        """More than rounding can add to a bound."""
+        terms = dim * DIRECTIONS + 8
+        return terms * float(np.finfo(np.float32).eps) * 4 * dim * float((self.table.astype(np.float64) ** 2).sum(1).max())
+
+
 def l1_rows(x: np.ndarray, centers: np.ndarray, number: np.ndarray) -> np.ndarray:
     """int32 distance of each row to the center with its number."""
     out = np.empty(len(x), np.int32)

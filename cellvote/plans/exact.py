@@ -23,7 +23,7 @@ from cellvote.operators.candidates import CUT, join_broadcast, shipment
 from cellvote.operators.kernels import bytes_matrix, l1_rows
 from cellvote.operators.votes import cut_candidates
 from cellvote.plans.index import Index
-from cellvote.plans.search import QUERY_KEYS, ROW_OVERHEAD, candidates_of, nearest_candidates
+from cellvote.plans.search import ROW_OVERHEAD, bounded, candidates_of, dealt_postings
 from cellvote.settings import DEFAULT_LIMITS, Limits, new_table_path
 
 NO_POSTING = -(1 << 30)  # radius of a cell without postings: nothing is near it
@@ -41,13 +41,7 @@ def visits(queries: DataFrame, index: Index, *, vote_limit: int = 10, limits: Li
     left on the last resident level are searched.
     """
     spark, tree = index.spark, index.tree
-    rows = queries.select("query_id", F.col("desc_no").cast("bigint").alias("desc_no"), "v")
-    found = nearest_candidates(rows, index, vote_limit=vote_limit, limits=limits)
-    enough = F.when(F.sum("n") > max(vote_limit, 0), F.max("dist"))
-    bounds = found.groupBy(*QUERY_KEYS).agg(enough.alias("bound"))
-    bounded = rows.join(bounds, list(QUERY_KEYS), "left").select(
-        *QUERY_KEYS, "v", "bound", F.monotonically_increasing_id().alias("row")
-    )
+    bounded_rows = bounded(queries, index, vote_limit, limits)
 
     levels = resident_levels(tree.levels, limits)
     k, dim = tree.k, tree.dim
@@ -61,7 +55,7 @@ def visits(queries: DataFrame, index: Index, *, vote_limit: int = 10, limits: Li
         radii.append(radius)
     centers = ship(levels, spark)
     radius = spark.sparkContext.broadcast(radii)
-    schema = T.StructType([*bounded.schema.fields, T.StructField("leaf", T.IntegerType(), False)])
+    schema = T.StructType([*bounded_rows.schema.fields, T.StructField("leaf", T.IntegerType(), False)])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +72,7 @@ def visits(queries: DataFrame, index: Index, *, vote_limit: int = 10, limits: Li
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaf)], names=[*part.schema.names, "leaf"])
 
     path = new_table_path(spark, "visits")
-    bounded.mapInArrow(walk, schema).write.parquet(path)
+    bounded_rows.mapInArrow(walk, schema).write.parquet(path)
     radius.destroy()
     return spark.read.schema(schema).parquet(path)
 
@@ -118,7 +112,7 @@ def exact_candidates(
     asked = queries.count()
     size = asked * (tree.dim + ROW_OVERHEAD) + found.count() * VISIT_BYTES
     if size > limits.broadcast_bytes:
-        return candidates_of(found.drop("bound", "row"), index, False, vote_limit, limits)
+        return candidates_of(found, index, False, vote_limit, limits)
     unique = found.drop("leaf").dropDuplicates(["row"]).toArrow().sort_by("row").combine_chunks()
     pairs = found.select("row", "leaf").toArrow()
     rows = np.searchsorted(unique["row"].to_numpy(), pairs["row"].to_numpy())
@@ -130,7 +124,7 @@ def exact_candidates(
     leaves = np.unique(pairs["leaf"].to_numpy()).tolist()
     candidates = join_broadcast(
         shipped,
-        index.postings(leaves),
+        dealt_postings(index.postings(leaves), index, pairs["leaf"].to_numpy(), True),
         vote_limit=vote_limit,
         dim=tree.dim,
         query_type=queries.schema["query_id"].dataType,

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellvote.functions.vectors import ancestor
 from cellvote.operators.assign import assign_cells
-from cellvote.operators.candidates import join_blocks, join_broadcast, shipment
+from cellvote.operators.candidates import (
+    BOUNDED_PAIRS,
+    CUT,
+    LEAST_PAIRS,
+    TASK_PAIRS,
+    join_blocks,
+    join_broadcast,
+    shipment,
+)
 from cellvote.operators.votes import count_votes, cut_candidates, top_images, votes_of
 from cellvote.plans.index import Index
 from cellvote.settings import DEFAULT_LIMITS, Limits, new_table_path
@@ -17,6 +28,7 @@ from cellvote.settings import DEFAULT_LIMITS, Limits, new_table_path
 QUERY_KEYS = ("query_id", "desc_no")
 ROW_OVERHEAD = 96  # bytes per query descriptor next to its vector
 LEAF_BYTES = 64  # of one leaf in a list on the driver
+DEALT_VISITS = 2000  # query descriptors per posting that are worth moving it for
 
 
 def route(queries: DataFrame, index: Index, *, n_probe: int = 1, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -67,10 +79,30 @@ def _nearest(
     limits: Limits = DEFAULT_LIMITS,
     broadcasts: list[Broadcast] | None = None,
 ) -> DataFrame:
-    routed = route(queries, index, n_probe=n_probe, limits=limits)
+    if n_probe >= index.tree.n_leaves > 1:
+        # every leaf is searched, so the greedy one's cut is an upper bound
+        rows = bounded(queries, index, vote_limit, limits)
+        routed = assign_cells(rows, index.tree.levels, n_probe=n_probe, keys=QUERY_KEYS, column="leaf", limits=limits)
+    else:
+        routed = route(queries, index, n_probe=n_probe, limits=limits)
     return candidates_of(routed, index, small, vote_limit, limits, broadcasts)
 
 
+def bounded(queries: DataFrame, index: Index, vote_limit: int, limits: Limits) -> DataFrame:
+    """query_id, desc_no, v, bound, row: with the distance that a greedy search shows the cut of all leaves not to exceed.
+
+    bound: null if there are too few candidates to know one.
+    row: a number of the query row, as rows may be equal.
+    """
+    rows = queries.select("query_id", F.col("desc_no").cast("bigint").alias("desc_no"), "v")
+    found = nearest_candidates(rows, index, vote_limit=vote_limit, limits=limits)
+    enough = F.when(F.sum("n") > max(vote_limit, 0), F.max("dist"))
+    bounds = found.groupBy(*QUERY_KEYS).agg(enough.alias("bound"))
+    return rows.join(bounds, list(QUERY_KEYS), "left").select(
+        *QUERY_KEYS, "v", "bound", F.monotonically_increasing_id().alias("row")
+    )
+
+
 def candidates_of(
     routed: DataFrame,
     index: Index,
@@ -79,18 +111,25 @@ def candidates_of(
     limits: Limits = DEFAULT_LIMITS,
     broadcasts: list[Broadcast] | None = None,
 ) -> DataFrame:
-    """nearest_candidates of routed descriptors (query_id, desc_no, v, leaf), each of which may have several leaves."""
+    """nearest_candidates of routed descriptors (query_id, desc_no, v, leaf), each of which may have several leaves.
+
+    routed: may have the columns bound and row of `bounded` as well.
+    """
     spark, tree = index.spark, index.tree
     if small:
         local = routed.toArrow()
         leaves = local["leaf"].unique().to_pylist()
-        rows = np.arange(local.num_rows)
-        shipped = spark.sparkContext.broadcast(shipment(local.drop(["leaf"]), rows, local["leaf"].to_numpy()))
+        asking, rows, bounds = local.select([*QUERY_KEYS, "v"]), np.arange(local.num_rows), None
+        if "row" in local.column_names:
+            _, first, rows = np.unique(local["row"].to_numpy(), return_index=True, return_inverse=True)
+            asking = asking.take(pa.array(first))
+            bounds = local["bound"].take(pa.array(first)).fill_null(int(CUT)).to_numpy().astype(np.int32)
+        shipped = spark.sparkContext.broadcast(shipment(asking, rows, local["leaf"].to_numpy(), bounds))
         if broadcasts is not None:
             broadcasts.append(shipped)
         candidates = join_broadcast(
             shipped,
-            index.postings(leaves),
+            dealt_postings(index.postings(leaves), index, local["leaf"].to_numpy(), bounds is not None),
             vote_limit=vote_limit,
             dim=tree.dim,
             query_type=routed.schema["query_id"].dataType,
@@ -111,6 +150,39 @@ def candidates_of(
     return cut_candidates(candidates, vote_limit, small_queries=small)
 
 
+def dealt_postings(postings: DataFrame, index: Index, leaves: np.ndarray, known: bool) -> DataFrame:
+    """The postings of join_broadcast, dealt out by comparisons where these outweigh the moving.
+
+    A scan's tasks have about equally many postings however many query descriptors
+    visit them, so the longest would grow with the product of both.  Comparisons
+    are numbered leaf by leaf, and a posting goes to the task that its own lie in.
+    leaves: the leaf of each visit.
+    known: whether the join has bounds to begin with.
+    """
+    if len(leaves) < DEALT_VISITS:
+        return postings
+    spark = index.spark
+    leaf, visits = np.unique(leaves, return_counts=True)
+    asked = spark.createDataFrame(pa.table({"leaf": pa.array(leaf, pa.int32()), "asked": pa.array(visits, pa.int64())}))
+    # listed after the postings, so that a batch that came in between is counted at worst
+    stored = index.cell_sizes().withColumnRenamed("cell", "leaf")
+    sizes = stored.join(F.broadcast(asked), "leaf").select("leaf", "n", "asked").toArrow()
+    n = sizes["n"].to_numpy()
+    pairs = n.astype(np.float64) * sizes["asked"].to_numpy()
+    total = pairs.sum()
+    if total < max(DEALT_VISITS * n.sum(), LEAST_PAIRS):
+        return postings
+    most = BOUNDED_PAIRS if known else TASK_PAIRS
+    tasks = max(ceil(total / most), min(spark.sparkContext.defaultParallelism, ceil(total / LEAST_PAIRS)))
+    share = total / tasks
+    places = pa.table({"leaf": sizes["leaf"], "_start": (np.cumsum(pairs) - pairs) / share, "_width": pairs / share})
+    even = F.pmod(F.xxhash64("batch", "row"), F.lit(1 << 30)) / (1 << 30)
+    task = F.least(F.floor(F.col("_start") + even * F.col("_width")), F.lit(tasks - 1))
+    placed = postings.join(F.broadcast(spark.createDataFrame(places)), "leaf", "left")
+    placed = placed.select("leaf", "image_id", "v", task.cast("int").alias("_task"))
+    return placed.repartitionById(tasks, "_task").sortWithinPartitions("leaf")
+
+
 def postings_of_routed(routed: DataFrame, index: Index, limits: Limits) -> DataFrame:
     """The postings a large batch can need: a scan pruned by the leaves in the stored `routed`.
 
