@@ -32,6 +32,8 @@ END, SPECIAL = 0x110000, 0x110001
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # Pre-tokens kept between chunks of a task; the table is emptied beyond it.
 KEPT = 400_000
+# How the vocabulary writes a blank, and the words given to the library in one text.
+BLANK, WORDS = "\u0120", 64
 
 
 @cache
@@ -194,10 +196,22 @@ def equal_spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray, other: n
         return False
     open_ = begin != other
     a, b, left = begin[open_], other[open_], (end - begin)[open_]
-    for at in range(64):
-        if (points[a + at] != points[b + at]).any():
+    for at in range(2):
+        some = (left > at) & (left < 3)
+        if (points[a[some] + at] != points[b[some] + at]).any():
             return False
-        more = left > at + 1
+    a, b, left = a[left > 2], b[left > 2], left[left > 2]
+    if len(a) == 0:
+        return True
+    # three characters of 21 bits at a time, the last ones of a span together with some before them
+    wide = points[:-2].astype(np.uint64)
+    wide |= points[1:-1].astype(np.uint64) << np.uint64(21)
+    wide |= points[2:].astype(np.uint64) << np.uint64(42)
+    for at in range(0, 63, 3):
+        step = np.minimum(left - 3, at)
+        if (wide[a + step] != wide[b + step]).any():
+            return False
+        more = left > at + 3
         if not more.all():
             a, b, left = a[more], b[more], left[more]
         if len(a) == 0:
@@ -303,9 +317,35 @@ def library_codec(path: str) -> Codec | None:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode_new(pieces: list[str]) -> list[bytes]:
+    vocabulary = tokenizer.get_vocab()
+    heads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    heads[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
+
+    def encode_each(pieces: list[str]) -> list[bytes]:
         encoded = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def encode_new(pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; words go to the library many at a time.
+
+        A blank always begins a pre-token of the letters after it, so words in a row
+        are cut as each alone, and each one's ids begin where a token has a blank.
+        """
+        words = [i for i, piece in enumerate(pieces) if piece[0] == " " and piece[1:].isalpha()]
+        rows = [words[at : at + WORDS] for at in range(0, len(words), WORDS)]
+        texts = ["".join([pieces[i] for i in row]) for row in rows]
+        found: list[bytes | None] = [None] * len(pieces)
+        for row, e in zip(rows, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(heads[ids])).tolist(), 4 * len(ids)]
+            if len(ends) == len(row) + 1 and ends[0] == 0:
+                raw = ids.tobytes()
+                for i, start, end in zip(row, ends, ends[1:]):
+                    found[i] = raw[start:end]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(rest, encode_each([pieces[i] for i in rest])):
+            found[i] = ids
+        return found
+
     special = added[0] if added else {"content": None, "id": 0}
     return Codec(tokenizer.pre_tokenizer, special["content"], special["id"], encode_new)

@@ -65,15 +65,16 @@ def encode_blocks(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     need = bit_lengths(values)
     ends = np.repeat(bounds[1:], np.diff(bounds))
     choice = np.zeros(n, np.int8)
-    too_long = np.zeros(n + 1, np.int32)
-    for selector in _ORDER:
-        count, bits = int(COUNTS[selector]), int(BITS[selector])
-        long = need > bits
-        np.cumsum(long, out=too_long[1:])
-        place = np.flatnonzero(~long & (choice == 0))
-        # fewer ids than the word has room for may end a block
-        fits = too_long[np.minimum(place + count, ends[place])] == too_long[place]
-        choice[place[fits]] = selector
+    # the most bits that a place and those after it need, one place more at a time
+    most, following = need.copy(), np.append(need, np.zeros(60, np.int8))
+    # fewer ids than the word has room for may end a block
+    room = np.minimum(ends - np.arange(n), 127).astype(np.int8)
+    taken = 1
+    for selector in reversed(_ORDER):
+        for at in range(taken, int(COUNTS[selector])):
+            np.maximum(most, following[at : at + n] * (room > at).view(np.int8), out=most)
+        taken = int(COUNTS[selector])
+        np.copyto(choice, np.int8(selector), where=most <= BITS[selector].astype(np.int8))
     step = COUNTS[choice]
     used, at, live = [], bounds[:-1].copy(), np.flatnonzero(np.diff(bounds) > 0)
     at = at[live]
@@ -92,20 +93,15 @@ def encode_blocks(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     width = np.where(picked == 0, 2, 1)
     slot = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    for selector in np.unique(picked).tolist():
-        chosen = picked == selector
-        first, out = used[chosen], slot[chosen]
-        if selector == 0:
-            words[out] = values[first] & np.uint64(0xFFFFFFFF)
-            words[out + 1] = values[first] >> np.uint64(32)
-            continue
-        count, bits = int(COUNTS[selector]), int(BITS[selector])
-        held = np.minimum(ends[first] - first, count)
-        word = np.full(len(first), np.uint64(selector) << np.uint64(60))
-        for k in range(count):
-            word |= np.where(k < held, padded[first + k], np.uint64(0)) << np.uint64(k * bits)
-        words[out] = word
+    # the words' ids follow each other as the values do
+    held = np.minimum(ends[used] - used, step[used])
+    start = np.cumsum(held) - held
+    body = values[used[0] : used[-1] + held[-1]]
+    shift = (np.arange(len(body)) - np.repeat(start, held)) * np.repeat(BITS[picked], held)
+    words[slot] = np.bitwise_or.reduceat(body << shift.astype(np.uint64), start) | picked.astype(np.uint64) << np.uint64(60)
+    escaped = picked == 0
+    words[slot[escaped]] = values[used[escaped]] & np.uint64(0xFFFFFFFF)
+    words[slot[escaped] + 1] = values[used[escaped]] >> np.uint64(32)
     return words, np.bincount(owners, weights=width, minlength=blocks).astype(np.int64)
 
 

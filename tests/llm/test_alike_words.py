@@ -83,3 +83,41 @@ def test_labels_of_foreign_pages_are_not_read(spark):
     html = "<table><tr><td data-label='Price'>9</td><td data-label=''>x</td></tr></table><article><p>" + "Some words here. " * 30
     pages = spark.createDataFrame([(1, "http://a/", html)], "page_id BIGINT, url STRING, html STRING")
     assert "Some words" in html_text.extract(pages).head().text
+
+
+def test_words_encoded_in_a_row_have_the_ids_of_each_alone(monkeypatch):
+    """Distinct words went to the library one by one before, a call's overhead for each."""
+    from tokenizers import Tokenizer
+
+    from cellvote.llm import pretokens
+
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCßéжλ漢字가́ªⅧ٣")
+    words = [" " + "".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(700)]
+    pieces = list(dict.fromkeys([*words, " ", "  ", "\n", " 12", " ...", "'s", "x", " <", " ", "  ", " Ġa"]))
+    plain = Tokenizer.from_file(PATH)
+    expected = [np.array(plain.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert pretokens.library_codec(PATH).encode_new(pieces) == expected
+
+
+def test_selectors_are_those_that_a_full_scan_of_each_finds():
+    from cellvote.llm import token_files as files
+
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 1 << rng.integers(1, 17, 5000), dtype=np.uint64)
+    values[1000:1400], values[2000:2500] = 1, 0
+    values[[7, 4999]] = 1 << 62
+    bounds = np.array([0, 0, 1, 1024, 2048, 2048, 3000, 5000])
+    words, lengths = files.encode_blocks(values, bounds)
+    picked = []
+    for start, end in zip(bounds, bounds[1:]):
+        at = start
+        while at < end:
+            fitting = [s for s in range(1, 15) if all(int(v) >> int(files.BITS[s]) == 0 for v in values[at : min(at + files.COUNTS[s], end)])]
+            picked += [fitting[0]] if fitting else [0, 0]
+            at += int(files.COUNTS[fitting[0]]) if fitting else 1
+    escaped = [s == 0 for s in picked]
+    assert [int(w >> np.uint64(60)) for w, e in zip(words, escaped) if not e] == [s for s in picked if s]
+    assert len(words) == len(picked)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    assert (files.decode_blocks(words, ends, np.diff(bounds)) == values).all()
