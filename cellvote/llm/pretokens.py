@@ -6,11 +6,13 @@ The byte-level pre-tokenizer cuts a text by the pattern
 
 and BPE never merges across the cuts, so a text's ids are those of its
 pre-tokens in order.  Prose repeats its words, so each task encodes only the
-pre-tokens it has not met: their ids are kept by the pre-token itself in a table
-of bounded size.  Equal pre-tokens of a chunk are found by hash and compared
-character by character; if a hash ever joins two, the chunk is sorted out by the
-pre-tokens themselves.  The special string of the vocabulary, which the library
-looks for before anything else, is a pre-token of its own.
+pre-tokens it has not met: characters and ids of the others are kept in arrays of
+bounded size, found by hash and compared character by character; when they are
+full, those that only one chunk held are forgotten.  Equal pre-tokens of a chunk
+are found by hash and compared character by character; if a hash ever joins two,
+the chunk is sorted out by the pre-tokens themselves.  The special string of the
+vocabulary, which the library looks for before anything else, is a pre-token of
+its own.
 """
 
 from __future__ import annotations
@@ -30,10 +32,14 @@ LETTER, NUMBER, OTHER, SPACE, BREAK, UNKNOWN = range(6)
 END, SPECIAL = 0x110000, 0x110001
 # The white space of the pattern.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-# Pre-tokens kept between chunks of a task; the table is emptied beyond it.
+# Pre-tokens that op9's encoder keeps between chunks of a task.
 KEPT = 400_000
+# Pre-tokens and characters of them that a codec keeps; beyond it three quarters stay at most.
+HELD, HELD_CHARS = 1_000_000, 16_000_000
 # How the vocabulary writes a blank, and the words given to the library in one text.
 BLANK, WORDS = "\u0120", 64
+# Spans compared at a time.
+SPANS = 1 << 13
 
 
 @cache
@@ -111,51 +117,29 @@ def cuts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-class Codec:
-    """Encodes batches of texts; `encode_new` is given distinct pre-tokens and returns their ids."""
-
-    def __init__(self, pre_tokenizer, special: str | None, special_id: int, encode_new: Callable):
-        self.pre_tokenizer, self.special, self.special_id, self.encode_new = (
-            pre_tokenizer, special, special_id, encode_new,
-        )
-        self.known: dict[bytes, bytes] = {}
-
-    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of distinct pre-tokens (little-endian code points) as little-endian uint32 bytes."""
-        found = list(map(self.known.get, pieces))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known = {}
-            for i, ids in zip(new, self.encode_new([pieces[i].decode("utf-32-le") for i in new])):
-                found[i] = ids
-                if len(self.known) < KEPT:
-                    self.known[pieces[i]] = ids
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts in order (uint32), and the number of ids of each text."""
-        found = split(texts, self.special, self.pre_tokenizer)
-        ids = self.ids_of(found.pieces)
-        # one entry more: the id of the special string
-        ids.append(np.array([self.special_id], "<u4").tobytes())
-        return joined(ids, found.entries, found.text_of, len(texts))
-
-
 @dataclass
 class Split:
     """Pre-tokens of some texts: the distinct ones, and which of them stands where.
 
-    pieces: each distinct pre-token as little-endian code points.
+    points: the texts' code points; begin, end, hashes: of each distinct pre-token.
     entries: for each pre-token of all texts in order its number among the
-        distinct ones; len(pieces) stands for the special string.
+        distinct ones; one number more stands for the special string.
     text_of: the number of the text it is in.
     """
 
-    pieces: list[bytes]
+    points: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
     entries: np.ndarray
     text_of: np.ndarray
 
+    @property
+    def pieces(self) -> list[bytes]:
+        """Each distinct pre-token as little-endian code points."""
+        raw = self.points.tobytes()
+        return [raw[a:b] for a, b in zip((4 * self.begin).tolist(), (4 * self.end).tolist())]
+
 
 def split(texts: list[str], special: str | None, pre_tokenizer) -> Split:
     points = code_points(texts, special)
@@ -164,19 +148,120 @@ def split(texts: list[str], special: str | None, pre_tokenizer) -> Split:
     value = points[begin]
     text_of = np.cumsum(value == END) - (value == END)
     spans = np.flatnonzero(value < END)
-    first, where = distinct_spans(points, begin[spans], end[spans])
-    raw = points.tobytes()
-    pieces = [raw[a:b] for a, b in zip((4 * begin[spans][first]).tolist(), (4 * end[spans][first]).tolist())]
     entries = np.full(len(begin), -1, np.int64)
-    entries[spans] = where
-    entries[value == SPECIAL] = len(pieces)
+    begin, end = begin[spans], end[spans]
+    hashes = _spans(points, begin, end)
+    first, entries[spans] = distinct_spans(points, begin, end, hashes)
+    entries[value == SPECIAL] = len(first)
     keep = entries >= 0
-    return Split(pieces, entries[keep], text_of[keep])
+    return Split(points, begin[first], end[first], hashes[first], entries[keep], text_of[keep])
+
+
+class Grown:
+    """Parts of many lengths one after the other, in an array with room for more."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.buffer, self.sizes, self.starts, self.end = flat, sizes, np.cumsum(sizes) - sizes, len(flat)
 
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.end + len(flat)
+        if end > len(self.buffer):
+            room = end - self.end + min(end, HELD_CHARS)
+            self.buffer = np.concatenate([self.buffer[: self.end], np.empty(room, flat.dtype)])
+        self.buffer[self.end : end] = flat
+        self.starts = np.concatenate([self.starts, self.end + np.cumsum(sizes) - sizes])
+        self.sizes, self.end = np.concatenate([self.sizes, sizes]), end
 
-def distinct_spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return expand(self.buffer, self.starts[numbers], self.sizes[numbers])
+
+
+class Codec:
+    """Encodes batches of texts; `encode_new` is given distinct pre-tokens and returns their ids."""
+
+    def __init__(self, pre_tokenizer, special: str | None, special_id: int, encode_new: Callable):
+        self.pre_tokenizer, self.special, self.special_id, self.encode_new = (
+            pre_tokenizer, special, special_id, encode_new,
+        )
+        # Pre-tokens met, by number: characters, ids, chunks that held them, the last such chunk.
+        # Number 0 is the special string.
+        self.chars = Grown(np.empty(0, "<u4"), np.zeros(1, np.int64))
+        self.ids = Grown(np.array([special_id], "<u4"), np.ones(1, np.int64))
+        self.uses, self.last, self.chunk = np.zeros(1, np.int32), np.zeros(1, np.int32), 0
+        # their hashes in ascending order, and the number that each stands for
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def find(self, found: Split) -> np.ndarray:
+        """Number of each distinct pre-token, -1 for one not met before."""
+        numbers = np.full(len(found.hashes), -1, np.int64)
+        if len(self.hashes) == 0:
+            return numbers
+        order = np.argsort(found.hashes)
+        at = np.minimum(np.searchsorted(self.hashes, found.hashes[order]), len(self.hashes) - 1)
+        numbers[order] = np.where(self.hashes[at] == found.hashes[order], self.numbers[at], -1)
+        same = np.flatnonzero(numbers >= 0)
+        lengths = found.end[same] - found.begin[same]
+        alike = self.chars.sizes[numbers[same]] == lengths
+        numbers[same[~alike]] = -1
+        same, lengths = same[alike], lengths[alike]
+        if len(same):
+            differ = expand(found.points, found.begin[same], lengths) != self.chars.take(numbers[same])
+            numbers[same[np.logical_or.reduceat(differ, np.cumsum(lengths) - lengths)]] = -1
+        return numbers
+
+    def numbers_of(self, found: Split) -> np.ndarray:
+        """Number of each distinct pre-token; those not met before are encoded."""
+        numbers = self.find(found)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            lengths = found.end[new] - found.begin[new]
+            chars = expand(found.points, found.begin[new], lengths)
+            text, ends = chars.tobytes().decode("utf-32-le"), np.cumsum(lengths).tolist()
+            ids = self.encode_new([text[a:b] for a, b in zip([0, *ends], ends)])
+            numbers[new] = np.arange(len(self.uses), len(self.uses) + len(new))
+            self.chars.add(chars, lengths)
+            self.ids.add(np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+            self.uses, self.last = (np.append(a, np.zeros(len(new), np.int32)) for a in (self.uses, self.last))
+            # of two with one hash the first is found, the other one encoded each time
+            new = new[np.argsort(found.hashes[new], kind="stable")]
+            at = np.searchsorted(self.hashes, found.hashes[new], side="right")
+            self.hashes = np.insert(self.hashes, at, found.hashes[new])
+            self.numbers = np.insert(self.numbers, at, numbers[new])
+        self.chunk += 1
+        self.uses[numbers] += 1
+        self.last[numbers] = self.chunk
+        return numbers
+
+    def trim(self) -> None:
+        """Forgets what only one chunk held, and of the rest what was met longest ago."""
+        if len(self.uses) <= HELD and self.chars.end <= HELD_CHARS:
+            return
+        keep = np.flatnonzero(self.uses > 1)
+        keep = keep[np.argsort(-self.last[keep], kind="stable")[: 3 * HELD // 4]]
+        keep = np.union1d(keep[np.cumsum(self.chars.sizes[keep]) <= 3 * HELD_CHARS // 4], [0])
+        number = np.full(len(self.uses), -1)
+        number[keep] = np.arange(len(keep))
+        self.chars = Grown(self.chars.take(keep), self.chars.sizes[keep])
+        self.ids = Grown(self.ids.take(keep), self.ids.sizes[keep])
+        self.uses, self.last = self.uses[keep], self.last[keep]
+        kept = number[self.numbers] >= 0
+        self.hashes, self.numbers = self.hashes[kept], number[self.numbers[kept]]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in order (uint32), and the number of ids of each text."""
+        found = split(texts, self.special, self.pre_tokenizer)
+        # one entry more: the special string
+        numbers = np.append(self.numbers_of(found), 0)
+        flat, sizes = self.ids.take(numbers), self.ids.sizes[numbers]
+        self.trim()
+        return laid_out(flat, sizes, found.entries, found.text_of, len(texts))
+
+
+def distinct_spans(
+    points: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The first span of each content, and for every span the number of its content."""
-    hashes, where = _factorize(_spans(points, begin, end))
+    hashes, where = _factorize(_spans(points, begin, end) if hashes is None else hashes)
     first = np.empty(len(hashes), np.int64)
     first[where[::-1]] = np.arange(len(begin))[::-1]
     if equal_spans(points, begin, end, begin[first][where], end[first][where]):
@@ -192,45 +277,39 @@ def distinct_spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tu
 
 def equal_spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> bool:
     """Whether every span has the characters of its other one."""
-    if ((end - begin) != (other_end - other)).any():
+    sizes = end - begin
+    if (sizes != other_end - other).any():
         return False
-    open_ = begin != other
-    a, b, left = begin[open_], other[open_], (end - begin)[open_]
-    for at in range(2):
-        some = (left > at) & (left < 3)
-        if (points[a[some] + at] != points[b[some] + at]).any():
-            return False
-    a, b, left = a[left > 2], b[left > 2], left[left > 2]
-    if len(a) == 0:
-        return True
-    # three characters of 21 bits at a time, the last ones of a span together with some before them
-    wide = points[:-2].astype(np.uint64)
-    wide |= points[1:-1].astype(np.uint64) << np.uint64(21)
-    wide |= points[2:].astype(np.uint64) << np.uint64(42)
-    for at in range(0, 63, 3):
-        step = np.minimum(left - 3, at)
-        if (wide[a + step] != wide[b + step]).any():
+    open_ = np.flatnonzero(begin != other)
+    begin, other, sizes = begin[open_], other[open_], sizes[open_]
+    # few spans at a time, whose places stay in the processor's cache
+    for at in range(0, len(begin), SPANS):
+        size = sizes[at : at + SPANS]
+        first, ends = begin[at : at + SPANS], np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+        if (points[place] != points[place + np.repeat(other[at : at + SPANS] - first, size)]).any():
             return False
-        more = left > at + 3
-        if not more.all():
-            a, b, left = a[more], b[more], left[more]
-        if len(a) == 0:
-            return True
-    return all(np.array_equal(points[i : i + n], points[j : j + n]) for i, j, n in zip(a.tolist(), b.tolist(), left.tolist()))
+    return True
 
 
 def joined(ids: list[bytes], entries: np.ndarray, text_of: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pre-tokens in order and their number by text, from the ids of each entry."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    starts = np.cumsum(sizes) - sizes
-    counts = np.bincount(text_of, weights=sizes[entries], minlength=n_texts).astype(np.int64)
-    return expand(flat, starts[entries], sizes[entries]), counts
+    return laid_out(np.frombuffer(b"".join(ids), "<u4"), sizes, entries, text_of, n_texts)
+
+
+def laid_out(
+    flat: np.ndarray, sizes: np.ndarray, entries: np.ndarray, text_of: np.ndarray, n_texts: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """As joined, from the ids of all entries one after the other and their number."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[entries]
+    counts = np.bincount(text_of, weights=each, minlength=n_texts).astype(np.int64)
+    return expand(flat, starts[entries], each), counts
 
 
 def _spans(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans, in blocks that keep the table of powers small."""
-    block, out, i = 1 << 20, np.empty(len(begin), np.uint64), 0
+    """Hashes of spans, in blocks that stay in the processor's cache."""
+    block, out, i = 1 << 16, np.empty(len(begin), np.uint64), 0
     while i < len(begin):
         j = max(i + 1, int(np.searchsorted(end, begin[i] + block, side="right")))
         low = int(begin[i])

@@ -64,7 +64,8 @@ def encode_blocks(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
         return np.empty(0, np.uint64), np.zeros(blocks, np.int64)
     need = bit_lengths(values)
     ends = np.repeat(bounds[1:], np.diff(bounds))
-    choice = np.zeros(n, np.int8)
+    # a place that has room for a selector's ids has it for fewer ids of more bits
+    fitting = np.zeros(n, np.int8)
     # the most bits that a place and those after it need, one place more at a time
     most, following = need.copy(), np.append(need, np.zeros(60, np.int8))
     # fewer ids than the word has room for may end a block
@@ -74,21 +75,23 @@ def encode_blocks(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
         for at in range(taken, int(COUNTS[selector])):
             np.maximum(most, following[at : at + n] * (room > at).view(np.int8), out=most)
         taken = int(COUNTS[selector])
-        np.copyto(choice, np.int8(selector), where=most <= BITS[selector].astype(np.int8))
+        fits = most <= BITS[selector].astype(np.int8)
+        if not fits.any():
+            break
+        fitting += fits.view(np.int8)
+    choice = np.append(0, np.arange(14, 0, -1))[fitting]
     step = COUNTS[choice]
-    used, at, live = [], bounds[:-1].copy(), np.flatnonzero(np.diff(bounds) > 0)
-    at = at[live]
-    stop, owner = bounds[1:][live], live
-    owners = []
+    used, live = [], np.flatnonzero(np.diff(bounds) > 0)
+    at, stop = bounds[:-1][live], bounds[1:][live]
     while len(at):
         used.append(at)
-        owners.append(owner)
         at = at + step[at]
         go = at < stop
-        at, stop, owner = at[go], stop[go], owner[go]
-    used, owners = np.concatenate(used), np.concatenate(owners)
-    order = np.argsort(used)
-    used, owners = used[order], owners[order]
+        at, stop = at[go], stop[go]
+    marked = np.zeros(n, bool)
+    marked[np.concatenate(used)] = True
+    used = np.flatnonzero(marked)
+    owners = np.searchsorted(bounds[1:], used, side="right")
     picked = choice[used]
     width = np.where(picked == 0, 2, 1)
     slot = np.cumsum(width) - width

@@ -121,3 +121,53 @@ def test_selectors_are_those_that_a_full_scan_of_each_finds():
     assert len(words) == len(picked)
     ends = np.concatenate([[0], np.cumsum(lengths)])
     assert (files.decode_blocks(words, ends, np.diff(bounds)) == values).all()
+
+
+def fresh_codec(monkeypatch, held):
+    """A codec of its own that keeps few pre-tokens, and the list of all that it encodes."""
+    for name in ("KEPT", "HELD"):
+        monkeypatch.setattr(pretokens, name, held, raising=False)
+    codec, encoded = pretokens.library_codec.__wrapped__(PATH), []
+    encode_new = codec.encode_new
+    codec.encode_new = lambda pieces: encoded.extend(pieces) or encode_new(pieces)
+    return codec, encoded
+
+
+def test_words_of_many_chunks_outlive_a_full_table(monkeypatch):
+    """The table was emptied when it was full, so frequent words were encoded over and over."""
+    codec, encoded = fresh_codec(monkeypatch, 200)
+    common = " ".join(f"c{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60))
+    plain = Tokenizer.from_file(PATH)
+    for chunk in range(40):
+        rare = " ".join(f"r{chr(97 + chunk % 26)}{chr(97 + chunk // 26)}{chr(97 + i)}" for i in range(26))
+        text = f" {common} {rare}"
+        ids, counts = codec.encode([text])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        assert len(codec.uses) <= 200 + 86
+    assert sum(piece.startswith(" c") for piece in encoded) == 60
+    assert sum(piece.startswith(" r") for piece in encoded) == 40 * 26
+
+
+@pytest.mark.parametrize("held", [1, 40, 100_000])
+def test_words_of_earlier_chunks_are_compared(monkeypatch, held):
+    """Pre-tokens of one hash in different chunks, and a table that is full time and again."""
+    codec, _ = fresh_codec(monkeypatch, held)
+    plain, rng = Tokenizer.from_file(PATH), np.random.default_rng(9)
+    chunks = [[ONE], [OTHER], [ONE, OTHER], [f" {OTHER} {ONE}", ""], [OTHER], [ONE], [], [""], ["<|endoftext|>"]]
+    letters = list("abé漢\U0001f600 '1\n")
+    chunks += [["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(5)] for _ in range(60)]
+    for texts in chunks:
+        expected = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        ids, counts = codec.encode(texts)
+        assert counts.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_characters_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(pretokens, "HELD_CHARS", 5000, raising=False)
+    codec, encoded = fresh_codec(monkeypatch, 1000)
+    for _ in range(3):
+        for letter in "abcdefgh":
+            codec.encode([letter * 1000])
+            assert codec.chars.end <= 6000
+    assert set(encoded) == {letter * 1000 for letter in "abcdefgh"}
